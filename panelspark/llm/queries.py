@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import tokens
+from panelspark.llm import packing, sharding, tokens
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -20,5 +20,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op5_token_counts": op5_token_counts}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(C.table(spark, sf_dir, "documents"), tokenizer_file(), window=1024)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.hilbert_shards(C.table(spark, sf_dir, "documents"), shards=40, law="rows")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op5_token_counts": op5_token_counts,
+    "op6_sharding": op6_sharding,
+}
 ORACLE_SQL: dict[str, str] = {}

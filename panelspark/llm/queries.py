@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import packing, sharding, tokens
+from panelspark.llm import lines, packing, sharding, tokens
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -20,6 +20,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(C.table(spark, sf_dir, "documents"), min_docs=10, shortest=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(C.table(spark, sf_dir, "documents"), tokenizer_file(), window=1024)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -31,8 +36,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The white space of line and word contracts, for trim().
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": f"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+     k as (select *, {_LOWER.format(f"trim(line, {_SPACE})")} as key from l),
+     f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
+     d as (select k.*, f.key is not null as gone from k left join f on k.key = f.key)
+select doc_id, count(*) as n_lines, count_if(gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from d group by doc_id""",
+}

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
 
+_BLANK = frozenset(" \n\r\t")
+#: A mark after a letter is a piece of its own: none of these begins a contraction.
+_MARKS = frozenset(".,;:!?")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _BREAK = re.compile(r"(?<=\S)(?=[ \n\r\t])")
-_RUN = re.compile(r"\s[ \n]")
 
 
 class ByteBpe:
@@ -25,7 +28,7 @@ class ByteBpe:
     encoded together, and their shares of the ids are told by the tokens' byte lengths.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, remembered: int = 500_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,35 +46,41 @@ class ByteBpe:
         self.known: dict[str, bytes] = {}
         self.remembered, self.longest = remembered, longest
 
-    def _parts(self, text: str) -> list[str]:
-        if "\0" in text or _RUN.search(text):
-            return _BREAK.split(text)
-        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of parts that are cut at white space, each as little-endian uint32 bytes."""
-        spaced = [x if x[:1] in (" ", "\n", "\r", "\t") else "\n" + x for x in parts]
+        spaced = [x if x[0] in _BLANK else "\n" + x for x in parts]
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in spaced]), "left") + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        return [ids[a + (s is not p) : b].tobytes() for a, b, s, p in zip(starts.tolist(), ends.tolist(), spaced, parts, strict=True)]
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(list(map(len, map(str.encode, spaced)))), "left") + 1
+        starts = np.concatenate([[0], ends[:-1]]) + [x is not y for x, y in zip(spaced, parts, strict=True)]
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes; null is the empty text."""
-        known, cut = self.known, [self._parts(x) if x else [] for x in texts]
-        missing = dict.fromkeys(x for parts in cut for x in parts if x and x not in known)
-        short = [x for x in missing if len(x) <= self.longest and x.strip() and not x[-1].isspace()]
-        fresh: dict[str, bytes] = {}
-        for k in range(0, len(short), 20_000):
-            fresh |= zip(short[k : k + 20_000], self._encode(short[k : k + 20_000]), strict=True)
-        if rest := [x for x in missing if x not in fresh]:
+        known = self.known
+        cut = [[] if not x else _BREAK.split(x) if "\0" in x else x.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for x in texts]
+        new = set().union(*cut).difference(known)
+        # no known part ends in white space, so a part that does, and can't be cut off, is among the new ones
+        if blank := {x for x in new if x[-1:].isspace()}:
+            cut = [p if blank.isdisjoint(p) else _BREAK.split(x) for x, p in zip(texts, cut, strict=True)]
+            new = set().union(*cut).difference(known)
+        ended = [x for x in new if x[-1:] in _MARKS and x[-2:-1] in _LETTERS]
+        new.difference_update(ended)
+        new.update([y for x in ended for y in (x[:-1], x[-1]) if y not in known])
+        short = [x for x in new if x and len(x) <= self.longest and not x[-1].isspace()]
+        for k in range(0, len(short), 2000):
+            known.update(zip(short[k : k + 2000], self._encode(short[k : k + 2000]), strict=True))
+        if rest := list(new.difference(known)):
             for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                fresh[x] = np.array(e.ids, "<u4").tobytes()
-        fresh[""] = b""
-        get = {**known, **fresh}.__getitem__ if len(known) < 1000 else lambda x: known[x] if x in known else fresh[x]
-        out = [b"".join(map(get, parts)) for parts in cut]
-        if (room := self.remembered - len(known)) > 0:
-            known.update(x for x in list(fresh.items())[:room] if len(x[0]) <= self.longest)
+                known[x] = np.array(e.ids, "<u4").tobytes()
+        for x in ended:
+            known[x] = known[x[:-1]] + known[x[-1]]
+        out = [b"".join(map(known.__getitem__, p)) for p in cut]
+        for x in [*rest, *(x for x in ended if len(x) > self.longest)]:
+            del known[x]
+        kept = [*short, *(x for x in ended if len(x) <= self.longest)]
+        for x in kept[max(0, self.remembered - len(known) + len(kept)) :]:
+            del known[x]
         return out
 
 

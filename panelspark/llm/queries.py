@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import lines, packing, sharding, tokens
+from panelspark.llm import lines, packing, quality, sharding, tokens
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -20,6 +20,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(C.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(C.table(spark, sf_dir, "documents"), min_docs=10, shortest=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,6 +41,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op5_token_counts": op5_token_counts,
@@ -46,6 +52,32 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality": f"""
+with d as (select doc_id, coalesce(text, '') as text, source as host,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+     g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram
+           from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+     r as (select doc_id, count(distinct p) as n from (
+             select doc_id, unnest([i, i + 1, i + 2]) as p
+             from (select *, count(*) over (partition by doc_id, gram) as n from g) where n > 1) group by doc_id),
+     l as (select doc_id, host, text, line, trim(line, {_SPACE}) as bare
+           from (select *, unnest(string_split(text, chr(10))) as line from d)),
+     k as (select doc_id, host, text, line, lower(bare) as key from l where bare <> ''),
+     h as (select host, count(distinct text) as n from d group by host),
+     c as (select k.host, key from k join h on h.host is not distinct from k.host
+           group by k.host, key, h.n having count(distinct text) >= 10 and count(distinct text) > 0.05 * h.n),
+     s as (select doc_id, count(*) - count(distinct line) as dups, sum(length(k.key)) as chars,
+                  coalesce(sum(length(k.key)) filter (where c.key is not null), 0) as gone
+           from k left join c on c.key = k.key and c.host is not distinct from k.host group by doc_id),
+     m as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+                  len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dups, 0) as n_dup_lines,
+                  coalesce(r.n, 0) as n_repeat_words, coalesce(chars, 0) as chars, coalesce(gone, 0) as removed_chars
+           from d left join r using (doc_id) left join s on s.doc_id = d.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 or n_repeat_words * 100 > n_words * 50) as base_failed,
+       not (n_words < 50 or n_repeat_words * 100 > n_words * 50) and chars - removed_chars >= chars * 0.3 as kept,
+       cast(removed_chars as bigint) as removed_chars
+from m""",
     "op2_line_dedup": f"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),

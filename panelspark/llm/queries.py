@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import lines, packing, quality, sharding, tokens
+from panelspark.llm import jaccard, lines, packing, quality, sharding, tokens
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -15,6 +15,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(C.table(spark, sf_dir, "documents"), percent=75, width=5)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.token_counts(C.table(spark, sf_dir, "documents"), tokenizer_file(), limit=512)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op4_jaccard": op4_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
 }
@@ -52,6 +57,18 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": f"""
+with recursive w as (
+       select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+       from documents),
+     s as (select distinct doc_id, g from (
+             select doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0))),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+     e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+     r(doc_id, reached) as (select doc_id, doc_id from w union select r.doc_id, e.b from r join e on e.a = r.reached)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, min(r.reached) as component_id
+from w left join n using (doc_id) join r on r.doc_id = w.doc_id group by w.doc_id, n.n""",
     "op1_quality": f"""
 with d as (select doc_id, coalesce(text, '') as text, source as host,
                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import jaccard, lines, packing, quality, sharding, tokens
+from panelspark.llm import jaccard, lines, packing, quality, sharding, tokens, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -44,6 +44,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(C.table(spark, sf_dir, "pages"), C.scratch_path(spark, "warc"), least_revisit=1000)
+    return index.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -51,12 +56,20 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
+    "op9_warc": op9_warc,
 }
 #: The white space of line and word contracts, for trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+     s as (select *, max(page_id) over (partition by payload) as keeper, octet_length(payload) as n from p)
+select page_id, n as payload_bytes, sha1(payload) as payload_digest,
+       case when n >= 1000 and page_id <> keeper then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id <> keeper then keeper end as refers_to
+from s""",
     "op4_jaccard": f"""
 with recursive w as (
        select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import jaccard, lines, packing, quality, sharding, tokens, warc
+from panelspark.llm import crf, jaccard, lines, packing, quality, sharding, tokens, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -44,6 +44,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    model = crf.fit(docs.where(~crf.held_out("doc_id")))
+    out = crf.label_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", crf.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(C.table(spark, sf_dir, "pages"), C.scratch_path(spark, "warc"), least_revisit=1000)
     return index.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,6 +63,7 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
+    "op8_language": op8_language,
     "op9_warc": op9_warc,
 }
 #: The white space of line and word contracts, for trim().

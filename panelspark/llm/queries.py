@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import crf, jaccard, lines, packing, quality, sharding, tokens, warc
+from panelspark.llm import crf, decontaminate, jaccard, lines, packing, quality, sharding, tokens, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -56,6 +56,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs", 4).alias("lcs"), F.round("answer", 4).alias("answer"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -65,6 +70,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
+    "op10_decontamination": op10_decontamination,
 }
 #: The white space of line and word contracts, for trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -262,12 +262,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     return train([(r.t, r._l) for r in taken.collect()])
 
 
-def _label(model: Crf):
+def _label(model: Crf, carry: bool):
     def run(batches):
         for batch in batches:
             for b in sliced(batch, 4096):
                 found = predict(model, b.column("_text").to_pylist())
-                names = [n for n in b.schema.names if n != "_text"]
+                names = [n for n in b.schema.names if n != "_text" or carry]
                 yield pa.record_batch([*[b.column(n) for n in names], pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
@@ -282,15 +282,16 @@ def label_languages(docs: DataFrame, model: Crf, text: str = "text", carry_text:
     """
     C.prepare(docs.sparkSession)
     made = {"lang_pred", "score", "_text"}
-    keep = [c for c in docs.columns if c.lower() not in made and (carry_text or c.lower() != text.lower())]
+    keep = [c for c in docs.columns if c.lower() not in made and c.lower() != text.lower()]
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text" or carry_text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        yield from _label(held.value)(batches)
+        yield from _label(held.value, carry_text)(batches)
 
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return out.withColumnRenamed("_text", text)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import crf, decontaminate, jaccard, lines, packing, quality, sharding, tokens, warc
+from panelspark.llm import chat, crf, decontaminate, jaccard, lines, packing, quality, sharding, tokens, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -44,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_roles(C.table(spark, sf_dir, "conversations"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     model = crf.fit(docs.where(~crf.held_out("doc_id")))
@@ -68,6 +72,7 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
+    "op7_chat_repair": op7_chat_repair,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,

@@ -18,7 +18,7 @@ UNKNOWN = "und"
 SLOTS = 1 << 17
 LONGEST = 24
 #: Distinct words whose scores a worker keeps.
-MEMORY = 600_000
+MEMORY = 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -211,16 +211,17 @@ def train(texts: list[tuple[str, str]], words: int = 24, sequences: int = 6000,
 
 def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, score) of each text: the label with most expected words, and its share of them; und, 0.0 without a letter."""
-    cut = [tokens_of(t) if t else [] for t in texts]
     memory = model.memory
-    new = list(set().union(*cut).difference(memory))
-    if len(memory) + len(new) > MEMORY:
+    if len(memory) > MEMORY:
         memory.clear()
-        new = list(set().union(*cut))
-    if new:
-        base = len(memory)
-        memory.update(zip(new, range(base, base + len(new)), strict=True))
-        model.remember(base, model.emissions(new))
+    cut: list[np.ndarray] = []  # of each text, the numbers of its words
+    for k in range(0, len(texts), 256):
+        part = [tokens_of(t) if t else [] for t in texts[k : k + 256]]
+        if new := list(set().union(*part).difference(memory)):
+            base = len(memory)
+            memory.update(zip(new, range(base, base + len(new)), strict=True))
+            model.remember(base, model.emissions(new))
+        cut += [np.fromiter(map(memory.__getitem__, words), np.int32, len(words)) for words in part]
     table = model.table
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     lengths = np.array([len(c) for c in cut])
@@ -234,7 +235,7 @@ def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
         rows = order[at:end]
         e = np.zeros((len(rows), longest, len(model.labels)), np.float32)
         for r, d in enumerate(rows):
-            e[r, : lengths[d]] = table[np.fromiter(map(memory.__getitem__, cut[d]), np.int64, lengths[d])]
+            e[r, : lengths[d]] = table[cut[d]]
         p = marginals(e, lengths[rows], model.start, model.transitions).sum(1, dtype=np.float64) / lengths[rows][:, None]
         for d, best, score in zip(rows, p.argmax(1), p.max(1), strict=True):
             out[d] = (model.labels[best], float(min(score, 1.0)))

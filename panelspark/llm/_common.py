@@ -55,3 +55,15 @@ def digest128(text: Column | str) -> Column:
     """Two seeds of xxhash64 as one binary(16): a key for texts and lines."""
     c = F.col(text) if isinstance(text, str) else text
     return F.concat(F.to_binary(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex(F.xxhash64(F.lit(7), c)), 16, "0"), F.lit("hex")))
+
+
+_HOLDER: list = [None, None]
+
+
+def take_turn(owner: str, forget) -> None:
+    """Called where a worker begins a task that remembers words: what another operator remembers there is let go, so
+    that one worker process holds the memory of one operator at a time."""
+    if _HOLDER[0] != owner:
+        if _HOLDER[1] is not None:
+            _HOLDER[1]()
+        _HOLDER[:] = [owner, forget]

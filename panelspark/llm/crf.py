@@ -77,6 +77,10 @@ class Crf:
     memory: dict[str, int] = field(default_factory=dict, repr=False)
     table: np.ndarray | None = field(default=None, repr=False)
 
+    def forget(self) -> None:
+        self.memory.clear()
+        self.table = None
+
     def remember(self, base: int, rows: np.ndarray) -> None:
         """Keep the scores of words base, base + 1, ... in a table that doubles when full."""
         if self.table is None:
@@ -289,7 +293,9 @@ def label_languages(docs: DataFrame, model: Crf, text: str = "text", carry_text:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        yield from _label(held.value, carry_text)(batches)
+        model = held.value
+        C.take_turn("languages", model.forget)
+        yield from _label(model, carry_text)(batches)
 
     out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return out.withColumnRenamed("_text", text)

@@ -39,7 +39,7 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
 
     cut = [t.lower().split() for t in texts]  # of bytes: A-Z, and white space U+0009-000D and U+0020
     new = set().union(*cut).difference(_WORDS)
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 500_000:
         _WORDS.clear()
         new = set().union(*cut)
     _WORDS.update((w, xxhash.xxh64_intdigest(w)) for w in new)
@@ -100,6 +100,7 @@ def _send(width: int, buckets: int):
     def run(batches):
         import xxhash
 
+        C.take_turn("shingles", _WORDS.clear)
         np.seterr(over="ignore")
         unit = TaskContext.get().partitionId() << 24
         for batch in batches:

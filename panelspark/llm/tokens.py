@@ -28,7 +28,7 @@ class ByteBpe:
     encoded together, and their shares of the ids are told by the tokens' byte lengths.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, remembered: int = 400_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -89,6 +89,7 @@ _LOADED: dict[str, ByteBpe] = {}
 
 def tokenizer(path: str) -> ByteBpe:
     """One encoder for each file and worker process."""
+    C.take_turn("tokens", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
     return _LOADED[path]

@@ -132,9 +132,9 @@ def each(template: str, sensors=SENSORS) -> str:
 # --- sources, predicates, joins -----------------------------------------------------------------------------------
 
 
-@query(f"with {_L} select entity_id, step, cast(least(7 + max(step) over (partition by entity_id) - step, 125) as int) as rul from lab where entity_id % 5 = 0")
+@query(f"with {_L} select entity_id, step, cast(least(7 + max(step) over (partition by entity_id) - step, 125) as int) as rul from lab")
 def label_rul_test(s, d):
-    held = test(panels.lineitem_panel(s, d)).withColumn("rul_last", F.lit(7))
+    held = panels.lineitem_panel(s, d).withColumn("rul_last", F.lit(7))
     return label.label_rul_test(held).select("entity_id", "step", "rul")
 
 
@@ -393,10 +393,10 @@ def ljung_box_q(s, d):
     return rounded(forecast.ljung_box(events(s, d), "s1", 10, P40).select("entity_id", "lag", "q"), 5)
 
 
-@query(f"""with {_E}, w as (select entity_id, step, rul, array_agg([s1, s2]) over (partition by entity_id order by step rows 29 preceding) as a from lab where entity_id % 10 = 0)
+@query(f"""with {_E}, w as (select entity_id, step, rul, array_agg([s1, s2]) over (partition by entity_id order by step rows 29 preceding) as a from lab)
     select entity_id, step, len(flatten(a)) as size, round(list_sum(flatten(a)), 5) as total, round(flatten(a)[1], 6) as first, cast(rul as double) as label from w where step >= 30""")
 def window_arrays(s, d):
-    out = windows.window_arrays(events(s, d).where("entity_id % 10 = 0"), ["s1", "s2"], 30, spec=P40)
+    out = windows.window_arrays(events(s, d), ["s1", "s2"], 30, spec=P40)
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
     return out.select("entity_id", "step", F.size("features").cast("bigint").alias("size"), F.round(total, 5).alias("total"), F.round(F.col("features")[0], 6).alias("first"), "label")
 
@@ -699,7 +699,7 @@ def fit_regimes(s, d):
 
 @query()
 def choose_k(s, d):
-    return regimes.choose_k(panels.lineitem_panel(s, d), range(1, 5), sample=400)
+    return regimes.choose_k(panels.lineitem_panel(s, d), range(1, 5), sample=2000)
 
 
 @query()

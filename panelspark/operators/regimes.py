@@ -48,7 +48,8 @@ def choose_k(df: DataFrame, ks=range(1, 11), settings=("op1", "op2"), sample: in
 
     spark = df.sparkSession
     vectors = VectorAssembler(inputCols=list(settings), outputCol="_settings").transform(df).withColumn("_h", F.xxhash64(*df.columns))
-    few = vectors.orderBy("_h").limit(sample).select("_h", "_settings", *settings).persist()
+    few = vectors.orderBy("_h").limit(sample).select(F.monotonically_increasing_id().alias("i"), "_settings", *settings)
+    few = few.repartition(spark.sparkContext.defaultParallelism, "i").persist()  # so that the pairs are made in many tasks
     rows = []
     try:
         for k in ks:
@@ -57,7 +58,7 @@ def choose_k(df: DataFrame, ks=range(1, 11), settings=("op1", "op2"), sample: in
                 rows.append((k, float(sum(n[c] for c in settings) * n["n"]), None, None))
                 continue
             model = KMeans(k=k, seed=seed, featuresCol="_settings").fit(vectors.select("_settings"))
-            at = model.transform(few).select(F.monotonically_increasing_id().alias("i"), *settings, F.col("prediction").alias("c"))
+            at = model.transform(few).select("i", *settings, F.col("prediction").alias("c"))
             other = at.select(F.col("i").alias("j"), *[F.col(s).alias(f"{s}_") for s in settings], F.col("c").alias("c_"))
             d = F.sqrt(sum(((F.col(s) - F.col(f"{s}_")) ** 2 for s in settings), F.lit(0.0)))
             near = at.join(F.broadcast(other), F.col("i") != F.col("j")).groupBy("i", "c", "c_").agg(F.avg(d).alias("d"))

@@ -693,13 +693,13 @@ def flagship(s, d):
 
 @query()
 def fit_regimes(s, d):
-    model = regimes.fit_regimes(train(panels.lineitem_panel(s, d)), 4, restarts=2)
+    model = regimes.fit_regimes(train(panels.lineitem_panel(s, d)))
     return regimes.cluster_sizes(regimes.assign_regimes(panels.lineitem_panel(s, d), [list(map(float, c)) for c in model.clusterCenters()]), "op_cluster")
 
 
 @query()
 def choose_k(s, d):
-    return regimes.choose_k(panels.lineitem_panel(s, d), range(1, 5), sample=2000)
+    return regimes.choose_k(panels.lineitem_panel(s, d))
 
 
 @query()

@@ -53,3 +53,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_regime_queries_try_all_of_the_reference(spark):
+    rows = Q.QUERIES["choose_k"](spark, SF).collect()
+    assert [r.k for r in sorted(rows)] == list(range(1, 11))
+    assert sum(bool(r.best_silhouette) for r in rows) == sum(bool(r.elbow) for r in rows) == 1
+    assert Q.QUERIES["fit_regimes"](spark, SF).count() == 6

@@ -16,6 +16,7 @@ from panelspark.llm.tokens import sliced
 UNKNOWN = "und"
 #: Feature hashes of a word: whole word, prefixes and suffixes of 1 to 3 letters, n-grams of 2 and 3 letters.
 SLOTS = 1 << 17
+#: Longer runs of letters are labelled in pieces that follow each other, so that no letter is left out.
 LONGEST = 24
 #: Distinct words whose scores a worker keeps.
 MEMORY = 400_000
@@ -23,16 +24,16 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of lower-case words, cut at LONGEST, between two marks; and lengths with the marks."""
-    cut = [w[:LONGEST] for w in words]
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    flat = np.frombuffer("".join(cut).encode("utf-32-le"), "<u4")
-    out = np.zeros((len(cut), LONGEST + 2), np.uint64)
-    row = np.repeat(np.arange(len(cut)), sizes)
+    """Code points of lower-case words between two marks, and lengths with the marks. The table is as wide as the longest
+    word; those of tokens_of have at most LONGEST letters."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    out = np.zeros((len(words), max(LONGEST, int(sizes.max(initial=0))) + 2), np.uint64)
+    row = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[row, at + 1] = flat
     out[:, 0] = 1
-    out[np.arange(len(cut)), sizes + 1] = 2
+    out[np.arange(len(words)), sizes + 1] = 2
     return out, sizes + 2
 
 
@@ -124,11 +125,11 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, start: np.ndarray, tra
     return np.divide(forward, total, out=forward, where=total > 0)
 
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def tokens_of(text: str) -> list[str]:
-    """Runs of letters in lower case; none where no character is a letter."""
+    """Runs of letters in lower case, longer ones in pieces of LONGEST and a rest; none where no character is a letter."""
     words = _WORD.findall(text.lower())
     return words if any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w) else []
 
@@ -281,7 +282,7 @@ def _label(model: Crf, carry: bool):
 def label_languages(docs: DataFrame, model: Crf, text: str = "text", carry_text: bool = False) -> DataFrame:
     """Rows of docs with lang_pred and score; the text itself only with carry_text.
 
-    Whole texts are labelled word by word; the model goes to tasks with the code, and its size is fixed by SLOTS.
+    Whole texts are labelled word by word, runs of over LONGEST letters piece by piece; the model goes to tasks with the code, and its size is fixed by SLOTS.
     Defined results: null texts and such without a letter are `und` with score 0; other rows depend on the text alone,
     so repeated rows and null ids are no special cases; an empty table gives no rows; columns that clash with the result's are left out.
     """

@@ -72,3 +72,13 @@ def test_held_out_accuracy_on_spark(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in tested) / len(tested) > 0.97
     assert {r.lang_pred for r in out if r.doc_id in (None, 900)} == {"und"}
     assert crf.label_languages(df.limit(0), model).count() == 0
+
+
+def test_whole_of_texts_without_spaces(model):
+    rng = random.Random(5)
+    run = lambda lang, n: "".join(rng.choice(SYLLABLES[lang]) for _ in range(n))
+    texts = [run("xx", 12) + run(x, 300) for x in ("yy", "zz")]  # 24 letters of xx, then another language
+    assert ["".join(crf.tokens_of(t)) for t in texts] == texts and max(map(len, crf.tokens_of(texts[0]))) == crf.LONGEST
+    assert [x for x, _ in crf.predict(model, texts)] == ["yy", "zz"]
+    switched = run("xx", 150) + run("yy", 400)
+    assert crf.predict(model, [switched])[0][0] == "yy"

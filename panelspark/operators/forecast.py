@@ -48,10 +48,26 @@ def d_distribution(adf: DataFrame) -> DataFrame:
     return adf.where("status = 'ok'").groupBy("d").agg(F.count(F.lit(1)).alias("n"))
 
 
-def order_grid(df: DataFrame, column: str, ps=(1, 2), ds=(1,), qs=(0, 1), spec: PanelSpec = P) -> DataFrame:
-    """AIC of every order for every entity, each (entity, order) a group of its own."""
-    orders = df.sparkSession.createDataFrame(list(product(ps, ds, qs)), "p int, d int, q int")
+#: Orders (p, q) that are tried: pure autoregressions, then mixed ones.
+AR_ORDERS = tuple((p, 0) for p in range(1, 11))
+ARMA_ORDERS = tuple(product(range(1, 4), range(1, 4)))
+
+
+def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: PanelSpec = P) -> DataFrame:
+    """AIC of every order for every entity, each (entity, order) a group of its own.
+
+    By default p and q are those of AR_ORDERS and ARMA_ORDERS, and d is the entity's own from adf_by_entity (1 where its
+    series is too short for the test); AICs of different d don't compare. Given ps, ds or qs are tried in all combinations.
+    """
+    spark = df.sparkSession
+    pairs = [*AR_ORDERS, *ARMA_ORDERS] if ps is None and qs is None else list(product(ps or range(1, 11), qs or range(4)))
+    orders = spark.createDataFrame(pairs, "p int, q int")
     rows = _series(df, column, spec).crossJoin(F.broadcast(orders))  # the grid is a parameter
+    if ds is None:
+        own = adf_by_entity(df, column, spec).select("entity_id", F.coalesce("d", F.lit(1)).alias("d"))
+        rows = rows.join(own, "entity_id")
+    else:
+        rows = rows.crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in ds], "d int")))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         e, p, d, q = (int(pdf[c].iloc[0]) for c in ("entity_id", "p", "d", "q"))

@@ -745,7 +745,7 @@ def modal_order(s, d):
 
 @query()
 def forecast_by_entity(s, d):
-    return forecast.forecast_by_entity(events(s, d), "s1", (1, 1, 0), 50, spec=P40)
+    return forecast.forecast_by_entity(events(s, d), "s1", (1, 1, 0), spec=P40)
 
 
 @query()
@@ -779,7 +779,7 @@ def fit_point_regressor(s, d):
 @query()
 def fit_asymmetric_regressor(s, d):
     a, b = (windows.window_arrays(x, ["s1", "s2"], 10, k == 1, P40) for k, x in enumerate(_sides(s, d)))
-    model, _ = learn.fit_boosted(a, b, "asymmetric", rounds=2)
+    model, _ = learn.fit_boosted(a, b, "asymmetric")
     return learn.score_boosted(model, b, cap=40).select("entity_id", "label", "rul_pred")
 
 
@@ -792,7 +792,7 @@ def fit_quantile_regressor(s, d):
 @query()
 def window_length_sensitivity(s, d):
     a, b = _sides(s, d)
-    return learn.window_length_sensitivity(a, b, ["s1", "s2"], (10, 20), spec=P40)
+    return learn.window_length_sensitivity(a, b, ["s1", "s2"], spec=P40)
 
 
 @query()

@@ -197,3 +197,32 @@ def test_grouped_maps_report_short_series(spark):
     assert forecast.forecast_by_entity(df, "s1", (1, 0, 0), 7, smooth=1, spec=ONE).where("entity_id = 1").isEmpty()
     w = forecast.walk_forward(df, "s1", (2, 0, 0), spec=ONE)
     assert w.count() == 12 and {r.step for r in w.collect()} == set(range(28, 40))
+
+
+def test_order_grid_reaches_the_reference(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    e = rng.normal(size=n)
+    ar, walk, ma = np.zeros(n), np.cumsum(rng.normal(size=n)), np.zeros(n)
+    for k in range(3, n):
+        ar[k] = 0.1 * ar[k - 1] - 0.2 * ar[k - 2] + 0.6 * ar[k - 3] + e[k]
+        ma[k] = 0.5 * ma[k - 1] + e[k] + 0.3 * e[k - 1] + 0.8 * e[k - 2]
+    twice = np.cumsum(np.cumsum(rng.normal(size=n)))
+    rows = [(i, k, float(v)) for i, y in enumerate((ar, walk, ma, twice), 1) for k, v in enumerate(y)] + [(5, k, float(k)) for k in range(4)]
+    df = spark.createDataFrame(rows, "entity_id long, step int, s1 double")
+    grid = forecast.order_grid(df, "s1", spec=ONE).persist()
+    assert {(r.p, r.q) for r in grid.where("entity_id = 1").collect()} == {*((p, 0) for p in range(1, 11)), *((p, q) for p in (1, 2, 3) for q in (1, 2, 3))}
+    assert grid.count() == 5 * 19 and {r.status for r in grid.where("entity_id = 5").collect()} == {"short"}
+    best = {r.entity_id: (r.p, r.d, r.q) for r in forecast.best_orders(grid).collect()}
+    assert {i: o[1] for i, o in best.items()} == {1: 0, 2: 1, 3: 0, 4: 2}
+    assert best[1][0] >= 3 and (best[3][2] >= 2 or best[3][0] >= 3)
+    assert {(r.p, r.d, r.q) for r in forecast.order_grid(df, "s1", (1, 2), (1,), (0, 1), ONE).collect()} == {(p, 1, q) for p in (1, 2) for q in (0, 1)}
+
+
+def test_boosting_stops_by_patience(spark):
+    rng = np.random.default_rng(7)
+    rows = [([float(rng.normal())], float(rng.integers(0, 40))) for _ in range(60)]
+    a, b = (spark.createDataFrame(x, "features array<double>, label double") for x in (rows[:40], rows[40:]))
+    model, history = learn.fit_boosted(a, b, "squared")
+    h = [r.valid for r in history.orderBy("round").collect()]
+    assert 10 < len(h) < 50 and len(h) - (h.index(min(h)) + 1) == 10 and len(model["trees"]) == len(h) - 10

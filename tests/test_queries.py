@@ -60,3 +60,8 @@ def test_regime_queries_try_all_of_the_reference(spark):
     assert [r.k for r in sorted(rows)] == list(range(1, 11))
     assert sum(bool(r.best_silhouette) for r in rows) == sum(bool(r.elbow) for r in rows) == 1
     assert Q.QUERIES["fit_regimes"](spark, SF).count() == 6
+
+
+def test_forecast_queries_run_all_of_the_reference(spark):
+    assert Q.QUERIES["forecast_by_entity"](spark, SF).agg({"at": "max"}).first()[0] == 149
+    assert {r.width for r in Q.QUERIES["window_length_sensitivity"](spark, SF).collect()} == {10, 20, 30, 50, 75}

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +26,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a session of one machine
+    (master local) gets a temporary one; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="panelspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,7 +45,30 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, so that lost executors cost no upstream work."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where materialised tables lie.
+_PATHS: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later plan reads."""
+    for df in tables:
+        held, path = _PATHS.pop(id(df), (None, None))
+        if held is not None and held() is df:
+            file_system(df.sparkSession, path)[0].delete(hadoop_path(df.sparkSession, path), True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    p = hadoop_path(spark, path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,10 +80,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def digest128(text: Column | str) -> Column:
-    """Two seeds of xxhash64 as one binary(16): a key for texts and lines."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.concat(F.to_binary(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex(F.xxhash64(F.lit(7), c)), 16, "0"), F.lit("hex")))
+def key128(*columns: Column | str) -> Column:
+    """Two seeds of xxhash64 over the columns, as 32 hex digits: a key for groups within one run."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in (1, 2)])
+
+
+def sha256(text: Column) -> Column:
+    """SHA-256 of a text as binary(32): a key that lasting tables can rely on."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def runs_of(batches, *keys: str):
+    """Tables of the rows of one key each, from batches sorted by it; null is a key of its own. Keys are integers."""
+    held: list[pa.RecordBatch] = []
+    of = lambda b, k: tuple(b.column(c)[k].as_py() for c in keys)
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n - 1, bool)
+        for c in keys:
+            x = batch.column(c)
+            for v in (x.fill_null(0).to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False)):
+                new |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and of(held[-1], 0) != of(batch, a):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 _HOLDER: list = [None, None]

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm.jaccard import _runs_of
 
 ROLES = ("system", "user", "assistant")
 START = 3
@@ -40,6 +39,11 @@ def _insertions(state: int, role: int) -> tuple[int, ...] | None:
 _BETWEEN = {(s, q): _insertions(s, q) for s in (0, 1, 2, START) for q in (0, 1, 2, START)}
 
 
+def _merges(costs: Costs, state: int, role: int) -> bool:
+    """Whether a turn of the state's own role is merged: where that costs no more than empty turns between the two."""
+    return state == role and (_BETWEEN[state, role] is None or costs.merge <= costs.insert * len(_BETWEEN[state, role]))
+
+
 def _steps(costs: Costs) -> dict[str, np.ndarray]:
     """For each observed role the cost of going from a state (rows) to the role it is given (columns)."""
     move = np.full((4, 3), np.inf)
@@ -47,8 +51,8 @@ def _steps(costs: Costs) -> dict[str, np.ndarray]:
         for q in range(3):
             if _BETWEEN[s, q] is not None:
                 move[s, q] = costs.insert * len(_BETWEEN[s, q])
-            if s == q:
-                move[s, q] = min(move[s, q], costs.merge)
+            if _merges(costs, s, q):
+                move[s, q] = costs.merge
     out = {r: move + np.array([0 if k == q else costs.relabel for q in range(3)]) for k, r in enumerate(ROLES)}
     out[""] = move + costs.name
     return out
@@ -100,7 +104,7 @@ _OUT = "conv_id bigint, turn bigint, role string, new_role string, action string
 def _render(costs: Costs):
     def run(batches):
         move = _steps(costs)
-        for t in _runs_of(batches, "run"):
+        for t in C.runs_of(batches, "conv_id", "part"):
             rows = t.to_pylist()
             entry = rows[0]["entry"] if rows[0]["entry"] is not None else START
             last = rows[0]["leave"] is None or rows[0]["is_last"]
@@ -108,7 +112,7 @@ def _render(costs: Costs):
             path = solve(roles, costs, entry, rows[0]["leave"])
             out, state = [], entry
             for k, (r, q) in enumerate(zip(rows, path, strict=True)):
-                merged = state == q
+                merged = _merges(costs, state, q)
                 made = () if merged else _BETWEEN[state, q]
                 text = r["text"] or ""
                 fragment = "\n" + text if merged else (CLOSE if state != START else "") + _empty(made) + OPEN.format(ROLES[q]) + text
@@ -132,7 +136,7 @@ def _render(costs: Costs):
 
 def _matrices(costs: Costs):
     def run(batches):
-        for t in _runs_of(batches, "run"):
+        for t in C.runs_of(batches, "conv_id", "part"):
             m = transfer([_known(r) for r in t.column("role").to_pylist()], costs)
             yield pa.record_batch([t.column("conv_id").slice(0, 1).combine_chunks(), t.column("part").slice(0, 1).combine_chunks(), pa.array([m.tobytes()], pa.binary())], names=["conv_id", "part", "matrix"])
 
@@ -186,16 +190,16 @@ def repair_roles(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id"
     order = ["conv_id", "turn", "role", "text"]
     rows = turns.select(F.col(conv).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(C.partitions(spark), *order).withColumn("part", F.spark_partition_id())
-    dealt = C.materialise(dealt, "turns").withColumn("run", F.xxhash64("conv_id", "part"))
+    dealt = C.materialise(dealt, "turns")
     # at most two conversations of a partition go on elsewhere, so these tables have a row or two for each partition
     wide = dealt.groupBy("conv_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).where(F.col("a") < F.col("b")).select(F.col("conv_id").alias("_c"))
-    parted = dealt.select("conv_id", "turn", "role", "text", "part", "run").join(F.broadcast(wide), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    parted = dealt.select("conv_id", "turn", "role", "text", "part").join(F.broadcast(wide), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
     n = C.partitions(spark)
-    matrices = parted.repartition(n, "run").sortWithinPartitions("run", *order).select("conv_id", "part", "run", "role").mapInArrow(_matrices(costs), "conv_id bigint, part int, matrix binary")
+    matrices = parted.repartition(n, "conv_id", "part").sortWithinPartitions("conv_id", "part", *order[1:]).select("conv_id", "part", "role").mapInArrow(_matrices(costs), "conv_id bigint, part int, matrix binary")
     cuts = matrices.groupBy("conv_id").applyInArrow(_boundaries(costs), "conv_id bigint, part int, entry int, leave int, is_last boolean")
     cuts = C.materialise(cuts, "cuts").select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), "entry", "leave", "is_last")
     known = dealt.join(F.broadcast(cuts), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left").drop("_c", "_p")
-    return known.repartition(n, "run").sortWithinPartitions("run", *order).mapInArrow(_render(costs), _OUT)
+    return known.repartition(n, "conv_id", "part").sortWithinPartitions("conv_id", "part", *order[1:]).mapInArrow(_render(costs), _OUT)
 
 
 def render(fragments: DataFrame) -> DataFrame:

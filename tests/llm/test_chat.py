@@ -10,18 +10,16 @@ from panelspark.llm import chat as H
 K = H.Costs()
 
 
-def brute(roles):
+def brute(roles, K=K):
     """Least cost over all role sequences and merges, by trying every one."""
     best = float("inf")
     for path in itertools.product(range(3), repeat=len(roles)):
         cost, state = 0, H.START
         for r, q in zip(roles, path, strict=True):
             cost += (0 if r == H.ROLES[q] else K.relabel) if r else K.name
-            if state == q:
-                cost += K.merge
-            else:
-                made = H._BETWEEN[state, q]
-                cost = float("inf") if made is None else cost + K.insert * len(made)
+            made = H._BETWEEN[state, q]
+            moves = [K.merge] if state == q else []
+            cost += min(moves + ([] if made is None else [K.insert * len(made)]), default=float("inf"))
             state = q
         best = min(best, cost + K.insert * len(H._BETWEEN[state, H.START]))
     return best
@@ -69,3 +67,21 @@ def test_render_and_empty(spark):
     out = H.repair_roles(df)
     assert H.render(out).first().rendered == "<|im_start|>user\nhi\nagain<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert H.repair_roles(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_costs(spark, seed):
+    """What is rendered is what was chosen: counted from the labels, each conversation costs the least."""
+    rng = random.Random(seed)
+    costs = H.Costs(merge=9) if not seed else H.Costs(*(rng.randint(0, 9) for _ in range(4)))
+    rows = [(c, k, rng.choice(["user", "user", "assistant", "system", "?"]), f"t{k}") for c in range(60) for k in range(rng.randint(1, 5))]
+    convs = defaultdict(list)
+    for r in H.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), costs).collect():
+        convs[r.conv_id].append(r)
+    for c, got in convs.items():
+        got.sort(key=lambda r: (r.part, r.place))
+        given = [H._known(x[2]) for x in rows if x[0] == c]
+        paid = sum(costs.merge * ("merge" in r.action) + costs.insert * r.inserted + (0 if H._known(r.role) == r.new_role else costs.relabel if H._known(r.role) else costs.name) for r in got)
+        assert paid == sum(r.cost for r in got) == brute(given, costs)
+        text = "".join(r.fragment for r in got)
+        assert legal(text) and text.count("<|im_start|>") == len(got) + sum(r.inserted - ("merge" in r.action) for r in got)

@@ -7,21 +7,20 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
 from panelspark.llm.components import connected_components
 from panelspark.llm.tokens import sliced
 
-_LOW = np.uint64((1 << 48) - 1)
 _WORDS: dict[bytes, int] = {}
-#: Documents whose shingles one message covers.
-UNIT_DOCS = 2048
-#: Blocks of at most so many documents are joined pair by pair; larger ones chunk by chunk.
-SMALL_BLOCK = 16
-CHUNK_DOCS = 512
-CHUNK_TOKENS = 400_000
+#: Shingles of one unit: as many as these, or so many for each bucket if that is more, of at most UNIT_DOCS documents.
+UNIT_SHINGLES = 700_000
+BUCKET_SHINGLES = 48
+UNIT_DOCS = 65_000
+#: Heads of a token that one join task pairs with the others of the token.
+HEADS = 2048
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,107 +66,94 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(counts, np.int64)
 
 
-_MESSAGE = "unit bigint, kind int, bucket int, counts binary, tokens binary, doc_ids array<bigint>"
+_MESSAGE = "unit bigint, kind int, bucket int, tokens binary, counts binary, docs binary, df binary, doc_ids array<bigint>, text_hashes array<bigint>"
 
 
 def _message(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["unit", "kind", "bucket", "counts", "tokens", "doc_ids"])
+    ids = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), ids, ids]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _MESSAGE.split(", ")])
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    return counts.astype("<u2" if counts.max(initial=0) < 65536 else "<u4").tobytes()
-
-
-def _wide(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype(np.int64)
-
-
-def _six(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
+def _unit(unit: int, buckets: int, hashes: np.ndarray, sizes: np.ndarray, ids: list, texts: list):
+    """Messages of a unit: for each bucket of hashes, those that its documents have, each once, with the documents of
+    each; and one that tells the unit's documents, their set sizes and the digests of their sets."""
+    import xxhash
 
-def _from_six(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    ends = np.cumsum(sizes)
+    digests = b"".join(xxhash.xxh3_128_digest(hashes[e - s : e].tobytes()) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True))
+    rows = [(unit, 0, unit % buckets, digests, sizes.astype("<u4").tobytes(), None, None, ids, texts)]
+    order = np.argsort(hashes, kind="stable")
+    hashes, doc = hashes[order], np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)[order]
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    tokens, many = hashes[starts], np.diff(np.append(starts, len(hashes))).astype("<u2")
+    bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(tokens) else []
+    starts = np.append(starts, len(hashes))
+    for a, b in zip(cuts, [*cuts[1:], len(tokens)], strict=True):
+        rows.append((unit, 1, int(bucket[a]), tokens[a:b].tobytes(), many[a:b].tobytes(), doc[starts[a] : starts[b]].tobytes(), None, None, None))
+        if len(rows) >= 4096:
+            yield _message(rows)
+            rows = []
+    if rows:
+        yield _message(rows)
 
 
 def _send(width: int, buckets: int):
-    """A message for each unit of documents and bucket of hashes: the hashes' low 48 bits by document; and one that
-    tells the unit's documents, their set sizes and the digests of their sets."""
+    """Messages of units of documents (see _unit)."""
+    full = max(UNIT_SHINGLES, BUCKET_SHINGLES * buckets)
 
     def run(batches):
-        import xxhash
-
         C.take_turn("shingles", _WORDS.clear)
         np.seterr(over="ignore")
         unit = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for b in sliced(batch, UNIT_DOCS):
-                texts = b.column("_text").cast(pa.binary()).to_pylist()
-                parts = [shingle_sets(texts[k : k + 512], width) for k in range(0, len(texts), 512)]
-                hashes, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                n, ends = len(sizes), np.cumsum(sizes)
-                digests = b"".join(xxhash.xxh3_128_digest(hashes[e - s : e].tobytes()) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True))
-                bucket = (((hashes >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.uint16)
-                doc = np.repeat(np.arange(n), sizes)
-                order = np.argsort(bucket, kind="stable")
-                counts = np.bincount(bucket.astype(np.int64) * n + doc, minlength=buckets * n).reshape(buckets, n)
-                low, at = (hashes & _LOW)[order], 0
-                rows = [(unit, 0, unit % buckets, sizes.astype("<u4").tobytes(), digests, b.column("_doc").to_pylist())]
-                for k, c in enumerate(counts.sum(1).tolist()):
-                    if c:
-                        rows.append((unit, 1, k, _narrow(counts[k]), _six(low[at : at + c]), None))
-                    at += c
-                yield _message(rows)
-                unit += 1
+        held: list[tuple] = []
+        total = docs = 0
 
-    return run
+        def flush():
+            nonlocal unit, total, docs
+            parts = list(zip(*held, strict=True))
+            yield from _unit(unit, buckets, np.concatenate(parts[0]), np.concatenate(parts[1]), list(chain(*parts[2])), list(chain(*parts[3])))
+            held.clear()
+            unit, total, docs = unit + 1, 0, 0
 
+        for batch in batches:
+            for b in sliced(batch, 512):
+                hashes, sizes = shingle_sets(b.column("_text").cast(pa.binary()).to_pylist(), width)
+                held.append((hashes, sizes, b.column("_doc").to_pylist(), b.column("_text_hash").to_pylist()))
+                total, docs = total + len(hashes), docs + len(sizes)
+                if total >= full or docs > UNIT_DOCS - 512:
+                    yield from flush()
+        if held:
+            yield from flush()
 
-def _runs_of(batches, key: str):
-    """Tables of the rows of one key each, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        if not len(keys):
-            continue
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(a, b - a)
-            if held and held[-1].column(key)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
+    return run
 
 
 def _answer(batches):
     """For each bucket: in how many documents each hash is; back go those in two or more, with that number."""
-    for t in _runs_of(batches, "bucket"):
-        rows = t.to_pylist()
-        for r in rows:
-            if r["kind"] == 0:
-                yield _message([(r["unit"], 0, r["bucket"], r["counts"], r["tokens"], r["doc_ids"])])
-        rows = [r for r in rows if r["kind"] == 1]
+    for t in C.runs_of(batches, "bucket"):
+        kind = t.column("kind").to_numpy()
+        if (kind == 0).any():
+            yield from t.filter(pa.array(kind == 0)).combine_chunks().to_batches()
+        rows = t.filter(pa.array(kind == 1)).select(["unit", "bucket", "tokens", "counts", "docs"]).to_pylist()
         if not rows:
             continue
-        tokens = _from_six(b"".join(r["tokens"] for r in rows))
+        tokens = np.frombuffer(b"".join(r["tokens"] for r in rows), "<u8")
+        many = np.frombuffer(b"".join(r["counts"] for r in rows), "<u2")
         order = np.argsort(tokens)
         s = tokens[order]
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        n = np.diff(np.append(starts, len(s)))
         found = np.empty(len(s), np.int64)
-        found[order] = np.repeat(n, n)
+        found[order] = np.repeat(np.add.reduceat(many[order].astype(np.int64), starts), np.diff(np.append(starts, len(s))))
         at, out = 0, []
         for r in rows:
-            m = len(r["tokens"]) // 6
-            f = found[at : at + m]
+            m = len(r["tokens"]) // 8
+            n, f = many[at : at + m], found[at : at + m]
             shared = f > 1
             if shared.any():
-                out.append((r["unit"], 1, r["bucket"], r["counts"], _six(tokens[at : at + m][shared]) + np.minimum(f[shared], 65535).astype("<u2").tobytes() + np.packbits(shared).tobytes(), [m, int(shared.sum())]))
+                docs = np.frombuffer(r["docs"], "<u2")[np.repeat(shared, n)]
+                out.append((r["unit"], 1, r["bucket"], tokens[at : at + m][shared].tobytes(), n[shared].tobytes(), docs.tobytes(), np.minimum(f[shared], 2**32 - 1).astype("<u4").tobytes(), None, None))
             at += m
             if len(out) >= 256:
                 yield _message(out)
@@ -177,152 +163,136 @@ def _answer(batches):
 
 
 def _assemble(percent: int):
-    """For each unit: its documents with set size and digest; of those whose prefix reaches shared hashes also these, in
-    the order (documents, hash) with the rarest first, and how many of them the prefix covers."""
+    """For each unit: its documents with set size and digest; of those whose prefix reaches shared hashes also these, the
+    rarest first, and how many of them the prefix covers."""
 
     def run(batches):
-        for t in _runs_of(batches, "unit"):
+        for t in C.runs_of(batches, "unit"):
             rows = t.to_pylist()
             head = next(r for r in rows if r["kind"] == 0)
-            n, ids = np.frombuffer(head["counts"], "<u4").astype(np.int64), head["doc_ids"]
+            n = np.frombuffer(head["counts"], "<u4").astype(np.int64)
             docs, tokens, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for r in rows:
                 if r["kind"] == 1:
-                    m, k = r["doc_ids"]
-                    blob = r["tokens"]
-                    shared = np.unpackbits(np.frombuffer(blob[8 * k :], np.uint8), count=m).astype(bool)
-                    docs.append(np.repeat(np.arange(len(n)), _wide(r["counts"], len(n)))[shared])
-                    tokens.append(_from_six(blob[: 6 * k]) | np.uint64(r["bucket"] << 48))
-                    found.append(np.frombuffer(blob[6 * k : 8 * k], "<u2").astype(np.int64))
+                    many = np.frombuffer(r["counts"], "<u2")
+                    docs.append(np.frombuffer(r["docs"], "<u2").astype(np.int64))
+                    tokens.append(np.repeat(np.frombuffer(r["tokens"], "<u8"), many))
+                    found.append(np.repeat(np.frombuffer(r["df"], "<u4"), many).astype(np.int64))
             doc, token, df = np.concatenate(docs), np.concatenate(tokens), np.concatenate(found)
             shared = np.bincount(doc, minlength=len(n))
             prefix = np.where(n > 0, n - (percent * n + 99) // 100 + 1 - (n - shared), 0)
             mine = prefix[doc] > 0
             doc, token, df = doc[mine], token[mine], df[mine]
+            score = np.bincount(doc, np.log2(df), len(n)) / np.maximum(n, 1)
             order = np.lexsort((token, df, doc))
             doc, token = doc[order], token[order].view(np.int64)
             ends = np.cumsum(np.bincount(doc, minlength=len(n)))
             digests = head["tokens"]
             lists = [token[(ends[k - 1] if k else 0) : ends[k]] if prefix[k] > 0 else None for k in range(len(n))]
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([digests[16 * k : 16 * k + 16] if n[k] else None for k in range(len(n))], pa.binary()), pa.array(np.maximum(prefix, 0).astype(np.int32)), pa.array(lists, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "prefix", "tokens"],
+                [pa.array(head["doc_ids"], pa.int64()), pa.array(head["text_hashes"], pa.int64()), pa.array(n, pa.int64()), pa.array([digests[16 * k : 16 * k + 16] if n[k] else None for k in range(len(n))], pa.binary()), pa.array(np.maximum(prefix, 0).astype(np.int32)), pa.array(score), pa.array(lists, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "prefix", "score", "tokens"],
             )
 
     return run
 
 
 def shared_shingles(docs: DataFrame, width: int, percent: int, text: str, id_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), prefix and tokens of every document.
+    """doc_id, text_hash, n_shingles, digest (of the set; null if empty), prefix, score (the mean logarithm of how many
+    documents have its shingles) and tokens of every document.
 
     A link needs a common shingle among the first n - ceil(percent/100 * n) + 1 of both sets in any one order of all
     shingles. Here the order is by the number of documents, so that a document's own shingles come first: one whose
-    prefix holds nothing else has no link, and its shingles go no further. Hashes travel by bucket as packed arrays.
+    prefix holds nothing else has no link, and its shingles go no further. Shingles are counted in two steps: tasks send
+    each 64-bit hash once for all documents of a unit, and its bucket adds up the units' counts; both travel as packed
+    arrays. Buckets are four for each shuffle partition (2**18 at most) and change no result, only how much a task holds.
     """
     spark = docs.sparkSession
     n = C.partitions(spark)
-    buckets = min(4 * n, 1 << 15)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    buckets = min(4 * n, 1 << 18)
+    texts = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_doc"), F.xxhash64(texts).alias("_text_hash"), texts.alias("_text"))
     sent = rows.mapInArrow(_send(width, buckets), _MESSAGE)
     answered = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _MESSAGE)
     back = answered.repartition(n, "unit").sortWithinPartitions("unit")
-    return C.materialise(back.mapInArrow(_assemble(percent), "doc_id bigint, n_shingles bigint, digest binary, prefix int, tokens array<bigint>"), "shingles")
-
-
-def _linked(na, nb, inter, percent: int):
-    return inter * 100 >= (na + nb - inter) * percent
-
-
-def _verify_chunk(percent: int):
-    def run(_, table):
-        side = table.column("side").to_numpy()
-        n = table.column("n").to_numpy()
-        tokens = table.column("tokens").combine_chunks()
-        lengths = np.diff(tokens.offsets.to_numpy())
-        values, column, count = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(n)), lengths)
-        # columns of one document can't be common; the others are numbered anew
-        number = np.cumsum(count > 1) - 1
-        use = count[column] > 1
-        row, column = row[use], number[column[use]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(b):
-            b = a
-        inter = np.zeros((len(a), len(b)), np.float32)
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            lo, hi = np.searchsorted(column, [start, start + 4096])
-            block = np.zeros((len(n), 4096), np.float32)
-            block[row[lo:hi], column[lo:hi] - start] = 1
-            inter += block[a] @ block[b].T
-        inter = np.rint(inter).astype(np.int64)
-        hits = np.argwhere(_linked(n[a][:, None], n[b][None, :], inter, percent))
-        parent = np.arange(len(n))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        forest = []
-        for i, j in hits.tolist():
-            x, y = find(a[i]), find(b[j])
-            if x != y:
-                parent[x] = y
-                forest.append((a[i], b[j]))
-        nodes = table.column("node").combine_chunks()
-        left, right = pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())
-        return pa.table({"a": nodes.take(left), "b": nodes.take(right)})
+    return C.materialise(back.mapInArrow(_assemble(percent), "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, prefix int, score double, tokens array<bigint>"), "shingles")
 
-    return run
+
+def _enough(na: Column, nb: Column, inter: Column, percent: int) -> Column:
+    """Whether an intersection reaches the similarity."""
+    return inter * (100 + percent) >= (na + nb) * percent
+
+
+def _may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+    """Size and place filter of two sets whose first common token is at these places (from 0) of their orders: no more
+    is common than what follows there."""
+    return _enough(na, nb, F.least(na - pa_, nb - pb), percent)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those that link, by their whole sets of shared shingles."""
+    of_a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    both = pairs.join(of_a, "a").join(of_b, "b")
+    return both.where(_enough(F.col("na"), F.col("nb"), F.size(F.array_intersect("ta", "tb")), percent)).select("a", "b")
 
 
-def shingle_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between distinct sets (node, n, prefix, tokens), enough of them to connect all that links connect.
+def shingle_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between distinct sets (node, n, prefix, score, tokens), enough to connect all that links connect, and the
+    components they make.
 
-    Sets of equal prefix and size form a group, and groups meet by prefix tokens. Tokens whose groups have at most
-    SMALL_BLOCK members give group pairs; these are expanded to members and verified. Larger blocks are first joined to
-    areas by their tokens; the members of an area are dealt into chunks, and each pair of chunks is verified as one
-    product of incidence matrices, of which a spanning forest is kept, so that neither rows nor memory grow with a
-    block's square.
+    Sets of equal prefix and size form a group, which stands for its members wherever prefixes meet. A token's groups
+    meet first with one set of the token, its pivot, that whose shingles most sets have (in a group of near copies the
+    one that was changed least): what passes the size and place filters is expanded to members and
+    verified, a number of pairs linear in the groups' tokens. Sets that links with pivots connect need no further pair.
+    Then all pairs of groups, split by these components, that share a token and pass the filters, but lie in different
+    components, are expanded and verified; a token of many groups is dealt to several tasks. Nothing is left out: a link
+    between sets of one component adds nothing to it, and each link between two components is among these pairs.
     """
-    sets = sets.withColumn("_prefix", F.slice("tokens", 1, F.col("prefix"))).withColumn("gid", F.xxhash64("_prefix", "n"))
-    groups = sets.groupBy("gid").agg(F.first("n").alias("n"), F.first("_prefix").alias("_prefix"), F.count(F.lit(1)).alias("members"))
-    heads = C.materialise(groups.select("gid", "n", "members", F.explode("_prefix").alias("token")), "prefixes")
-    blocks = heads.groupBy("token").agg(F.sum("members").alias("block")).where(F.col("block") > 1)
-    heads = heads.join(blocks, "token")
-    few = heads.where(F.col("block") <= SMALL_BLOCK)
-    x = few.select("token", F.col("gid").alias("ga"), F.col("n").alias("sa"), F.col("members").alias("ma"))
-    y = few.select("token", F.col("gid").alias("gb"), F.col("n").alias("sb"))
-    near = (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
-    pairs = x.join(y, "token").where(near & ((F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ma") > 1)))).select("ga", "gb").distinct()
-    of_a = sets.select(F.col("gid").alias("ga"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    of_b = sets.select(F.col("gid").alias("gb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    members = pairs.join(of_a, "ga").join(of_b, "gb").where((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b")))
-    inter = F.size(F.array_intersect("ta", "tb"))
-    edges = members.where(_linked(F.col("na"), F.col("nb"), inter, percent)).select("a", "b")
-
-    many = C.materialise(heads.where(F.col("block") > SMALL_BLOCK).select("token", "gid").join(sets.select("gid", "node"), "gid").select("token", "node"), "blocks")
-    pivots = many.groupBy("token").agg(F.min("node").alias("pivot"))
-    areas = connected_components(many.join(pivots, "token").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    dealt = C.materialise(areas.join(sets.select("node", "n", "tokens"), "node"), "areas")
-    chunks = dealt.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS), F.ceil(F.sum(F.size("tokens")) / CHUNK_TOKENS)).cast("int").alias("k"))
-    placed = dealt.join(chunks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "tokens")
-    kind = dict(dealt.dtypes)["node"]
-    verified = placed.groupBy("component", "low", "high").applyInArrow(_verify_chunk(percent), f"a {kind}, b {kind}")
-    return C.materialise(edges.unionByName(verified), "links")
-
-
-def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row of docs doc_id, n_shingles and component_id: the smallest doc_id that links reach, itself included.
+    sets = sets.withColumn("_prefix", F.slice("tokens", 1, F.col("prefix"))).withColumn("gid", C.key128("_prefix", "n"))
+    sets = C.materialise(sets.select("node", "n", "score", "tokens", "_prefix", "gid"), "sets")
+    own = F.col("n") - F.size("tokens")  # shingles of no other set come first
+    groups = sets.groupBy("gid").agg(F.first("n").alias("n"), F.first(own).alias("own"), F.first("_prefix").alias("_prefix"), F.max(F.struct("score", "node")).alias("head"), F.count(F.lit(1)).alias("members"))
+    heads = groups.select("gid", "n", "head", "members", "own", F.posexplode("_prefix").alias("_k", "token"))
+    heads = C.materialise(heads.select("token", "gid", "n", "head", "members", (F.col("own") + F.col("_k")).alias("place")), "prefixes")
+    # in a pair the set that is not the larger one has the token where it may link with one of its own size
+    short = _may_link(percent, F.col("n"), F.col("place"), F.col("n"), F.col("place"))
+    pivots = heads.groupBy("token").agg(F.max(F.when(short, F.struct("head", "n", "place"))).alias("p"), F.sum("members").alias("m")).where((F.col("m") > 1) & F.col("p").isNotNull())
+    pivots = pivots.select("token", F.col("p.head.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.place").alias("pb"))
+    near = heads.join(pivots, "token").where(_may_link(percent, F.col("n"), F.col("place"), F.col("nb"), F.col("pb"))).select("gid", "b").distinct()
+    pairs = near.join(sets.select("gid", F.col("node").alias("a")), "gid").where(F.col("a") != F.col("b")).select("a", "b")
+    first = C.materialise(_verified(pairs, sets, percent), "links")
+    parts = connected_components(first)
+
+    placed = sets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = C.materialise(placed.select("node", "gid", "component"), "placed")
+    split = placed.select("gid", "component").distinct()
+    heads = heads.select("token", "gid", "n", "place").join(split, "gid")
+    mixed = heads.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).where(F.col("x") != F.col("y"))
+    heads = C.materialise(heads.join(mixed.select("token", F.ceil(F.col("c") / HEADS).cast("int").alias("tasks")), "token").withColumn("unit", F.struct("n", "gid", "component")), "mixed")
+    x = heads.where(short).select("token", F.pmod(F.xxhash64("unit"), "tasks").cast("int").alias("task"), F.col("unit").alias("x"), F.col("place").alias("px"))
+    y = heads.select("token", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("unit").alias("y"), F.col("place").alias("py"))
+    met = x.join(y, ["token", "task"]).where((F.col("x") < F.col("y")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent, F.col("x.n"), F.col("px"), F.col("y.n"), F.col("py")))
+    met = met.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("gid", "component")]).distinct()
+    member = lambda s, name: placed.select(F.col("gid").alias(f"{s}_gid"), F.col("component").alias(f"{s}_component"), F.col("node").alias(name))
+    pairs = met.join(member("x", "a"), ["x_gid", "x_component"]).join(member("y", "b"), ["y_gid", "y_component"]).select("a", "b")
+    second = C.materialise(_verified(pairs, sets, percent), "links")
+    # what was connected stands for its sets in the last components
+    name = lambda s: placed.select(F.col("node").alias(s), F.col("component").alias(f"{s}_component"))
+    joined = second.join(name("a"), "a").join(name("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    whole = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = placed.select("node", "component").join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return first.unionByName(second), named
+
+
+def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, text: str = "text", id_col: str = "doc_id", with_text_hash: bool = False) -> DataFrame:
+    """Per row of docs doc_id, n_shingles and component_id: the smallest doc_id that links reach, itself included; with
+    with_text_hash also xxhash64 of the text, which tells rows of one id apart.
 
     Words are split at white space, A-Z in lower case; the set is that of shingles of `width` words, or the whole word
     sequence if shorter. Two documents link if 100 * intersection >= percent * union. Documents of equal sets are one
-    class, represented once in the join. Hashes of 55 bits and more stand for shingles.
+    class, represented once in the join. 64-bit hashes stand for shingles: two documents would have to hold different
+    shingles of one hash, and be within one shingle of the limit, for a wrong link.
 
     Defined results: null, empty and blank texts have no shingles and no links; null ids never are the smallest, and
     stay as component only where no other id is reached; repeated rows are copies like others; an empty table gives no
@@ -331,12 +301,12 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, text: str
     C.prepare(docs.sparkSession)
     sets = shared_shingles(docs, width, percent, text, id_col)
     classes = C.materialise(
-        sets.where(F.col("prefix") > 0).groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens")).withColumnRenamed("digest", "node"),
+        sets.where(F.col("prefix") > 0).groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("score").alias("score"), F.first("tokens").alias("tokens")).withColumnRenamed("digest", "node"),
         "classes",
     )
-    found = connected_components(shingle_links(classes.select("node", "n", "prefix", "tokens"), percent))
-    named = classes.select("node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    _, found = shingle_links(classes.select("node", "n", "prefix", "score", "tokens"), percent)
+    named = C.materialise(classes.select("node", "least_id").join(found, "node"), "named")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_class = C.materialise(named.select("node", "component").join(least, "component").select(F.col("node").alias("digest"), "component_id"), "class-components")
-    out = sets.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.join(by_class, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["text_hash"] if with_text_hash else []))

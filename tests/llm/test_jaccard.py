@@ -67,7 +67,8 @@ def corpus(seed, base, hot):
 @pytest.mark.parametrize("seed,base,hot", [(1, 60, 0), (2, 30, 90), (3, 0, 0)])
 def test_against_brute_force(spark, monkeypatch, seed, base, hot):
     docs = corpus(seed, base, hot) if base else [(1, "just one")]
-    monkeypatch.setattr(J, "CHUNK_DOCS", 20)
+    monkeypatch.setattr(J, "HEADS", 5)
+    monkeypatch.setattr(J, "UNIT_DOCS", 700 if seed == 1 else 65_000)
     df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, digest int").repartition(3)
     out = J.jaccard_groups(df).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(docs)
@@ -88,3 +89,57 @@ def test_components(spark):
         root[y] = x
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+@pytest.mark.parametrize("members", [17, 5000])
+def test_block_of_many(spark, members):
+    """Near copies of one text, with a chain of ever more changed ones that only links through the chain connect."""
+    rng = random.Random(members)
+    seed = [f"w{k}" for k in range(100)]
+    docs = []
+    for k in range(members):
+        v = list(seed)
+        for _ in range(rng.randint(0, 2)):
+            v[rng.randrange(100)] = f"x{rng.randint(0, 400)}"
+        docs.append((k, " ".join(v)))
+    v = list(seed)
+    for k in range(40):
+        v[k] = f"y{k}"
+        docs.append((10_000 + k, " ".join(v)))
+    out = {r.doc_id: r.component_id for r in J.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    if members < 100:
+        assert sorted((str(d), str(c)) for d, c in out.items()) == [(d, c) for d, _, c in brute(docs)]
+    else:
+        assert set(out.values()) == {0}
+
+
+def test_rows_grow_with_members_not_with_their_square(spark, monkeypatch):
+    dealt = {}
+    plain = J._verified
+
+    def counted(pairs, sets, percent):
+        dealt[members] = dealt.get(members, 0) + pairs.count()
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(J, "_verified", counted)
+    for members in (500, 2000):
+        rng = random.Random(3)
+        docs = []
+        for k in range(members):
+            v = [f"w{k}" for k in range(80)]
+            for _ in range(rng.randint(0, 2)):
+                v[rng.randrange(80)] = f"x{rng.randint(0, 4000)}"
+            docs.append((k, " ".join(v)))
+        assert J.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).select("component_id").distinct().count() == 1
+    assert dealt[2000] < 6 * dealt[500] and dealt[2000] < 40 * 2000
+
+
+def test_settings_change_no_result(spark):
+    docs = corpus(4, 30, 20)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.jaccard_groups(df).collect()) == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -7,62 +7,56 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
 from panelspark.llm.tokens import sliced
 
 UNKNOWN = "und"
-#: Feature hashes of a word: whole word, prefixes and suffixes of 1 to 3 letters, n-grams of 2 and 3 letters.
+#: Feature hashes of a word: whole word, a prefix and a suffix of 3 letters, all n-grams of 2 and 3 letters.
 SLOTS = 1 << 17
-#: Longer runs of letters are labelled in pieces that follow each other, so that no letter is left out.
-LONGEST = 24
-#: Distinct words whose scores a worker keeps.
+#: Distinct words whose scores a worker keeps, and the letters of the longest of them; others are scored where they stand.
 MEMORY = 400_000
+REMEMBERED = 48
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of lower-case words between two marks, and lengths with the marks. The table is as wide as the longest
-    word; those of tokens_of have at most LONGEST letters."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-    out = np.zeros((len(words), max(LONGEST, int(sizes.max(initial=0))) + 2), np.uint64)
-    row = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[row, at + 1] = flat
-    out[:, 0] = 1
-    out[np.arange(len(words)), sizes + 1] = 2
-    return out, sizes + 2
+    """Code points of the words, each between two marks, one word after another; and lengths with the marks."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(sizes.sum()), np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[ends - sizes] = inner[ends - 1] = False
+    out[inner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    out[ends - sizes], out[ends - 1] = 1, 2
+    return out, sizes
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature slots of each word, padded; and which of them count."""
+    """Feature slots of words of any length, one word after another; and how many each word has."""
     code, size = _codes(words)
-    n, width = code.shape
+    begin = np.cumsum(size) - size
     mark = lambda h, kind: ((h * _MULT + np.uint64(kind * 0xC2B2AE3D27D4EB4F % 2**64)) >> np.uint64(40)) % np.uint64(SLOTS)
-    slots, use = [], []
-    two = code[:, :-1] * _MULT + code[:, 1:]
-    three = two[:, :-1] * _MULT + code[:, 2:]
-    place = np.arange(width)
-    for kind, gram, k in ((1, two, 2), (2, three, 3)):
-        slots.append(mark(gram, kind))
-        use.append(place[None, : gram.shape[1]] + k <= size[:, None])
-    whole = np.zeros(n, np.uint64)
-    for k in range(width):
-        whole = np.where(k < size, whole * _MULT + code[:, k], whole)
-    edges = [mark(whole, 3)]
-    ok = [np.ones(n, bool)]
-    last = size - 1
-    row = np.arange(n)
-    four = lambda a, b, c, d: ((a * _MULT + b) * _MULT + c) * _MULT + d
-    edges.append(mark(four(code[:, 0], code[:, 1], code[:, 2], code[:, 3]), 4))
-    ok.append(size >= 4)
-    back = [code[row, np.maximum(last - k, 0)] for k in range(4)]
-    edges.append(mark(four(back[3], back[2], back[1], back[0]), 5))
-    ok.append(size >= 4)
-    return np.concatenate([*slots, np.stack(edges, 1)], 1).astype(np.int32), np.concatenate([*use, np.stack(ok, 1)], 1)
+    word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(code)) - begin[word]
+    many = 2 * size - 2 + 2 * (size >= 4)  # size - 1 pairs, size - 2 triples, the whole, and two affixes
+    at = np.cumsum(many) - many
+    out = np.zeros(int(many.sum()), np.int64)
+    two = code[:-1] * _MULT + code[1:]
+    three = two[:-1] * _MULT + code[2:]
+    for kind, gram, k, ahead in ((1, two, 2, 0 * size), (2, three, 3, size - 1)):
+        use = np.flatnonzero(place[: len(gram)] + k <= size[word[: len(gram)]])
+        out[(at + ahead)[word[use]] + place[use]] = mark(gram[use], kind)
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(int(size.max(initial=1)), _MULT))])
+    whole = np.add.reduceat(code * power[place], begin) if len(words) else np.zeros(0, np.uint64)
+    out[at + 2 * size - 3] = mark(whole, 3)
+    long = np.flatnonzero(size >= 4)
+    four = lambda i: ((code[i] * _MULT + code[i + 1]) * _MULT + code[i + 2]) * _MULT + code[i + 3]
+    out[at[long] + 2 * size[long] - 2] = mark(four(begin[long]), 4)
+    out[at[long] + 2 * size[long] - 1] = mark(four(begin[long] + size[long] - 4), 5)
+    return out, many
 
 
 @dataclass
@@ -93,8 +87,8 @@ class Crf:
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)), np.float32)
         for k in range(0, len(words), 4096):
-            slots, use = features(words[k : k + 4096])
-            out[k : k + 4096] = (self.weights[slots] * use[:, :, None]).sum(1)
+            slots, many = features(words[k : k + 4096])
+            out[k : k + 4096] = np.add.reduceat(self.weights[slots], np.cumsum(many) - many, axis=0)
         known = np.fromiter((self.lexicon.get(w, -1) for w in words), np.int64, len(words))
         return out + np.where(known[:, None] >= 0, self.lexicon_weights[known], 0)
 
@@ -125,11 +119,11 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, start: np.ndarray, tra
     return np.divide(forward, total, out=forward, where=total > 0)
 
 
-_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def tokens_of(text: str) -> list[str]:
-    """Runs of letters in lower case, longer ones in pieces of LONGEST and a rest; none where no character is a letter."""
+    """Runs of letters in lower case, whole; none where no character is a letter."""
     words = _WORD.findall(text.lower())
     return words if any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w) else []
 
@@ -143,22 +137,25 @@ def train(texts: list[tuple[str, str]], words: int = 24, sequences: int = 6000,
     rng = np.random.default_rng(seed)
     labels = sorted({lang for _, lang in texts})
     k = len(labels)
-    by = [[w for t, lang in texts if lang == x for w in tokens_of(t)] for x in labels]
+    if not k:
+        return Crf([], np.zeros((SLOTS, 0), np.float32), {}, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    same: dict[str, str] = {}  # equal words are one object
+    by = [[same.setdefault(w, w) for t, lang in texts if lang == x for w in tokens_of(t)] for x in labels]
     by = [w or ["?"] for w in by]
     counts = np.full((SLOTS, k), 0.5)
     seen: dict[str, np.ndarray] = {}
     for j, ws in enumerate(by):
         unique, number = np.unique(np.array(ws, object), return_counts=True)
         for at in range(0, len(unique), 4096):
-            slots, use = features(list(unique[at : at + 4096]))
-            np.add.at(counts[:, j], slots[use], np.broadcast_to(number[at : at + 4096, None], use.shape)[use])
+            slots, many = features(list(unique[at : at + 4096]))
+            counts[:, j] += np.bincount(slots, np.repeat(number[at : at + 4096], many), SLOTS)
         for w, c in zip(unique, number, strict=True):
             seen.setdefault(w, np.zeros(k))[j] = c / len(ws)
     share = counts / counts.sum(0)
     weights = (np.log(share) - np.log(share).mean(1, keepdims=True)).astype(np.float32) * 0.15
     lexicon = {w: int(s.argmax()) for w, s in seen.items() if s.max() >= 2e-4 and s.max() >= 0.8 * s.sum()}
     model = Crf(labels, weights, lexicon, np.eye(k, dtype=np.float32) - 1 / k, np.log(np.full((k, k), 0.05) + 0.9 * np.eye(k)).astype(np.float32), np.zeros(k, np.float32))
-    if k == 1:
+    if k < 2:
         return model
     grads = {name: np.full(getattr(model, name).shape, 1e-2, np.float32) for name in ("weights", "lexicon_weights", "transitions", "start")}
 
@@ -184,9 +181,9 @@ def train(texts: list[tuple[str, str]], words: int = 24, sequences: int = 6000,
         p = marginals(e, np.full(batch, words), model.start, model.transitions)
         observed = np.eye(k, dtype=np.float32)[gold]
         diff = (observed - p).astype(np.float32)
-        slots, use = features(flat)
-        g = np.zeros_like(weights)
-        np.add.at(g, slots[use], np.broadcast_to(diff.reshape(-1, 1, k), (*use.shape, k))[use])
+        slots, many = features(flat)
+        change = np.repeat(diff.reshape(-1, k), many, axis=0)
+        g = np.stack([np.bincount(slots, change[:, j], SLOTS) for j in range(k)], 1).astype(np.float32)
         step("weights", g / batch)
         known = np.fromiter((model.lexicon.get(w, -1) for w in flat), np.int64, len(flat))
         g = np.zeros_like(model.lexicon_weights)
@@ -215,18 +212,30 @@ def train(texts: list[tuple[str, str]], words: int = 24, sequences: int = 6000,
 
 
 def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language, score) of each text: the label with most expected words, and its share of them; und, 0.0 without a letter."""
+    """(language, score) of each text: the label with most expected words, and its share of them; und, 0.0 without a
+    letter, and everywhere if the model knows no language."""
+    if not model.labels:
+        return [(UNKNOWN, 0.0)] * len(texts)
     memory = model.memory
     if len(memory) > MEMORY:
         memory.clear()
     cut: list[np.ndarray] = []  # of each text, the numbers of its words
+    last: list[np.ndarray] = []  # of each text, the scores of its words too long to remember
     for k in range(0, len(texts), 256):
         part = [tokens_of(t) if t else [] for t in texts[k : k + 256]]
-        if new := list(set().union(*part).difference(memory)):
+        seen = set().union(*part).difference(memory)
+        if new := [w for w in seen if len(w) <= REMEMBERED]:
             base = len(memory)
             memory.update(zip(new, range(base, base + len(new)), strict=True))
             model.remember(base, model.emissions(new))
-        cut += [np.fromiter(map(memory.__getitem__, words), np.int32, len(words)) for words in part]
+        if len(new) == len(seen):
+            cut += [np.fromiter(map(memory.__getitem__, words), np.int32, len(words)) for words in part]
+            last += [None] * len(part)
+        else:
+            for words in part:
+                cut.append(np.fromiter((memory.get(w, -1) for w in words), np.int32, len(words)))
+                long = [w for w in words if len(w) > REMEMBERED]
+                last.append(model.emissions(long) if long else None)
     table = model.table
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     lengths = np.array([len(c) for c in cut])
@@ -240,7 +249,13 @@ def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
         rows = order[at:end]
         e = np.zeros((len(rows), longest, len(model.labels)), np.float32)
         for r, d in enumerate(rows):
-            e[r, : lengths[d]] = table[cut[d]]
+            if last[d] is None:
+                e[r, : lengths[d]] = table[cut[d]]
+            else:
+                known = cut[d] >= 0
+                e[r, : lengths[d]][~known] = last[d]
+                if known.any():
+                    e[r, : lengths[d]][known] = table[cut[d][known]]
         p = marginals(e, lengths[rows], model.start, model.transitions).sum(1, dtype=np.float64) / lengths[rows][:, None]
         for d, best, score in zip(rows, p.argmax(1), p.max(1), strict=True):
             out[d] = (model.labels[best], float(min(score, 1.0)))
@@ -248,24 +263,26 @@ def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-#: Labelled documents in the training sample, and words of each that are used, from a place told by the id's hash.
-SAMPLE_DOCS = 2000
-SAMPLE_WORDS = 300
+#: Labelled documents of each language in the training sample; their whole texts are read.
+SAMPLE_ROWS = 500
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Crf:
-    """Train on a bounded sample of labelled rows, the sample_docs of least id hash: at most sample_docs * sample_words words."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    chosen = rows.select(F.xxhash64(F.col(id_col), F.col(lang)).alias("_h"), F.col(id_col).alias("_i")).orderBy("_h").limit(sample_docs)
-    least = chosen.agg(F.max("_h")).first()[0]
-    if least is None:
-        raise ValueError("no labelled documents to learn from")
-    words = F.split(F.col(text), r"\s+")
-    h = F.xxhash64(F.col(id_col), F.col(lang))
-    start = F.greatest(F.pmod(h, F.greatest(F.size("_w") - sample_words, F.lit(1))) + 1, F.lit(1)).cast("int")
-    taken = rows.where(h <= least).select(h.alias("_h"), words.alias("_w"), F.col(lang).alias("_l"), F.col(id_col).alias(id_col), F.col(lang))
-    taken = taken.select("_h", F.array_join(F.slice("_w", start, sample_words), " ").alias("t"), "_l").orderBy("_h", "t").limit(sample_docs)
-    return train([(r.t, r._l) for r in taken.collect()])
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Crf:
+    """Train on a bounded, stratified sample of labelled rows: of each language the sample_rows of least hash, or all of fewer.
+
+    Rows are first thinned by their hash to about four times as many, by the languages' counts, so that the ranking reads
+    a small table whatever the size of docs. Rows without a language or a letter are not used; without any there is no
+    language to learn, and the model calls every text `und`.
+    """
+    spark = docs.sparkSession
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("_l"), F.col(text).alias("_t"), F.xxhash64(F.col(id_col), F.col(text)).alias("_h"))
+    counts = rows.groupBy("_l").count().collect()  # a row for each language
+    if not counts:
+        return train([])
+    share = spark.createDataFrame([(r["_l"], -(2.0**63) + 2.0**64 * min(1.0, 4 * sample_rows / r["count"])) for r in counts], "_l string, _most double")
+    thin = rows.join(F.broadcast(share), "_l").where(F.col("_h").cast("double") <= F.col("_most"))
+    ranked = thin.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_t"))).where(F.col("_r") <= sample_rows)
+    return train([(r["_t"], r["_l"]) for r in ranked.select("_l", "_t", "_r").orderBy("_l", "_r").collect()])
 
 
 def _label(model: Crf, carry: bool):
@@ -282,7 +299,7 @@ def _label(model: Crf, carry: bool):
 def label_languages(docs: DataFrame, model: Crf, text: str = "text", carry_text: bool = False) -> DataFrame:
     """Rows of docs with lang_pred and score; the text itself only with carry_text.
 
-    Whole texts are labelled word by word, runs of over LONGEST letters piece by piece; the model goes to tasks with the code, and its size is fixed by SLOTS.
+    Whole texts are labelled word by word, a word being a run of letters of any length; the model goes to tasks with the code, and its size is fixed by SLOTS.
     Defined results: null texts and such without a letter are `und` with score 0; other rows depend on the text alone,
     so repeated rows and null ids are no special cases; an empty table gives no rows; columns that clash with the result's are left out.
     """

@@ -4,8 +4,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import crf
+from panelspark.llm.queries import op8_language
 
 SYLLABLES = {"xx": ["ka", "ti", "mo", "ru", "sa", "ne"], "yy": ["schl", "ung", "eich", "ver", "gen", "ü"], "zz": ["eau", "oux", "ère", "ille", "qu", "ment"]}
 
@@ -65,7 +67,7 @@ def test_held_out_accuracy_on_spark(spark):
     for k, t, _ in rows:
         truth[k] = max(SYLLABLES, key=lambda x, t=t: sum(s in t for s in SYLLABLES[x]))
     df = spark.createDataFrame([(*r, 0.5) for r in [*rows, (None, None, None), (900, "", "xx")]], "doc_id long, text string, lang string, score double")
-    model = crf.fit(df.where(~crf.held_out("doc_id")), sample_docs=150, sample_words=40)
+    model = crf.fit(df.where(~crf.held_out("doc_id")), sample_rows=50)
     out = crf.label_languages(df, model).withColumn("h", crf.held_out("doc_id")).collect()
     assert len(out) == 402 and all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
     tested = [r for r in out if r.h and r.doc_id in truth]
@@ -78,7 +80,52 @@ def test_whole_of_texts_without_spaces(model):
     rng = random.Random(5)
     run = lambda lang, n: "".join(rng.choice(SYLLABLES[lang]) for _ in range(n))
     texts = [run("xx", 12) + run(x, 300) for x in ("yy", "zz")]  # 24 letters of xx, then another language
-    assert ["".join(crf.tokens_of(t)) for t in texts] == texts and max(map(len, crf.tokens_of(texts[0]))) == crf.LONGEST
+    assert all(crf.tokens_of(t) == [t] for t in texts)
     assert [x for x, _ in crf.predict(model, texts)] == ["yy", "zz"]
-    switched = run("xx", 150) + run("yy", 400)
-    assert crf.predict(model, [switched])[0][0] == "yy"
+    mixed = [f"{run('xx', 3)} {run('yy', 60)} {run('xx', 2)}", run("yy", 40_000)]
+    assert [x for x, _ in crf.predict(model, mixed)] == ["xx", "yy"] and not any(len(w) > crf.REMEMBERED for w in model.memory)
+
+
+def plain_features(word):
+    """Feature slots of one word, one by one."""
+    m, mask = int(crf._MULT), 2**64 - 1
+    mark = lambda h, kind: ((h * m + kind * 0xC2B2AE3D27D4EB4F & mask) >> 40) % crf.SLOTS
+    c = [1, *map(ord, word), 2]
+
+    def gram(x):
+        h = 0
+        for v in x:
+            h = (h * m + v) & mask
+        return h
+
+    out = [mark(gram(c[k : k + n]), n - 1) for n in (2, 3) for k in range(len(c) - n + 1)]
+    out.append(mark(sum(v * pow(m, k, 2**64) for k, v in enumerate(c)) & mask, 3))
+    return out + ([mark(gram(c[:4]), 4), mark(gram(c[-4:]), 5)] if len(c) >= 4 else [])
+
+
+def test_features_of_words_of_any_length():
+    words = ["a", "ab", "é日", "a" * 24 + "b", "a" * 24 + "zzzz", "x" * 3000, "word"]
+    slots, many = crf.features(words)
+    cut = np.split(slots, np.cumsum(many)[:-1])
+    assert all(sorted(got.tolist()) == sorted(plain_features(w)) for got, w in zip(cut, words, strict=True))
+    assert cut[3][-1] != cut[4][-1]  # real suffixes
+
+
+def test_rare_language_and_no_language(spark):
+    rng = random.Random(6)
+    rows = [(k, sentence(rng, "xx" if k % 400 else "zz", 30), "xx" if k % 400 else "zz") for k in range(1, 2401)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.fit(df, sample_rows=20)
+    assert model.labels == ["xx", "zz"]
+    assert crf.predict(model, [sentence(rng, "zz", 30)])[0][0] == "zz"
+    nothing = crf.fit(df.withColumn("lang", F.lit(None).cast("string")))
+    out = crf.label_languages(df.limit(5), nothing).collect()
+    assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)] * 5
+
+
+@pytest.mark.parametrize("n", [0, 6])
+def test_query_without_labels(spark, tmp_path, n):
+    rows = [(k, "some text", None) for k in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op8_language(spark, str(tmp_path)).collect()
+    assert len(out) == n and all((r.lang_pred, r.score) == ("und", 0.0) for r in out)

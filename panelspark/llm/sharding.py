@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm._common import discard, materialise, partitions
+
 #: Cells of one dimension: 2**BITS.
 BITS = 5
 DIMS = 3
-#: Rows of one cell are ordered in 2**FINE parts, so that a cell with very many rows is no single task.
-FINE = 14
+#: Rows of one cell are ordered in 2**FINE parts by their texts' hashes, and those in as many by their ids', so that
+#: neither a cell nor a text with very many rows is a single task.
+FINE = 12
 
 
 def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
@@ -58,49 +61,89 @@ def _shr(x: Column, k: Column) -> Column:
     return F.call_function("shiftright", x, k)
 
 
+def _value(c: str) -> Column:
+    """A column as text; null comes before all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
+def cell_bounds(docs: DataFrame, column: str, bits: int = BITS) -> list[str]:
+    """At most 2**bits - 1 values that cut the sorted values of a column into cells of about equally many rows.
+
+    Values next to each other in a cell are so in order, so the range of a file's values tells what it has. A value with
+    very many rows has a cell of its own. Rows are first counted by value; the values are range-partitioned, summed up
+    within partitions and over them, and only the bounds come to the driver.
+    """
+    spark, side = docs.sparkSession, 1 << bits
+    counts = docs.groupBy(_value(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialise(counts.repartitionByRange(partitions(spark), "v").select("v", "n", F.spark_partition_id().alias("p")), "values")
+    parts = dealt.groupBy("p").agg(F.sum("n").alias("n"))  # a row for each partition
+    every = Window.orderBy("p")
+    offsets = parts.select("p", (F.sum("n").over(every) - F.col("n")).alias("before"), F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    ranked = dealt.select("p", "v", (upto - F.col("n")).alias("local")).join(F.broadcast(offsets), "p")
+    cell = F.expr(f"(before + local) * {side} div total")
+    firsts = ranked.groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).collect()  # a row for each cell
+    discard(dealt)
+    return sorted(r.v for r in firsts)[1:]
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 40, law: str = "rows", text: str = "text", id_col: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """Rows of docs with size, text_crc32, curve, shard and slot: equal runs of the Hilbert order of (language, source, size).
 
-    Language and source are hashed to 2**BITS cells, size is quantised by its logarithm. Within a cell rows are ordered
-    by a hash of id and text. law `rows`: shard counts differ by one at most; `bytes`: runs are cut where the running
-    size passes equal shares. Ranks come from three nested sums, over cells (at most 2**(3*BITS) rows), over parts of a
-    cell and over the rows of a part; no task sorts more than one part, so one source with most rows is spread.
+    Language and source are quantised to at most 2**BITS cells of their sorted values (see cell_bounds), size by its
+    logarithm. Within a cell of the curve rows are ordered by hashes of the text and then the id, so equal texts of one
+    language and source lie together; where a cut falls among them, the law wins. law `rows`: shard counts differ by one
+    at most; `bytes`: runs are cut where the running size passes equal shares. Ranks come from nested sums, over cells
+    (at most 2**(3*BITS) rows), over parts by text hash and by id hash, and over the rows of a part; no task sorts more
+    than one part, so one source, or one text, with most rows is spread.
 
     Defined results: null text has size 16 and checksum 0; null language, source or id count as values of their own;
     rows equal in id and text are ordered freely among themselves; an empty table gives no rows; columns of docs with
-    the names made here are replaced.
+    the names made here, or that begin with `_s_`, are replaced.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(law)
     made = {"size", "text_crc32", "curve", "shard", "slot"}
-    hidden = {"_tie", "_part", "_local", "_before", "_cell_before", "_weight"}
-    keep = [c for c in docs.columns if c.lower() not in made | hidden | {text.lower()}]
+    keep = [c for c in docs.columns if c.lower() not in made | {text.lower()} and not c.lower().startswith("_s_")]
+    back = [F.col(f"_s_{k}").alias(c) for k, c in enumerate(keep)]
     side = 1 << BITS
-    cell = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(side)).cast("int")
+
+    def cell(column: str) -> Column:
+        bounds = cell_bounds(docs, column)
+        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= _value(column))) if bounds else F.lit(0)
+
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 16
-    rows = docs.select(*keep, size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(5), F.col(id_col), F.col(text)).alias("_tie"))
-    rows = rows.withColumn("curve", hilbert_index([cell(lang), cell(source), F.least(F.floor(F.log2("size") * 1.5), F.lit(side - 1)).cast("int")]))
-    rows = rows.withColumn("_part", F.call_function("shiftrightunsigned", F.col("_tie"), F.lit(64 - FINE)).cast("int")).withColumn("_weight", F.col("size") if law == "bytes" else F.lit(1).cast("bigint"))
-    parts = rows.groupBy("curve", "_part").agg(F.sum("_weight").alias("_w"), F.count(F.lit(1)).alias("_n"))
-    cells = parts.groupBy("curve").agg(F.sum("_w").alias("_cw"), F.sum("_n").alias("_cn"))
-    before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.least(F.floor(F.log2(size) * 1.5), F.lit(side - 1)).cast("int")
+    rows = docs.select(
+        *[F.col(c).alias(f"_s_{k}") for k, c in enumerate(keep)],
+        size.alias("size"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.lit(5), F.col(text)).alias("_text"),
+        F.xxhash64(F.lit(6), F.col(id_col)).alias("_id"),
+        hilbert_index([cell(lang), cell(source), level]).alias("curve"),
+    )
+    top = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(64 - FINE)).cast("int")
+    rows = rows.withColumns({"_p": top("_text"), "_q": top("_id"), "_weight": F.col("size") if law == "bytes" else F.lit(1).cast("bigint")})
+    fine = rows.groupBy("curve", "_p", "_q").agg(F.sum("_weight").alias("_w"), F.count(F.lit(1)).alias("_n"))
+    parts = fine.groupBy("curve", "_p").agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"))
+    cells = parts.groupBy("curve").agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     everywhere = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = cells.select("curve", F.coalesce(F.sum("_cw").over(before), F.lit(0)).alias("_cell_w"), F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_cell_n"), F.sum("_cw").over(everywhere).alias("_total"))
-    in_cell = Window.partitionBy("curve").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("curve", "_part", F.coalesce(F.sum("_w").over(in_cell), F.lit(0)).alias("_part_w"), F.coalesce(F.sum("_n").over(in_cell), F.lit(0)).alias("_part_n"))
-    offsets = offsets.join(F.broadcast(cells), "curve")  # at most 2**(3*BITS) cells
-    offsets = offsets.select("curve", "_part", (F.col("_cell_w") + F.col("_part_w")).alias("_ow"), (F.col("_cell_n") + F.col("_part_n")).alias("_on"), "_total")
-    in_part = Window.partitionBy("curve", "_part").orderBy("_tie", "text_crc32")
-    upto = in_part.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.withColumn("_local", F.coalesce(F.sum("_weight").over(upto), F.lit(0))).join(offsets, ["curve", "_part"])
-    ranked = ranked.withColumn("_before", F.col("_ow") + F.col("_local"))
+    cells = cells.select("curve", *[before(Window.orderBy("curve"), c).alias(f"_cell{c}") for c in ("_w", "_n")], F.sum("_w").over(everywhere).alias("_total"))
+    parts = parts.select("curve", "_p", *[before(Window.partitionBy("curve").orderBy("_p"), c).alias(f"_part{c}") for c in ("_w", "_n")])
+    fine = fine.select("curve", "_p", "_q", *[before(Window.partitionBy("curve", "_p").orderBy("_q"), c).alias(f"_fine{c}") for c in ("_w", "_n")])
+    offsets = fine.join(parts, ["curve", "_p"]).join(F.broadcast(cells), "curve")  # at most 2**(3*BITS) cells
+    offsets = offsets.select("curve", "_p", "_q", "_total", *[(F.col(f"_cell{c}") + F.col(f"_part{c}") + F.col(f"_fine{c}")).alias(f"_o{c}") for c in ("_w", "_n")])
+    in_part = Window.partitionBy("curve", "_p", "_q").orderBy("_text", "_id", "text_crc32")
+    ranked = rows.withColumn("_local", before(in_part, "_weight")).join(offsets, ["curve", "_p", "_q"])
+    ranked = ranked.withColumn("_before", F.col("_o_w") + F.col("_local"))
     ranked = ranked.withColumn("shard", F.expr(f"_before * {int(shards)} div _total").cast("int"))
     if law == "rows":
         first = F.expr(f"(shard * _total + {int(shards) - 1}) div {int(shards)}")
-        return ranked.select(*keep, "size", "text_crc32", "curve", "shard", (F.col("_before") - first).alias("slot"))
-    rank = ranked.withColumn("_local", F.row_number().over(in_part) + F.col("_on"))
-    firsts = rank.groupBy("shard").agg(F.min("_local").alias("_first"))  # one row for each shard
-    return rank.join(F.broadcast(firsts), "shard").select(*keep, "size", "text_crc32", "curve", "shard", (F.col("_local") - F.col("_first")).cast("bigint").alias("slot"))
+        return ranked.select(*back, "size", "text_crc32", "curve", "shard", (F.col("_before") - first).alias("slot"))
+    rank = ranked.withColumn("_rank", F.row_number().over(in_part) + F.col("_o_n"))
+    firsts = rank.groupBy("shard").agg(F.min("_rank").alias("_first"))  # one row for each shard
+    return rank.join(F.broadcast(firsts), "shard").select(*back, "size", "text_crc32", "curve", "shard", (F.col("_rank") - F.col("_first")).cast("bigint").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,3 +55,29 @@ def test_empty_and_manifest(spark, tmp_path):
     assert back.count() == 304
     m = S.shard_manifest(out, ["lang", "size"]).collect()
     assert sum(r.rows for r in m) == 304 and all(r.min_size <= r.max_size for r in m)
+
+
+def test_ranges_skip_files(spark, tmp_path):
+    """Hundreds of sources: a reader who wants one of them, by the shards' ranges, opens few shards and misses no row."""
+    rng = random.Random(1)
+    data = [(k, f"text {k} " * rng.randint(1, 40), rng.choice(["de", "en", "fr"]), f"host{rng.randint(0, 299):03d}.org") for k in range(6000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    out = S.hilbert_shards(df, 40)
+    S.write_shards(out, f"{tmp_path}/s")
+    m = S.shard_manifest(spark.read.parquet(f"{tmp_path}/s"), ["lang", "source", "size"]).collect()
+    opened = total = 0
+    for source in ("host000.org", "host077.org", "host150.org", "host299.org"):
+        for lang in ("de", "en", "fr"):
+            hit = [r.shard for r in m if r.min_source <= source <= r.max_source and r.min_lang <= lang <= r.max_lang]
+            opened, total = opened + len(hit), total + 40
+            rows = spark.read.parquet(f"{tmp_path}/s").where(F.col("shard").isin(hit) & (F.col("source") == source) & (F.col("lang") == lang)).count()
+            assert rows == sum(x[2] == lang and x[3] == source for x in data)
+    assert opened < 0.3 * total
+
+
+def test_equal_texts_lie_together(spark):
+    data = [(k, "one text" if k % 3 else f"own {k:04d}", "en", "s") for k in range(3000)]
+    out = S.hilbert_shards(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), 8)
+    order = [r.text_crc32 for r in out.orderBy("shard", "slot").collect()]
+    same = [k for k, x in enumerate(order) if x == zlib.crc32(b"one text")]
+    assert len(same) == 2000 and same[-1] - same[0] == 1999

@@ -20,13 +20,15 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.token_counts(C.table(spark, sf_dir, "documents"), tokenizer_file(), limit=512)
+    docs, cache = C.table(spark, sf_dir, "documents"), C.scratch_path(spark, "token-cache")
+    tokens.token_counts(docs.select("doc_id", "text"), tokenizer_file(), cache)  # fills the cache: every content is a miss
+    out = tokens.token_counts(docs, tokenizer_file(), cache, limit=512)  # every content is a hit
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(C.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_lines", "removed_chars")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +58,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.write_archives(C.table(spark, sf_dir, "pages"), C.scratch_path(spark, "warc"), least_revisit=1000)
-    return index.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = C.table(spark, sf_dir, "pages")
+    index = warc.write_archives(pages, C.scratch_path(spark, "warc"), least_revisit=1000)
+    return index.read(pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,20 +115,20 @@ with d as (select doc_id, coalesce(text, '') as text, source as host,
      l as (select doc_id, host, text, line, trim(line, {_SPACE}) as bare
            from (select *, unnest(string_split(text, chr(10))) as line from d)),
      k as (select doc_id, host, text, line, lower(bare) as key from l where bare <> ''),
-     h as (select host, count(distinct text) as n from d group by host),
+     h as (select host, count(distinct doc_id) as n from d group by host),
      c as (select k.host, key from k join h on h.host is not distinct from k.host
-           group by k.host, key, h.n having count(distinct text) >= 10 and count(distinct text) > 0.05 * h.n),
+           group by k.host, key, h.n having count(distinct doc_id) >= 10 and count(distinct doc_id) > 0.05 * h.n),
      s as (select doc_id, count(*) - count(distinct line) as dups, sum(length(k.key)) as chars,
-                  coalesce(sum(length(k.key)) filter (where c.key is not null), 0) as gone
+                  coalesce(sum(length(k.key)) filter (where c.key is not null), 0) as gone, count(c.key) as gone_lines
            from k left join c on c.key = k.key and c.host is not distinct from k.host group by doc_id),
      m as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
                   len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dups, 0) as n_dup_lines,
-                  coalesce(r.n, 0) as n_repeat_words, coalesce(chars, 0) as chars, coalesce(gone, 0) as removed_chars
+                  coalesce(r.n, 0) as n_repeat_words, coalesce(chars, 0) as chars, coalesce(gone, 0) as removed_chars, coalesce(gone_lines, 0) as removed_lines
            from d left join r using (doc_id) left join s on s.doc_id = d.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 or n_repeat_words * 100 > n_words * 50) as base_failed,
        not (n_words < 50 or n_repeat_words * 100 > n_words * 50) and chars - removed_chars >= chars * 0.3 as kept,
-       cast(removed_chars as bigint) as removed_chars
+       cast(removed_lines as bigint) as removed_lines, cast(removed_chars as bigint) as removed_chars
 from m""",
     "op2_line_dedup": f"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
@@ -119,43 +121,62 @@ def _count(path: str):
     return run
 
 
+_CACHE = "content_digest binary, n_tokens bigint, tokenizer_version string"
+
+
+@dataclass
+class DigestCache:
+    """Stored counts by (content digest, tokenizer version): a folder with one Parquet table for each run that added to it.
+
+    A run writes a folder of its own and is read once that is whole (has its _SUCCESS), so a job that failed half way
+    leaves nothing behind. Runs that added the same content at one time do no harm: a key is read once.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def counts(self, version: str) -> DataFrame:
+        """(content_digest, n_tokens), each digest once."""
+        fs, _ = C.file_system(self.spark, self.path)
+        done = fs.globStatus(C.hadoop_path(self.spark, f"{self.path}/run-*/_SUCCESS"))
+        runs = [x.getPath().getParent().toString() for x in done or []]
+        stored = self.spark.read.schema(_CACHE).parquet(*runs) if runs else self.spark.createDataFrame([], _CACHE)
+        return stored.where(F.col("tokenizer_version") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+    def append(self, counted: DataFrame, version: str) -> None:
+        counted.withColumn("tokenizer_version", F.lit(version)).write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, text: str = "text", id_col: str = "doc_id", limit: int = 512) -> DataFrame:
     """Rows of docs with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Counts live in a Parquet table keyed by (content digest, tokenizer version). Content is the text with null as the
-    empty one, nothing else, as every byte counts. Distinct contents that the table lacks for this version are encoded
-    once and appended; then all rows take their counts from it. cache_path: a table of earlier runs, made if absent; None: a new one.
+    Counts live in a DigestCache keyed by (SHA-256 of the content, tokenizer version). Content is the text with null as
+    the empty one, nothing else, as every byte counts. Distinct contents that the cache lacks for this version are encoded
+    once and appended; then all rows take their counts from it. cache_path: a cache of earlier runs, made if absent;
+    None: a new one. If nothing is missing, no text is moved and nothing is written.
 
-    One row of each content carries its text to the encoders, found by a small aggregate of digests; texts meet it in a
-    hash join on (id, digest), so a content with very many copies is no hot key. Defined results: null text counts 0
-    bytes and 0 tokens; null ids and repeated rows are rows like others; empty table: no rows; of further columns
-    only those of docs that don't clash with the result's names stay.
+    One row of each missing content carries its text to the encoders, found by a small aggregate of digests; texts meet
+    it in a join on (id, digest), so a content with very many copies is no hot key (rows without an id share one for each
+    content, which the session's skew handling splits). The join's built side has digests and ids only, no texts. Defined
+    results: null text counts 0 bytes and 0 tokens; null ids and repeated rows are rows like others; empty table: no
+    rows; of further columns only those of docs that don't clash with the result's names stay.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     version = tokenizer_version(tokenizer_path)
-    path = cache_path or C.scratch_path(spark, "token-cache")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("content_digest", C.digest128("_text"))
-    schema = "content_digest binary, n_tokens bigint, tokenizer_version string"
-    known = spark.createDataFrame([], schema)
-    if cache_path and _exists(spark, cache_path):
-        known = spark.read.schema(schema).parquet(cache_path)
-    of_version = known.where(F.col("tokenizer_version") == version).select("content_digest", "n_tokens")
-    chosen = rows.groupBy("content_digest").agg(F.min("_id").alias("_id"))
-    if cache_path:
-        chosen = chosen.join(of_version.select("content_digest"), "content_digest", "left_anti")
-    a, b = rows.alias("a"), chosen.alias("b")
-    misses = a.join(b.hint("shuffle_hash"), (F.col("a._id").eqNullSafe(F.col("b._id"))) & (F.col("a.content_digest") == F.col("b.content_digest"))).select("a.content_digest", "a._text")
-    counted = misses.mapInArrow(_count(tokenizer_path), "content_digest binary, n_tokens bigint").groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counted.withColumn("tokenizer_version", F.lit(version)).write.mode("append").parquet(path)
-    stored = spark.read.schema(schema).parquet(path).where(F.col("tokenizer_version") == version).select("content_digest", "n_tokens")
+    cache = DigestCache(spark, cache_path or C.scratch_path(spark, "token-cache"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("content_digest", C.sha256(F.col("_text")))
+    missing = rows.groupBy("content_digest").agg(F.min("_id").alias("_id")).join(cache.counts(version).select("content_digest"), "content_digest", "left_anti")
+    missing = C.materialise(missing, "token-misses")
+    if not missing.isEmpty():
+        a, b = rows.alias("a"), missing.alias("b")
+        texts = a.join(b.hint("shuffle_hash"), (F.col("a._id").eqNullSafe(F.col("b._id"))) & (F.col("a.content_digest") == F.col("b.content_digest"))).select("a.content_digest", "a._text")
+        counted = texts.mapInArrow(_count(tokenizer_path), "content_digest binary, n_tokens bigint")
+        cache.append(counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), version)
+    C.discard(missing)
+    stored = cache.counts(version)
     made = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c.lower() not in (*made, "_digest", "content_digest")]
-    out = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), C.digest128(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))
+    out = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), C.sha256(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))
     joined = out.join(stored, out["_digest"] == stored["content_digest"], "left")
     return joined.select(*[out[c] for c in keep], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

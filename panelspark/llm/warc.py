@@ -24,11 +24,15 @@ _SPAN = 8 << 20  # bytes that one range read may join
 
 
 def surt(url: Column) -> Column:
-    """Sort key of a URL: reversed host, then path and query; scheme, port and fragment are left out."""
+    """Sort key of a URL: reversed host, then path and query; scheme, port and fragment are left out. White space and
+    control characters are percent-escaped here, before anything is sorted, as index lines are cut at them."""
     u = F.coalesce(url, F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rest = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"#[\s\S]*$", "")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    for code in (*range(0x21), 0x7F):
+        key = F.replace(key, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return key
 
 
 def _open(folder: str):
@@ -36,7 +40,7 @@ def _open(folder: str):
 
     if "://" not in folder:
         return fs.LocalFileSystem(), folder
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1) if folder.startswith("s3a://") else folder)
 
 
 def _record_id(page, digest: str) -> str:
@@ -109,7 +113,8 @@ def _write(folder: str, roll: int):
 
 
 def _index(folder: str, block: int):
-    """Packs sorted entries into gzip blocks of `block` lines, one index file for each task, and tells where each is."""
+    """Packs sorted entries into gzip blocks of `block` lines, one index file for each task. Where its blocks are goes
+    into a sparse directory beside the file, and into the rows given."""
 
     def run(batches):
         fs, root = _open(folder)
@@ -128,8 +133,7 @@ def _index(folder: str, block: int):
 
         for batch in batches:
             for r in batch.to_pylist():
-                key = r.pop("surt")
-                held.append((re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", key), json.dumps(r)))
+                held.append((r.pop("surt"), json.dumps(r)))
                 if len(held) == block:
                     close()
         if held:
@@ -137,32 +141,82 @@ def _index(folder: str, block: int):
         if out is not None:
             out.close()
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["first_key", "last_key", "index_file", "offset", "length", "lines"])
+            directory = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["first_key", "last_key", "index_file", "offset", "length", "lines"])
+            with fs.open_output_stream(f"{root}/{name}.dir", compression=None) as f, pa.ipc.new_stream(f, directory.schema) as w:
+                w.write_batch(directory)
+            yield directory
 
     return run
 
 
-def _blocks(folder: str, keys: list[str] | None):
-    """Entries of index blocks, read by range. keys: only blocks that may hold one of these sorted keys are read, and of
-    their lines only those found by binary search."""
+def _entries_of(lines: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([json.loads(v) | {"surt": k} for k, v in lines], schema=_arrow(_ENTRY))
+
+
+def _block(f, length: int, offset: int) -> list[list[str]]:
+    """Lines of one index block, read by its range, as (key, entry)."""
+    return [x.split(" ", 1) for x in zlib.decompress(f.read_at(length, offset), 31).decode().split("\n")[:-1]]
+
+
+def _blocks(folder: str):
+    """All entries of index blocks."""
 
     def run(batches):
         fs, root = _open(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                wanted = None
-                if keys is not None:
-                    wanted = keys[bisect.bisect_left(keys, r["first_key"]) : bisect.bisect_right(keys, r["last_key"])]
-                    if not wanted:
-                        continue
                 with fs.open_input_file(f"{root}/{r['index_file']}") as f:
-                    lines = zlib.decompress(f.read_at(r["length"], r["offset"]), 31).decode().split("\n")[:-1]
-                lines = [x.split(" ", 1) for x in lines]
-                if wanted is not None:
-                    names = [x[0] for x in lines]
-                    lines = [lines[k] for w in wanted for k in range(bisect.bisect_left(names, w), bisect.bisect_right(names, w))]
-                if lines:
-                    yield pa.RecordBatch.from_pylist([json.loads(v) | {"surt": k} for k, v in lines], schema=_arrow(_ENTRY))
+                    if lines := _block(f, r["length"], r["offset"]):
+                        yield _entries_of(lines)
+
+    return run
+
+
+def _route(held):
+    """For each key the index files that may have it, found by binary search in their sorted key ranges."""
+
+    def run(batches):
+        first, last, names = held.value
+        for batch in batches:
+            files, keys = [], []
+            for key in batch.column("key").to_pylist():
+                for k in range(bisect.bisect_left(last, key), bisect.bisect_right(first, key)):
+                    files.append(names[k])
+                    keys.append(key)
+            yield pa.record_batch([pa.array(files, pa.string()), pa.array(keys, pa.string())], names=["index_file", "key"])
+
+    return run
+
+
+def _lookup(folder: str):
+    """Entries of keys sorted by (index file, key): a binary search in the file's sparse directory leads to a block, one
+    in the block's lines to the entries. A block is read once for neighbouring keys."""
+
+    def run(batches):
+        fs, root = _open(folder)
+        name, f, at, keys, lines = None, None, -1, [], []
+        for batch in batches:
+            out = []
+            for file, key in zip(batch.column("index_file").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                if file != name:
+                    if f is not None:
+                        f.close()
+                    name, at = file, -1
+                    with fs.open_input_stream(f"{root}/{name}.dir", compression=None) as d, pa.ipc.open_stream(d) as s:
+                        directory = s.read_all().to_pydict()
+                    f = fs.open_input_file(f"{root}/{name}")
+                for k in range(bisect.bisect_left(directory["last_key"], key), bisect.bisect_right(directory["first_key"], key)):
+                    if k != at:
+                        at, lines = k, _block(f, directory["length"][k], directory["offset"][k])
+                        keys = [x[0] for x in lines]
+                    out += lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+                    if len(out) >= 4096:
+                        yield _entries_of(out)
+                        out = []
+            if out:
+                yield _entries_of(out)
+        if f is not None:
+            f.close()
 
     return run
 
@@ -231,21 +285,29 @@ class CaptureIndex:
     def directory(self) -> DataFrame:
         return self.spark.read.schema(_BLOCK).parquet(f"{self.folder}/directory")
 
-    def entries(self, urls: list[str] | None = None) -> DataFrame:
-        """Index entries of all captures, or of a stated short list of URLs."""
-        keys = None
-        directory = self.directory()
-        if urls is not None:
-            wanted = self.spark.createDataFrame([(u,) for u in urls], "url string").select(surt(F.col("url")).alias("k"))
-            keys = sorted({re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", r.k) for r in wanted.collect()})
-            if not keys:
-                return self.spark.createDataFrame([], _ENTRY)
-            directory = directory.where((F.col("last_key") >= keys[0]) & (F.col("first_key") <= keys[-1]))
-        spread = directory.repartition(C.partitions(self.spark), "index_file", "offset")
-        return spread.mapInArrow(_blocks(self.folder, keys), _ENTRY)
-
-    def read(self, urls: list[str] | None = None, with_payload: bool = False) -> DataFrame:
-        """Captures, read from the archives through the index and checked against their digests."""
+    def files(self) -> list[tuple[str, str, str]]:
+        """(first key, last key, name) of the index files in order: one for each task that wrote some, so a small table."""
+        ends = self.directory().groupBy("index_file").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b"))
+        return sorted((r.a, r.b, r.index_file) for r in ends.collect())
+
+    def entries(self, urls: list[str] | DataFrame | None = None) -> DataFrame:
+        """Index entries of all captures, or of those whose key is that of one of the URLs: a list, or a table with a column url.
+
+        Keys go to the index files that may have them, by binary search in the files' key ranges; there they are sorted
+        and found by binary search, first in the file's block directory and then in the block. The number of keys is free.
+        """
+        n = C.partitions(self.spark)
+        if urls is None:
+            return self.directory().repartition(n, "index_file", "offset").mapInArrow(_blocks(self.folder), _ENTRY)
+        if isinstance(urls, list):
+            urls = self.spark.createDataFrame([(u,) for u in urls], "url string")
+        held = self.spark.sparkContext.broadcast(tuple(list(x) for x in zip(*self.files(), strict=True)) or ([], [], []))
+        wanted = urls.select(surt(F.col("url")).alias("key")).distinct()
+        routed = wanted.mapInArrow(_route(held), "index_file string, key string")
+        return routed.repartition(n, "index_file").sortWithinPartitions("index_file", "key").mapInArrow(_lookup(self.folder), _ENTRY)
+
+    def read(self, urls: list[str] | DataFrame | None = None, with_payload: bool = False) -> DataFrame:
+        """Captures of all or of some URLs (see `entries`), read from the archives and checked against their digests."""
         n = C.partitions(self.spark)
         found = self.entries(urls).repartition(n, "archive").sortWithinPartitions("archive", "offset")
         return found.mapInArrow(_records(self.folder, with_payload), _RESULT + (", payload binary" if with_payload else ""))

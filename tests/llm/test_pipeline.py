@@ -89,3 +89,23 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert CP.run(spark, str(tmp_path)).count() == 0
     assert L.dedup_lines(read(spark, str(tmp_path))).count() == 0
+
+
+def test_null_ids_take_no_part_in_links(spark, tmp_path):
+    _, docs = corpus()
+    text = docs[5][1]
+    near = text.replace(" ", "  ").replace("ka", "ka", 1) + " tail"
+    rows = [(5, text, "aa", "s", 1), (None, near, "aa", "s", 1), (None, near, "aa", "s", 1), (7, near, "aa", "s", 1), (5, docs[9][1], "aa", "s", 1), (8, docs[9][1], "aa", "s", 1)]
+    for more in ([], [(None, "something else entirely " * 9, "aa", "s", 1)]):
+        out = CP.near_duplicates(spark, spark.createDataFrame(rows + more, SCHEMA), str(tmp_path)).collect()
+        assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("5", text), ("None", near), ("5", docs[9][1]), *[("None", m[1]) for m in more]])
+
+
+def test_columns_with_clashing_names_keep_their_values(spark, sf):
+    df = read(spark, sf)
+    for name in ("score", "lang_pred", "n_lines", "kept_text", "n_dropped"):
+        df = df.withColumn(name, df["doc_id"])
+    for stage in (CP.language_id, CP.line_dedup):
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns
+        assert all(r.score == r.lang_pred == r.n_lines == r.kept_text == r.n_dropped == r.doc_id for r in out.collect())

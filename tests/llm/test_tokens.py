@@ -2,8 +2,10 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from panelspark.llm import _common as C
 from panelspark.llm import tokens as T
 
 FILE = P.path("byte_bpe_50k.json")
@@ -36,5 +38,22 @@ def test_counts_and_cache(spark, tmp_path):
         df = docs.union(spark.createDataFrame(more, docs.schema)) if more else docs
         out = T.token_counts(df, FILE, cache).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit, r.extra) for r in out) == sorted((str(i), len((t or "").encode()), len(PLAIN.encode(t or "").ids), len(PLAIN.encode(t or "").ids) > 512, e) for i, t, e in rows + more)
-    assert spark.read.parquet(cache).count() == 4  # each content once over both runs
+    assert spark.read.parquet(f"{cache}/run-*").count() == 4  # each content once over both runs
     assert T.token_counts(docs.limit(0), FILE).count() == 0
+
+
+def test_cache_with_repeated_and_half_written_runs(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    cache = T.DigestCache(spark, f"file://{tmp_path}/cache")
+    version = T.tokenizer_version(FILE)
+    stored = spark.createDataFrame([("a b", 2)], "t string, n_tokens long").select(C.sha256(F.col("t")).alias("content_digest"), "n_tokens")
+    cache.append(stored, version)
+    cache.append(stored, version)  # two runs that added the same content
+    cache.append(stored.withColumn("n_tokens", F.lit(77).cast("long")), "another version")
+    (tmp_path / "cache" / "run-broken").mkdir()
+    (tmp_path / "cache" / "run-broken" / "part-0.parquet").write_bytes(b"half a file")
+    out = T.token_counts(docs, FILE, cache.path)
+    assert sorted((r.doc_id, r.n_tokens) for r in out.collect()) == [(1, 2), (2, 1)]
+    runs = len(list((tmp_path / "cache").glob("run-*/_SUCCESS")))
+    assert T.token_counts(docs, FILE, cache.path).count() == 2
+    assert len(list((tmp_path / "cache").glob("run-*/_SUCCESS"))) == runs  # only hits: nothing is written

@@ -67,3 +67,23 @@ def test_empty(spark):
 def test_surt(spark):
     one = lambda u: spark.range(1).select(W.surt(F.lit(u))).first()[0]
     assert one("HTTPS://User@WWW.Example.com:8080/A/b?x=1#frag") == "com,example,www)/A/b?x=1"
+
+
+def test_lookup_of_keys_that_need_escapes(spark):
+    urls = ["http://a/x y", "http://a/x!y", 'http://a/x"y', "http://a/x#y", "http://a/x$y", "http://a/x\ty", "http://a/x", "http://a/x%20z", None, "http://b/é\n1", "http://b/é 2"]
+    pages = [(k, u, f"page {k}") for k, u in enumerate(urls)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for block in (1, 2, 100):
+        index = W.write_archives(df, C.scratch_path(spark, "warc"), block=block)
+        for k, u in enumerate(urls):
+            same = [j for j, v in enumerate(urls) if (v or "").split("#")[0] == (u or "").split("#")[0]]
+            assert sorted(r.page_id for r in index.entries([u]).collect()) == same, u
+        assert sorted(r.page_id for r in index.read(df.select("url")).collect()) == list(range(len(urls)))
+
+
+def test_key_of_many_captures(spark):
+    pages = [(k, f"http://a/{'hot' if k % 2 else k}", f"page {k}") for k in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    index = W.write_archives(df, C.scratch_path(spark, "warc"), block=4)
+    assert sorted(r.page_id for r in index.entries(["http://a/hot"]).collect()) == list(range(1, 300, 2))
+    assert sorted(r.page_id for r in index.read(df.select("url")).collect()) == list(range(300))

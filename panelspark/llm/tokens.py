@@ -174,7 +174,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         counted = texts.mapInArrow(_count(tokenizer_path), "content_digest binary, n_tokens bigint")
         cache.append(counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), version)
     C.discard(missing)
-    stored = cache.counts(version)
+    stored = C.materialise(cache.counts(version), "token-counts")  # a table, so that the join of a content's copies can be split
     made = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c.lower() not in (*made, "_digest", "content_digest")]
     out = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), C.sha256(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))

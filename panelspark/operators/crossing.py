@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +116,38 @@ def with_fallback(entities: DataFrame, predictions: DataFrame, spec: PanelSpec =
     })
 
 
-def predict_fleet(df: DataFrame, threshold: DataFrame, regressor: DataFrame | None = None, factor: float = 1.0, index: str = "health_index", spec: PanelSpec = P) -> DataFrame:
-    """(entity, true_rul, rul_pred, lower_bound, upper_bound) by linear extrapolation; the safety factor is on the point only."""
+#: Predictions (entity, rul_pred, lower_bound, upper_bound) from a panel and its observations (a row for each entity).
+Predictor = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def line_predictor(spread: float = 0.2) -> Predictor:
+    """The linear estimate, with bounds of a share of it on both sides."""
+
+    def predict(df: DataFrame, obs: DataFrame) -> DataFrame:
+        r = F.col("rul_linear")
+        return obs.withColumns({"rul_pred": r, "lower_bound": r * (1 - spread), "upper_bound": r * (1 + spread)})
+
+    return predict
+
+
+def forecast_predictor(order=(1, 1, 0), horizon: int = 150, smooth: int = 10, index: str = "health_index", ceiling: bool = True, spec: PanelSpec = P) -> Predictor:
+    """Forecast paths of every entity's index, where they and their bands cross the threshold, and the velocity ceiling."""
+    from panelspark.operators.forecast import forecast_by_entity
+
+    def predict(df: DataFrame, obs: DataFrame) -> DataFrame:
+        path = forecast_by_entity(df, index, order, horizon, smooth, spec=spec).withColumnRenamed("entity_id", spec.entity)
+        able = obs.join(path.select(spec.entity).distinct(), spec.entity, "left_semi")
+        out = bounds_from_bands(path, able, spec)
+        return velocity_ceiling(out) if ceiling else out
+
+    return predict
+
+
+def predict_fleet(df: DataFrame, threshold: DataFrame, regressor: DataFrame | None = None, factor: float = 1.0, index: str = "health_index", spec: PanelSpec = P, predictor: Predictor | None = None) -> DataFrame:
+    """(entity, true_rul, rul_pred, lower_bound, upper_bound) by any predictor, the linear one by default. Entities that
+    it gives nothing for get the fallback row (I13); the safety factor is on the point only; bounds are repaired last."""
     obs = linear_extrapolation(with_parameters(observed(df, index, spec), threshold, regressor, spec.cap), spec)
-    out = obs.withColumns({"rul_pred": F.col("rul_linear") * factor, "lower_bound": F.col("rul_linear") * 0.8, "upper_bound": F.col("rul_linear") * 1.2})
+    out = with_fallback(obs, (predictor or line_predictor())(df, obs), spec).withColumn("rul_pred", F.col("rul_pred") * factor)
     keep = [c for c in ("true_rul",) if c in out.columns]
     return repair_bounds(out, spec.cap).select(spec.entity, *keep, "rul_pred", "lower_bound", "upper_bound")
 

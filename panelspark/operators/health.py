@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.metrics import top_sensors
 from panelspark.operators.quality import by_sensor, safe_corr
-from panelspark.operators.regimes import regime_parameters
+from panelspark.operators.regimes import regime_parameters, small
 from panelspark.spec import END_OF_LIFE, PanelSpec
 
 P = PanelSpec()
@@ -32,7 +32,7 @@ def covariance(df: DataFrame, columns) -> np.ndarray:
 
 
 def _detrended(df: DataFrame, means: DataFrame, columns, regime: str) -> DataFrame:
-    joined = df.join(means, regime)
+    joined = df.join(small(means), regime)
     return joined.withColumns({f"_d_{c}": F.col(c) - F.col(f"{c}_mean") for c in columns})
 
 

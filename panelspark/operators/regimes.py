@@ -121,14 +121,19 @@ def regime_parameters(train: DataFrame, sensors, regime: str = "regime") -> Data
     return both.select(regime, *[(unit(value(f"{s}_std")) if n == "std" else value(f"{s}_mean")).alias(f"{s}_{n}") for s in sensors for n in ("mean", "std")])
 
 
+def small(parameters: DataFrame, most: int = 100_000) -> DataFrame:
+    """Parameters of at most `most` regimes go to every task, whatever sizes Spark knows; a larger table is joined as any other."""
+    return F.broadcast(parameters) if parameters.limit(most + 1).count() <= most else parameters
+
+
 def unseen_regimes(df: DataFrame, parameters: DataFrame, regime: str = "regime") -> DataFrame:
     """Regimes without parameters; must be empty."""
     return df.select(regime).distinct().join(parameters, regime, "left_anti")
 
 
 def apply_regime_scaler(df: DataFrame, parameters: DataFrame, sensors, regime: str = "regime", check: bool = True) -> DataFrame:
-    """(x - mean) / std by regime. A table of regimes is small; Spark broadcasts it by its size."""
+    """(x - mean) / std by regime. The panel is not shuffled by its few regimes (see small)."""
     if check and not unseen_regimes(df, parameters, regime).isEmpty():
         raise KeyError("a regime has no scaler")
-    joined = df.join(parameters, regime)
+    joined = df.join(small(parameters), regime)
     return joined.select(*[((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std")).alias(c) if c in sensors else F.col(c) for c in df.columns])

@@ -223,7 +223,7 @@ def adjusted_rand_index(s, d):
     return rounded(regimes.adjusted_rand_index(regimes.regime_crosstab(clustered(s, d), "regime", "op_cluster"), "regime", "op_cluster"))
 
 
-@query(f"with {_C} select p.entity_id, p.step, p.s1, c.op_cluster from p join c using (entity_id, step)")
+@query(f"with {_C.replace(' as (', ' as materialized (')} select p.entity_id, p.step, p.s1, c.op_cluster from p join c using (entity_id, step)")
 def cluster_labels_join(s, d):
     return regimes.cluster_labels_join(panels.lineitem_panel(s, d), clustered(s, d), "op_cluster").select("entity_id", "step", "s1", "op_cluster")
 
@@ -501,6 +501,12 @@ def predict_fleet(s, d):
     return rounded(crossing.predict_fleet(cut_panel(s, d), t, None, 0.88, "hi"), 5)
 
 
+@query()
+def predict_fleet_by_forecast(s, d):
+    t = health.failure_threshold(train(health_panel(s, d)), 0.05, index="hi")
+    return rounded(crossing.predict_fleet(cut_panel(s, d), t, None, 0.88, "hi", predictor=crossing.forecast_predictor(index="hi")), 5)
+
+
 @query(f"with {_PATH}, {_rul('mean', 'a')}, l as (select entity_id, rul as v from a union all select entity_id, ext_long from obs union all select entity_id, ext_short from obs) select entity_id, round(quantile_cont(v, 0.5), 5) as rul_pred from l group by 1")
 def ensemble_median(s, d):
     obs = observed(s, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.regimes import regime_parameters
+from panelspark.operators.regimes import regime_parameters, small
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,7 @@ def fixed_health(panel: DataFrame) -> DataFrame:
     """A health index of fixed weights, by train means and population deviations of the regime, with a planted trend."""
     p = regime_parameters(panel.where(~is_test()), ["s1", "s2"])
     z = lambda s: (F.col(s) - F.col(f"{s}_mean")) / F.col(f"{s}_std")
-    joined = panel.join(p, "regime")
+    joined = panel.join(small(p), "regime")
     return joined.select(*panel.columns, (0.6 * z("s1") + 0.4 * z("s2") + 0.01 * F.col("step")).alias("hi"))
 
 

@@ -9,18 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-KEPT = 30
+#: Rows of the longest tail of the linear estimate.
+TAIL = 30
 
 
 def stream_panel_features(rows: DataFrame, sensor: str, windows=(5, 10, 20), median: int = 10, threshold: float = 1.0, cap: int = 125) -> DataFrame:
     """K1: for each new row rolling means and sample deviations, the trailing median and the linear remaining life.
 
-    rows: a streaming DataFrame of (entity_id bigint, step int, sensor double). State is the last 30 values, the count and the last step; a row at
+    rows: a streaming DataFrame of (entity_id bigint, step int, sensor double). State is as many last values as the widest frame needs, the count and the last step; a row at
     or below an entity's last emitted step is dropped, and `late` tells how many were so far. Results equal the batch operators' on the same rows.
     """
     names = [f"{sensor}_{k}_{w}" for w in windows for k in ("rmean", "rstd")]
     schema = "entity_id bigint, step int, " + ", ".join(f"{n} double" for n in names) + f", {sensor}_median double, rul_linear double, late bigint"
 
+    kept = max(*windows, median, TAIL)
+
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, late, held = state.get if state.exists else (0, None, 0, [])
         held = list(held)
@@ -31,15 +34,15 @@ def stream_panel_features(rows: DataFrame, sensor: str, windows=(5, 10, 20), med
                 late += 1
                 continue
             n, last = n + 1, int(step)
-            held = [*held, float(y)][-KEPT:]
+            held = [*held, float(y)][-kept:]
             a = np.array(held)
             row = [key[0], last]
             for w in windows:
                 x = a[-w:]
                 row += [x.mean(), x.std(ddof=1) if len(x) > 1 else 0.0]
-            tail = a[-max(5, min(KEPT, int(0.2 * n))) :]
-            k = np.arange(len(tail))
-            slope = np.polyfit(k, tail, 1)[0] if len(tail) > 1 else 0.0
+            tail = a[-max(5, min(TAIL, int(0.2 * n))) :]
+            k = np.arange(len(tail)) - (len(tail) - 1) / 2
+            slope = (k @ tail) / (k @ k) if len(tail) > 1 else 0.0
             rul = float(cap) if n < 3 or slope <= 1e-4 else float(np.clip((threshold - a[-1]) / slope, 0, cap))
             out.append((*row, float(np.median(a[-median:])), rul, late))
         state.update((n, last, late, held))

@@ -226,3 +226,43 @@ def test_boosting_stops_by_patience(spark):
     model, history = learn.fit_boosted(a, b, "squared")
     h = [r.valid for r in history.orderBy("round").collect()]
     assert 10 < len(h) < 50 and len(h) - (h.index(min(h)) + 1) == 10 and len(model["trees"]) == len(h) - 10
+
+
+def test_fleet_by_forecast_with_fallback(spark):
+    """Noiseless ramps cross where their lines do; an entity too short for the order gets the fallback row."""
+    rows = [(e, k, 0.01 * e * k) for e, n in ((1, 60), (2, 40), (3, 4)) for k in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "entity_id int, step int, hi double")
+    t = spark.createDataFrame([(1.0,)], "threshold double")
+    out = {r.entity_id: r for r in crossing.predict_fleet(df, t, None, 0.5, "hi", ONE, crossing.forecast_predictor(smooth=1, index="hi", spec=ONE)).collect()}
+    assert set(out) == {1, 2, 3}
+    for e, n in ((1, 60), (2, 40)):
+        assert abs(out[e].rul_pred * 2 - (100 / e - n)) <= 2 and out[e].lower_bound <= out[e].rul_pred <= out[e].upper_bound
+    assert (out[3].lower_bound, out[3].upper_bound) == (0.0, 125.0)
+
+
+def test_best_of_a_grid(spark):
+    grid = spark.createDataFrame([(0.1, 5.0), (0.2, 3.0), (0.3, 3.0)], "q double, rmse double")
+    assert metrics.best_of_grid(grid, "rmse", "q").first().q == 0.2
+
+
+def test_estimator_and_model(spark, tmp_path):
+    rows = [(k, [float(k), 1.0], float(100 - k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "entity_id int, features array<double>, label double")
+    name = next(n for n, f in learn.REGISTRY.items() if "LinearRegression" in type(f()).__name__)
+    model = learn.RulEstimator(name).fit(df)
+    model.save(f"{tmp_path}/m")
+    for m in (model, learn.RulModel.load(spark, f"{tmp_path}/m")):
+        out = m.transform(df)
+        assert out.columns == [*df.columns, "rul_pred"] and all(abs(r.rul_pred - r.label) < 1 for r in out.collect())
+    with pytest.raises(KeyError):
+        learn.RulEstimator("none").fit(df)
+
+
+def test_regimes_are_broadcast(spark):
+    df = spark.createDataFrame([(k, k % 3, float(k)) for k in range(30)], "step int, regime int, s1 double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = regimes.apply_regime_scaler(df, regimes.regime_parameters(df, ["s1"]), ["s1"])
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -14,14 +14,20 @@ def test_stream_equals_batch(spark, tmp_path):
     for n, (lo, hi) in enumerate([(1, 20), (21, 45), (10, 12)]):  # the last file comes late
         df.where(F.col("step").between(lo, hi)).coalesce(1).write.parquet(f"{tmp_path}/in/f{n}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    out = stream_panel_features(stream, "s1")
+    out = stream_panel_features(stream, "s1", windows=(5, 10, 20, 40), threshold=2.0)
     q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r.entity_id, r.step): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     spec = PanelSpec(sensors=("s1",))
-    want = windows.rolling_median(windows.rolling_features(df, spec=spec), "s1", 10, spec=spec).collect()
+    want = windows.rolling_median(windows.rolling_features(df, (5, 10, 20, 40), spec=spec), "s1", 10, spec=spec).collect()
     assert len(got) == len(want)
+    for (e, step), g in got.items():  # the linear estimate, from the rows so far
+        y = [v for x, k, v in rows if x == e and k <= step]
+        tail = y[-max(5, min(30, int(0.2 * len(y)))) :]
+        slope = np.polyfit(range(len(tail)), tail, 1)[0] if len(tail) > 1 else 0
+        want_rul = 125.0 if len(y) < 3 or slope <= 1e-4 else min(max((2.0 - y[-1]) / slope, 0), 125)
+        assert abs(g.rul_linear - want_rul) < 1e-6
     for r in want:
         g = got[r.entity_id, r.step]
-        for c in ("s1_rmean_5", "s1_rstd_10", "s1_rmean_20", "s1_median"):
+        for c in ("s1_rmean_5", "s1_rstd_10", "s1_rmean_20", "s1_rmean_40", "s1_rstd_40", "s1_median"):
             assert abs(g[c] - r[c]) < 1e-9

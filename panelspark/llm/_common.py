@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -122,4 +124,15 @@ def take_turn(owner: str, forget) -> None:
     if _HOLDER[0] != owner:
         if _HOLDER[1] is not None:
             _HOLDER[1]()
+            _give_back()
         _HOLDER[:] = [owner, forget]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, which a reused worker process would keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

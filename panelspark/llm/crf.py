@@ -17,7 +17,7 @@ UNKNOWN = "und"
 #: Feature hashes of a word: whole word, a prefix and a suffix of 3 letters, all n-grams of 2 and 3 letters.
 SLOTS = 1 << 17
 #: Distinct words whose scores a worker keeps, and the letters of the longest of them; others are scored where they stand.
-MEMORY = 400_000
+MEMORY = 150_000
 REMEMBERED = 48
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
 def _label(model: Crf, carry: bool):
     def run(batches):
         for batch in batches:
-            for b in sliced(batch, 4096):
+            for b in sliced(batch, 1024):
                 found = predict(model, b.column("_text").to_pylist())
                 names = [n for n in b.schema.names if n != "_text" or carry]
                 yield pa.record_batch([*[b.column(n) for n in names], pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])

@@ -16,7 +16,7 @@ from panelspark.llm.tokens import sliced
 
 _WORDS: dict[bytes, int] = {}
 #: Shingles of one unit: as many as these, or so many for each bucket if that is more, of at most UNIT_DOCS documents.
-UNIT_SHINGLES = 700_000
+UNIT_SHINGLES = 400_000
 BUCKET_SHINGLES = 48
 UNIT_DOCS = 65_000
 #: Heads of a token that one join task pairs with the others of the token.
@@ -38,7 +38,7 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
 
     cut = [t.lower().split() for t in texts]  # of bytes: A-Z, and white space U+0009-000D and U+0020
     new = set().union(*cut).difference(_WORDS)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 250_000:
         _WORDS.clear()
         new = set().union(*cut)
     _WORDS.update((w, xxhash.xxh64_intdigest(w)) for w in new)

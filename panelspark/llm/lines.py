@@ -30,10 +30,15 @@ def _with_key(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     })
 
 
+def _nothing() -> None:
+    """Tasks here remember no words."""
+
+
 def _line_keys(shortest: int):
     def run(batches):
         import xxhash
 
+        C.take_turn("lines", _nothing)
         for batch in batches:
             for b in sliced(batch, 2048):
                 digests, counts, where = [], [], []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalars import clip
 from panelspark.operators.intervals import repair_bounds
 from panelspark.operators.metrics import evaluate
+from panelspark.operators.ranks import exact_quantiles
 from panelspark.spec import RUL_CAP, PanelSpec
 
 P = PanelSpec()
@@ -163,11 +164,9 @@ def threshold_grid(train: DataFrame, cut: DataFrame, quantiles=(0.01, 0.05, 0.1,
     """Metrics on truncated train histories for each quantile's threshold. Thresholds come from one aggregate, and
     the entities' slopes are found once for all of them."""
     near = train.where(F.col(spec.rul) <= end_of_life)
-    values = near.agg(F.percentile(index, F.array(*[F.lit(q) for q in quantiles])).alias("t")).select(F.posexplode("t").alias("g", "threshold"))
+    values = exact_quantiles(near, [], index, quantiles).select("q", F.col("value").alias("threshold"))
     obs = observed(cut, index, spec).crossJoin(F.broadcast(values)).withColumn("fallback", F.lit(float(spec.cap)))  # a row for each quantile
-    done = linear_extrapolation(obs, spec).withColumn("rul_pred", F.col("rul_linear"))
-    named = done.withColumn("q", F.get(F.array(*[F.lit(q) for q in quantiles]), F.col("g")))
-    return evaluate(named, "q", "threshold")
+    return evaluate(linear_extrapolation(obs, spec).withColumn("rul_pred", F.col("rul_linear")), "q", "threshold")
 
 
 def safety_factor_grid(predictions: DataFrame, factors=(0.75, 0.8, 0.85, 0.88, 0.9, 0.95, 1.0)) -> DataFrame:

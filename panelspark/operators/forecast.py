@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import kernels as K
 from panelspark.operators.metrics import modal_value
+from panelspark.operators.ranks import exact_quantiles
 from panelspark.operators.windows import acf_table, recent_window, rolling_median
 from panelspark.spec import PanelSpec
 
@@ -178,9 +179,9 @@ def residual_profile(residuals: DataFrame, column: str, points: int = 19) -> Dat
     from statistics import NormalDist
 
     ps = [(k + 1) / (points + 1) for k in range(points)]
-    row = residuals.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.percentile(column, F.array(*[F.lit(p) for p in ps])).alias("v"))
-    z = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in ps])
-    return row.select("mean", "sd", F.inline(F.arrays_zip(z.alias("normal"), F.col("v").alias("observed"))))
+    row = residuals.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
+    normal = F.get(F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in ps]), F.col("k"))
+    return exact_quantiles(residuals, [], column, ps).crossJoin(F.broadcast(row)).select("mean", "sd", normal.alias("normal"), F.col("value").alias("observed"))  # one row
 
 
 __all__ = ["adf_by_entity", "best_orders", "d_distribution", "forecast_by_entity", "ljung_box", "ljung_box_verdict", "modal_order", "modal_value", "order_grid", "persistence_walk_forward", "residual_profile", "walk_forward", "walk_forward_rmse"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.metrics import top_sensors
 from panelspark.operators.quality import by_sensor, safe_corr
+from panelspark.operators.ranks import exact_quantiles
 from panelspark.operators.regimes import regime_parameters, small
 from panelspark.spec import END_OF_LIFE, PanelSpec
 
@@ -163,7 +164,7 @@ def isotonic_index(df: DataFrame, index: str = "health_index", spec: PanelSpec =
 
 def failure_threshold(train: DataFrame, q: float = 0.05, end_of_life: int = END_OF_LIFE, index: str = "health_index", spec: PanelSpec = P) -> DataFrame:
     """The q-quantile of the index near the end of life."""
-    return train.where(F.col(spec.rul) <= end_of_life).agg(F.percentile(index, F.lit(q)).alias("threshold"))
+    return exact_quantiles(train.where(F.col(spec.rul) <= end_of_life), [], index, [q]).agg(F.max("value").alias("threshold"))  # one row, also of none
 
 
 def hi_regressor(train: DataFrame, index: str = "health_index", spec: PanelSpec = P) -> DataFrame:

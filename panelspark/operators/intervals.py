@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import clip
+from panelspark.operators.ranks import at_position, value_ranks
 from panelspark.spec import RUL_CAP
 
 
@@ -72,20 +73,14 @@ def coverage_by_bucket(df: DataFrame, edges=(0, 25, 50, 100, 125), close_last: b
 def conformal_margin(df: DataFrame, targets=(0.8,), interpolate: bool = True) -> DataFrame:
     """(model_name, target, delta): the calibration quantile of max(lo - t, t - hi, 0) at level min(ceil((n + 1) target) / n, 1).
 
-    The order statistics come from one window over each model's calibration rows; `interpolate` False takes the upper one.
+    The order statistics come from ranks of distinct scores, dealt over tasks (most scores are 0); `interpolate` False takes the upper one.
     """
     score = F.greatest(F.col("lower_bound") - F.col("true_rul"), F.col("true_rul") - F.col("upper_bound"), F.lit(0.0))
-    rows = df.select("model_name", score.alias("score"))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("model_name").orderBy("score"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("model_name")))
-    ranked = ranked.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
-    level = F.least(F.ceil((F.col("n") + 1) * F.col("target")) / F.col("n"), F.lit(1.0))
-    at = ranked.withColumn("pos", level * (F.col("n") - 1)).withColumn("k", F.col("k") - 1)
-    low, part = F.floor("pos"), F.col("pos") - F.floor("pos")
-    if interpolate:
-        weight = F.when(F.col("k") == low, 1 - part).when(F.col("k") == low + 1, part).otherwise(0.0)
-    else:
-        weight = F.when(F.col("k") == F.ceil("pos"), 1.0).otherwise(0.0)
-    return at.groupBy("model_name", "target").agg(F.sum(F.col("score") * weight).alias("delta"))
+    ranks = value_ranks(df, ["model_name"], score).withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
+    n = F.col("total")
+    pos = F.least(F.ceil((n + 1) * F.col("target")) / n, F.lit(1.0)) * (n - 1)
+    at = ranks.withColumn("at", at_position(pos if interpolate else F.ceil(pos))).where(F.col("at").isNotNull())
+    return at.groupBy("model_name", "target").agg(F.sum("at").alias("delta"))
 
 
 def apply_margin(df: DataFrame, margins: DataFrame, cap: int = RUL_CAP) -> DataFrame:

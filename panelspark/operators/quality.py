@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import clip
+from panelspark.operators.ranks import exact_quantiles
 from panelspark.spec import PanelSpec
 
 P = PanelSpec()
@@ -77,10 +78,15 @@ def std_within_vs_overall(df: DataFrame, spec: PanelSpec = P) -> DataFrame:
 
 
 def outlier_bounds(train: DataFrame, n_iqr: float = 5.0, spec: PanelSpec = P, group: str | None = "regime", approx: int | None = None) -> DataFrame:
-    """(sensor, lo, hi), the union over regimes of quartiles widened by n_iqr quartile distances. approx: accuracy of
-    approximate quartiles, for panels whose regimes are too large for exact ones."""
-    q = (lambda s: F.percentile_approx(s, [0.25, 0.75], approx)) if approx else (lambda s: F.percentile(s, F.array(F.lit(0.25), F.lit(0.75))))
-    grouped = train.groupBy(*([group] if group else [])).agg(*[q(s).alias(s) for s in spec.sensors])
+    """(sensor, lo, hi), the union over regimes of quartiles widened by n_iqr quartile distances. Exact quartiles
+    come from ranks dealt over tasks, whatever a regime's size; approx: accuracy of approximate ones, in one pass."""
+    by = [group] if group else []
+    if approx:
+        grouped = train.groupBy(*by).agg(*[F.percentile_approx(s, [0.25, 0.75], approx).alias(s) for s in spec.sensors])
+    else:
+        long = train.select(*by, F.inline(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("v")) for s in spec.sensors])))
+        quartile = lambda s, k: F.max(F.when((F.col("sensor") == s) & (F.col("k") == k), F.col("value")))
+        grouped = exact_quantiles(long, [*by, "sensor"], "v", [0.25, 0.75]).groupBy(*by).agg(*[F.array(quartile(s, 0), quartile(s, 1)).alias(s) for s in spec.sensors])
     edge = lambda s, sign: F.col(s)[0 if sign < 0 else 1] + sign * n_iqr * (F.col(s)[1] - F.col(s)[0])
     wide = grouped.agg(*[f(edge(s, sign)).alias(f"{s}#{n}") for s in spec.sensors for n, sign, f in (("lo", -1, F.min), ("hi", 1, F.max))])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(f"`{s}#lo`").alias("lo"), F.col(f"`{s}#hi`").alias("hi")) for s in spec.sensors])))

@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.ranks import running_totals
 from panelspark.spec import PanelSpec
 
 P = PanelSpec()
+#: Places of a block whose rolling means one task takes.
+SMOOTHED = 4096
 
 
 def rolling_features(df: DataFrame, windows=(5, 10, 20), spec: PanelSpec = P) -> DataFrame:
@@ -124,7 +127,15 @@ def window_arrays(df: DataFrame, features, width: int = 30, last_only: bool = Fa
 
 
 def sorted_smoothing(predictions: DataFrame, width: int = 10) -> DataFrame:
-    """Per model, predictions in the order of the truth with a centred rolling mean, for reports over test entities."""
-    w = Window.partitionBy("model_name").orderBy("true_rul", "entity_id")
-    half = width // 2
-    return predictions.select("model_name", "entity_id", "true_rul", F.row_number().over(w).alias("place"), F.avg("rul_pred").over(w.rowsBetween(-half, width - half - 1)).alias("smooth"))
+    """Per model, predictions in the order of the truth with a centred rolling mean, for reports over test entities.
+
+    Places come from range partitions. Means are taken in blocks of SMOOTHED places, which rows near an edge reach from
+    the block beside it too, so that a model of very many entities is many tasks."""
+    before, after = width // 2, width - width // 2 - 1
+    rows = predictions.select("model_name", "entity_id", "true_rul", "rul_pred")
+    placed = running_totals(rows, ["model_name"], ["true_rul", "entity_id"], F.lit(1)).withColumnRenamed("upto", "place")
+    block = lambda shift: F.floor((F.col("place") - 1 + shift) / SMOOTHED)
+    dealt = placed.withColumn("_block", F.explode(F.sequence(block(-after), block(before))))
+    w = Window.partitionBy("model_name", "_block").orderBy("place").rowsBetween(-before, after)
+    smooth = dealt.withColumn("smooth", F.avg("rul_pred").over(w)).where(F.col("_block") == block(0))
+    return smooth.select("model_name", "entity_id", "true_rul", F.col("place").cast("int").alias("place"), "smooth")

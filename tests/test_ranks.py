@@ -44,3 +44,16 @@ def test_margin_takes_the_upper_score_on_request(spark):
     for interpolate, method in ((True, "linear"), (False, "higher")):
         delta = intervals.conformal_margin(df, (0.75,), interpolate).first().delta
         assert np.isclose(delta, np.quantile(scores, level, method=method))
+
+
+def test_pinball_booster_moves_leaves_to_quantiles(spark):
+    from panelspark.operators.learn import fit_boosted
+
+    rng = np.random.default_rng(5)
+    rows = [([float(k % 2)], 50.0 * (k % 2) + float(v)) for k, v in enumerate(rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "features array<double>, label double")
+    model, history = fit_boosted(df, df, loss="pinball", q=0.9, rounds=2, depth=1, rate=1.0)
+    losses = [(r.round, r.train) for r in history.orderBy("round").collect()]
+    at = {k: np.quantile([y for x, y in rows if x[0] == k], 0.9) for k in (0.0, 1.0)}
+    want = np.mean([max(0.9 * (y - at[x[0]]), -0.1 * (y - at[x[0]])) for x, y in rows])
+    assert [r for r, _ in losses] == [1, 2] and np.isclose(losses[0][1], want)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -764,10 +765,16 @@ def ljung_box(s, d):
     return forecast.ljung_box_verdict(forecast.ljung_box(events(s, d), "s1", 20, P40))
 
 
-@query()
+_NORMAL = ", ".join(repr(NormalDist().inv_cdf((k + 1) / 20)) for k in range(19))
+_LEVELS = ", ".join(repr((k + 1) / 20) for k in range(19))
+
+
+@query(f"""with {_E}, r as (select s1 - lag(s1) over (partition by entity_id order by step) as x, step from lab),
+    v as (select avg(x) as mean, stddev_samp(x) as sd, quantile_cont(x, [{_LEVELS}]) as q from r where step > 1)
+    select round(mean, 6) as mean, round(sd, 6) as sd, round(unnest([{_NORMAL}]::double[]), 6) as normal, round(unnest(q), 6) as observed from v""")
 def residual_profile(s, d):
     e = windows.difference(events(s, d), "s1", 1, P40)
-    return forecast.residual_profile(e, "diff")
+    return rounded(forecast.residual_profile(e, "diff"))
 
 
 def _sides(s, d):

@@ -32,6 +32,17 @@ def fit_regimes(train: DataFrame, k: int = 6, settings=("op1", "op2"), restarts:
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
+def save_regimes(model, path: str) -> None:
+    """A4: the fitted model of fit_regimes, in place of what the path holds."""
+    model.write().overwrite().save(path)
+
+
+def load_regimes(path: str):
+    from pyspark.ml.clustering import KMeansModel
+
+    return KMeansModel.load(path)
+
+
 def assign_regimes(df: DataFrame, centres: list[list[float]], settings=("op1", "op2"), name: str = "op_cluster") -> DataFrame:
     """H2: the nearest of fixed centres, of equally near ones the first."""
     distance = [sum(((F.col(c) - F.lit(float(x))) ** 2 for c, x in zip(settings, centre, strict=True)), F.lit(0.0)) for centre in centres]

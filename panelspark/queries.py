@@ -532,6 +532,16 @@ def safety_factor_grid(s, d):
     return rounded(crossing.safety_factor_grid(panels.lifetime_predictions(panels.lineitem_panel(s, d))), 4)
 
 
+@query(f"select * from ({ORACLE_SQL['threshold_grid']}) order by rmse, q limit 1")
+def best_threshold(s, d):
+    return metrics.best_of_grid(threshold_grid(s, d), "rmse", "q")
+
+
+@query(f"select * from ({ORACLE_SQL['safety_factor_grid']}) order by rmse, factor limit 1")
+def best_safety_factor(s, d):
+    return metrics.best_of_grid(safety_factor_grid(s, d), "rmse", "factor")
+
+
 @query(f"with {_E}, k as (select entity_id, step, s1 as actual, lag(s1) over w as predicted, row_number() over w as k, count(*) over (partition by entity_id) as n from lab window w as (partition by entity_id order by step)) select entity_id, step, round(actual, 6) as actual, round(predicted, 6) as predicted from k where n >= 20 and k > floor(n * 0.7)")
 def persistence_walk_forward(s, d):
     return rounded(forecast.persistence_walk_forward(events(s, d), "s1", spec=P40))
@@ -730,9 +740,14 @@ def isotonic_index(s, d):
     return health.isotonic_index(health_panel(s, d), "hi")
 
 
-@query()
+@query(f"""with recursive {_E}, {_ACF}, l as (select entity_id, list(acf order by lag) as r from acf group by entity_id having count(acf) = count(*)),
+    dl as (select entity_id, r, 0 as k, []::double[] as phi, 1.0::double as v, null::double as a from l
+        union all
+        select entity_id, r, k + 1, list_concat([phi[i] - na * phi[k + 1 - i] for i in range(1, k + 1)], [na]), v * (1 - na * na), na
+        from (select *, case when v > 1e-12 then (r[k + 2] - coalesce(list_sum([phi[i] * r[k + 2 - i] for i in range(1, k + 1)]), 0)) / v else 0 end as na from dl where k + 2 <= len(r)))
+    select entity_id, k as lag, round(a, 6) as pacf from dl where k > 0""")
 def pacf_table(s, d):
-    return windows.pacf_table(windows.acf_table(events(s, d), "s1", 10, P40))
+    return rounded(windows.pacf_table(windows.acf_table(events(s, d), "s1", 10, P40)))
 
 
 @query()
@@ -740,6 +755,11 @@ def adf_by_entity(s, d):
     return forecast.adf_by_entity(events(s, d), "s1", P40)
 
 
+@query()
+def d_distribution(s, d):
+    return forecast.d_distribution(adf_by_entity(s, d))
+
+
 @query()
 def order_grid(s, d):
     return forecast.order_grid(events(s, d), "s1", spec=P40)
@@ -760,7 +780,15 @@ def walk_forward(s, d):
     return forecast.walk_forward(events(s, d), "s1", (1, 0, 0), spec=P40)
 
 
-@query()
+#: 95 % points of the chi-squared distribution with 1 to 20 degrees of freedom.
+_CHI2_95 = [3.841459, 5.991465, 7.814728, 9.487729, 11.070498, 12.591587, 14.067140, 15.507313, 16.918978, 18.307038]
+_CHI2_95 += [19.675138, 21.026070, 22.362032, 23.684791, 24.995790, 26.296228, 27.587112, 28.869299, 30.143527, 31.410433]
+
+
+@query(f"""with {_E}, {_ACF.replace("between 0 and 10", "between 0 and 20")},
+    q as (select a.entity_id, a.lag, a.n * (a.n + 2) * sum(b.acf * b.acf / (b.n - b.lag)) as q from acf a join acf b on a.entity_id = b.entity_id and b.lag between 1 and a.lag where a.lag > 0 group by a.entity_id, a.lag, a.n),
+    v as (select entity_id, min(case when q >= ({_CHI2_95})[lag] then lag end) as bad from q group by entity_id)
+    select entity_id, case when bad is null then 'white noise' when bad > 10 then 'late' else 'early' end as verdict from v""")
 def ljung_box(s, d):
     return forecast.ljung_box_verdict(forecast.ljung_box(events(s, d), "s1", 20, P40))
 

@@ -40,7 +40,7 @@ def test_equals_sql(spark, duck, name):
             assert x == y or (x is not None and y is not None and abs(float(x) - float(y)) <= 2e-6 * max(1.0, abs(float(y)))), (a, b)
 
 
-LEARNED = ["choose_k", "fit_health_index", "pca_diagnostics", "threshold_sensitivity", "isotonic_index", "adf_by_entity", "modal_order", "forecast_by_entity", "walk_forward", "ljung_box", "residual_profile", "fit_point_regressor", "fit_quantile_regressor"]
+LEARNED = ["d_distribution", "choose_k", "fit_health_index", "pca_diagnostics", "threshold_sensitivity", "isotonic_index", "adf_by_entity", "modal_order", "forecast_by_entity", "walk_forward", "fit_point_regressor", "fit_quantile_regressor"]
 
 
 @pytest.mark.parametrize("name", LEARNED)

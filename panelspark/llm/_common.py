@@ -11,7 +11,7 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word and line contracts: space and U+0009 to U+000D.
@@ -82,6 +82,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str, what: str, total: str | None = None) -> DataFrame:
+    """rows with their place from 0 on in the order of their group, and the group's number of rows as `total`.
+
+    Rows are dealt over tasks by ranges of (group, order), written, and counted by group and task; the counts (a row for
+    each task and for each group) give what comes before. Null is a group of its own. Rows with all keys equal are
+    numbered freely among themselves. A group of any size is spread over tasks.
+    """
+    spark = rows.sparkSession
+    keys = [*[F.col(c).asc_nulls_first() for c in group], *order]
+    dealt = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
+    dealt = materialise(dealt, what)
+    task = F.shiftright("_row", 33)
+    counts = materialise(dealt.groupBy(*group, task.alias("_task")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")), f"{what}-counts")
+    own = Window.partitionBy(*[F.col(c) for c in group])
+    offset = (F.sum("_n").over(own.orderBy("_task")) - F.col("_n") - F.col("_first")).alias("_offset")
+    offsets = counts.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)], F.col("_task"), offset, F.sum("_n").over(own).alias("_total"))
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    joined = dealt.join(offsets, same & (task == F.col("_task")))
+    return joined.select(*rows.columns, (F.col("_row") + F.col("_offset")).alias(name), *([F.col("_total").alias(total)] if total else []))
+
+
 def key128(*columns: Column | str) -> Column:
     """Two seeds of xxhash64 over the columns, as 32 hex digits: a key for groups within one run."""
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in (1, 2)])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import chat, crf, decontaminate, jaccard, lines, packing, pieces, quality, sharding, tokens, warc
+from panelspark.llm import chat, crf, decontaminate, importance, jaccard, lines, packing, pieces, quality, sharding, tokens, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -74,6 +74,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), percent=10, least_words=20, longest=1, buckets=10000, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -86,12 +91,35 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_importance": op13_importance,
 }
 #: The white space of line and word contracts, for trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Unsigned CRC-32 of a blob's bytes, bit by bit: each byte is xor-ed in at the first of its eight steps.
+_CRC = """xor(list_reduce(
+    list_prepend(4294967295::bigint, flatten(list_transform(range(1, octet_length({0}) + 1), lambda i: [('0x' || hex({0})[2 * i - 1 : 2 * i])::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_importance": f"""
+with w as (select 'd' as side, doc_id as id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+           union all
+           select 'b', row_number() over (), regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') from benchmark),
+     f as (select side, id, unnest(w) as f from w),
+     k as (select f, encode(f) as e from (select distinct f from f)),
+     b as (select f, {_CRC.format("e")} % 10000 as b from k),
+     c as (select b, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from f join b using (f) group by b),
+     a as (select coalesce(sum(s), 0)::double as s, coalesce(sum(t), 0)::double as t from c),
+     g as (select b, floor(1000 * ln((c.t + 1.0::double) * (a.s + 10000) / ((c.s + 1.0::double) * (a.t + 10000))))::bigint as gain from c, a),
+     d as (select id, sum(gain)::bigint as weight from f join b using (f) join g using (b) where side = 'd' group by id),
+     p as (select id as doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || id)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint as score
+           from w left join d using (id) where side = 'd'),
+     r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from p where n_features >= 20)
+select p.doc_id, n_features, weight, score, case when rank <= 10 * (select count(*) from r) // 100 then rank end as rank
+from p left join r using (doc_id)""",
     "op9_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
      s as (select *, max(page_id) over (partition by payload) as keeper, octet_length(payload) as n from p)

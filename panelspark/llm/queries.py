@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import _common as C
-from panelspark.llm import chat, crf, decontaminate, importance, jaccard, lines, packing, pieces, quality, sharding, tokens, warc
+from panelspark.llm import chat, crf, decontaminate, importance, jaccard, lines, merkle, packing, pieces, quality, sharding, tokens, warc
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -68,6 +68,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs", 4).alias("lcs"), F.round("answer", 4).alias("answer"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered).otherwise(F.col("text"))
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = merkle.leaf_digest(*[F.col(c) if c != "text" else tampered for c in columns])
+    manifest = merkle.build_manifest(docs, columns, tree="lang", order="doc_id", carry={"doc_id": F.col("doc_id"), "altered": altered})
+    out = merkle.fold(manifest.witnesses(), "altered", ["doc_id", "leaf", "subroot", "root"])
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", text("leaf"), text("subroot"), text("root"), "proof_sha256", text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_pieces(C.table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"), decode=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -90,6 +102,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle": op11_merkle,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_importance": op13_importance,
 }

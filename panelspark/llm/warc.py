@@ -35,12 +35,21 @@ def surt(url: Column) -> Column:
     return key
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's full URI as Spark itself takes it, so that tasks, too, write where Spark's readers look: a bare path
+    belongs to the default file system, and file:/x and file:///x are one folder."""
+    fs, path = C.file_system(spark, folder)
+    return fs.makeQualified(path).toString()
+
+
 def _open(folder: str):
+    """File system and path of a qualified folder, for tasks."""
     from pyarrow import fs
 
-    if "://" not in folder:
-        return fs.LocalFileSystem(), folder
-    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1) if folder.startswith("s3a://") else folder)
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme == "s3a" else folder)
 
 
 def _record_id(page, digest: str) -> str:
@@ -282,6 +291,9 @@ class CaptureIndex:
     spark: SparkSession
     folder: str
 
+    def __post_init__(self):
+        self.folder = qualified(self.spark, self.folder)
+
     def directory(self) -> DataFrame:
         return self.spark.read.schema(_BLOCK).parquet(f"{self.folder}/directory")
 
@@ -327,6 +339,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, blo
     """
     spark = pages.sparkSession
     C.prepare(spark)
+    folder = qualified(spark, folder)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("_payload"))
     rows = rows.withColumn("digest", F.sha1("_payload"))
     small = rows.where(F.length("_payload") >= least_revisit).select("page_id", "digest")

@@ -87,3 +87,15 @@ def test_key_of_many_captures(spark):
     index = W.write_archives(df, C.scratch_path(spark, "warc"), block=4)
     assert sorted(r.page_id for r in index.entries(["http://a/hot"]).collect()) == list(range(1, 300, 2))
     assert sorted(r.page_id for r in index.read(df.select("url")).collect()) == list(range(300))
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_folder_forms(spark, tmp_path, form):
+    """A bare path, file:/x and file:///x are one folder, for tasks as for Spark's readers, and later readers too."""
+    pages = spark.createDataFrame([(k, f"http://a.org/{k}", "x" * 1200) for k in range(5)], "page_id long, url string, html string")
+    folder = f"{tmp_path}/archives"
+    index = W.write_archives(pages, form.format(folder))
+    assert index.folder == f"file:{folder}" and list((tmp_path / "archives").glob("*.warc.gz")) and list((tmp_path / "archives").glob("*.cdxj.gz"))
+    for other in ("{}", "file:{}", "file://{}"):
+        again = W.CaptureIndex(spark, other.format(folder))
+        assert again.read(pages.select("url")).count() == 5 and again.read().count() == 5

@@ -91,8 +91,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, law: str = "rows", text: s
     """Rows of docs with size, text_crc32, curve, shard and slot: equal runs of the Hilbert order of (language, source, size).
 
     Language and source are quantised to at most 2**BITS cells of their sorted values (see cell_bounds), size by its
-    logarithm. Within a cell of the curve rows are ordered by hashes of the text and then the id, so equal texts of one
-    language and source lie together; where a cut falls among them, the law wins. law `rows`: shard counts differ by one
+    logarithm. All rows of a text take the least (language, source) cell that one of them has, and within a cell of the
+    curve rows are ordered by hashes of the text and then the id: equal texts lie together, whatever their languages and
+    sources, and only a cut of the law splits them. law `rows`: shard counts differ by one
     at most; `bytes`: runs are cut where the running size passes equal shares. Ranks come from nested sums, over cells
     (at most 2**(3*BITS) rows), over parts by text hash and by id hash, and over the rows of a part; no task sorts more
     than one part, so one source, or one text, with most rows is spread.
@@ -118,10 +119,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, law: str = "rows", text: s
         *[F.col(c).alias(f"_s_{k}") for k, c in enumerate(keep)],
         size.alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(5), F.col(text)).alias("_text"),
+        F.xxhash64(F.lit(5), F.coalesce(F.col(text), F.lit(""))).alias("_text"),
         F.xxhash64(F.lit(6), F.col(id_col)).alias("_id"),
-        hilbert_index([cell(lang), cell(source), level]).alias("curve"),
+        (cell(lang) * side + cell(source)).alias("_cell"),
+        level.alias("_level"),
     )
+    spread = rows.groupBy("_text").agg(F.min("_cell").alias("_least"), F.max("_cell").alias("_most")).where(F.col("_least") < F.col("_most"))
+    spread = materialise(spread.select(F.col("_text").alias("_same"), "_least"), "spread-texts")  # a table, so that the join of a text's rows can be split
+    rows = rows.join(spread, F.col("_text") == F.col("_same"), "left").withColumn("_cell", F.coalesce("_least", "_cell"))
+    rows = rows.withColumn("curve", hilbert_index([F.expr(f"_cell div {side}").cast("int"), (F.col("_cell") % side).cast("int"), F.col("_level")]))
+    rows = rows.drop("_same", "_least", "_cell", "_level")
     top = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(64 - FINE)).cast("int")
     rows = rows.withColumns({"_p": top("_text"), "_q": top("_id"), "_weight": F.col("size") if law == "bytes" else F.lit(1).cast("bigint")})
     fine = rows.groupBy("curve", "_p", "_q").agg(F.sum("_weight").alias("_w"), F.count(F.lit(1)).alias("_n"))

@@ -81,3 +81,16 @@ def test_equal_texts_lie_together(spark):
     order = [r.text_crc32 for r in out.orderBy("shard", "slot").collect()]
     same = [k for k, x in enumerate(order) if x == zlib.crc32(b"one text")]
     assert len(same) == 2000 and same[-1] - same[0] == 1999
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_only_cuts_split_equal_texts_of_many_sources(spark, law):
+    """Copies under different languages and sources, null text and the empty one: rows of a text are consecutive in the
+    order of all shards, so none is on two shards but where a shard ends."""
+    rng = random.Random(4)
+    data = [(k, rng.choice([f"copied text {k % 40} " * (k % 9), None, "", f"own {k}"]), rng.choice(["de", "en", None]), rng.choice([None, *(f"host{j}" for j in range(30))])) for k in range(2500)]
+    out = S.hilbert_shards(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), 11, law).orderBy("shard", "slot").collect()
+    places = defaultdict(list)
+    for k, r in enumerate(out):
+        places[(r.text_crc32, r.size)].append(k)
+    assert len(places) < 2000 and all(v[-1] - v[0] == len(v) - 1 for v in places.values())

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +121,15 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, start: np.ndarray, tra
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: The same with the marks (vowel signs, accents) and joiners that follow a letter, which texts of many scripts have.
+_MARKED = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
+_MARK = regex.compile(r"\p{M}")
 
 
 def tokens_of(text: str) -> list[str]:
-    """Runs of letters in lower case, whole; none where no character is a letter."""
-    words = _WORD.findall(text.lower())
+    """Runs of letters and of the marks on them in lower case, whole; none where no character is a letter."""
+    text = text.lower()
+    words = (_WORD if text.isascii() or not _MARK.search(text) else _MARKED).findall(text)
     return words if any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w) else []
 
 
@@ -267,12 +272,13 @@ def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
 SAMPLE_ROWS = 500
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Crf:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, words: int = 24, sequences: int = 6000, rounds: int = 2) -> Crf:
     """Train on a bounded, stratified sample of labelled rows: of each language the sample_rows of least hash, or all of fewer.
 
     Rows are first thinned by their hash to about four times as many, by the languages' counts, so that the ranking reads
     a small table whatever the size of docs. Rows without a language or a letter are not used; without any there is no
-    language to learn, and the model calls every text `und`.
+    language to learn, and the model calls every text `und`. Counts of words and features are over the whole sample; the
+    gradient then passes `rounds` times over `sequences` spliced sequences of `words` words.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("_l"), F.col(text).alias("_t"), F.xxhash64(F.col(id_col), F.col(text)).alias("_h"))
@@ -282,7 +288,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     share = spark.createDataFrame([(r["_l"], -(2.0**63) + 2.0**64 * min(1.0, 4 * sample_rows / r["count"])) for r in counts], "_l string, _most double")
     thin = rows.join(F.broadcast(share), "_l").where(F.col("_h").cast("double") <= F.col("_most"))
     ranked = thin.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_t"))).where(F.col("_r") <= sample_rows)
-    return train([(r["_t"], r["_l"]) for r in ranked.select("_l", "_t", "_r").orderBy("_l", "_r").collect()])
+    return train([(r["_t"], r["_l"]) for r in ranked.select("_l", "_t", "_r").orderBy("_l", "_r").collect()], words, sequences, rounds)
 
 
 def _label(model: Crf, carry: bool):
@@ -299,7 +305,7 @@ def _label(model: Crf, carry: bool):
 def label_languages(docs: DataFrame, model: Crf, text: str = "text", carry_text: bool = False) -> DataFrame:
     """Rows of docs with lang_pred and score; the text itself only with carry_text.
 
-    Whole texts are labelled word by word, a word being a run of letters of any length; the model goes to tasks with the code, and its size is fixed by SLOTS.
+    Whole texts are labelled word by word, a word being a run of letters, with the marks on them, of any length; the model goes to tasks with the code, and its size is fixed by SLOTS.
     Defined results: null texts and such without a letter are `und` with score 0; other rows depend on the text alone,
     so repeated rows and null ids are no special cases; an empty table gives no rows; columns that clash with the result's are left out.
     """

@@ -129,3 +129,21 @@ def test_query_without_labels(spark, tmp_path, n):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     out = op8_language(spark, str(tmp_path)).collect()
     assert len(out) == n and all((r.lang_pred, r.score) == ("und", 0.0) for r in out)
+
+
+def test_marks_stay_in_words():
+    """Vowel signs, tone marks and accents of their own belong to the letter before them."""
+    assert crf.tokens_of("हिन्दी भाषा, में!") == ["हिन्दी", "भाषा", "में"]
+    assert crf.tokens_of("ภาษาไทยที่ดี x1y") == ["ภาษาไทยที่ดี", "x", "y"]
+    assert crf.tokens_of("العَرَبِيَّةُ لغة") == ["العَرَبِيَّةُ", "لغة"]
+    assert crf.tokens_of("Café au_lait e\u0301te\u0301 \u0301") == ["café", "au", "lait", "e\u0301te\u0301"]
+    assert crf.tokens_of("\u0301\u0302 12 _") == [] and crf.tokens_of("می\u200cخواهم") in (["می\u200cخواهم"], ["می", "خواهم"])
+
+
+def test_scripts_with_marks_are_told_apart():
+    hindi = "यह हिन्दी भाषा में लिखा हुआ एक वाक्य है और इसमें कई शब्द हैं"
+    marathi = "हे मराठी भाषेत लिहिलेले एक वाक्य आहे आणि त्यात अनेक शब्द आहेत"
+    rng = random.Random(3)
+    texts = [(" ".join(rng.choices(t.split(), k=30)), x) for x, t in (("hi", hindi), ("mr", marathi)) for _ in range(20)]
+    out = crf.predict(crf.train(texts, sequences=600), [hindi, marathi])
+    assert [x for x, _ in out] == ["hi", "mr"] and all(s > 0.8 for _, s in out)

@@ -135,13 +135,30 @@ class DigestCache:
     spark: SparkSession
     path: str
 
-    def counts(self, version: str) -> DataFrame:
-        """(content_digest, n_tokens), each digest once."""
+    def _runs(self) -> list[str]:
         fs, _ = C.file_system(self.spark, self.path)
         done = fs.globStatus(C.hadoop_path(self.spark, f"{self.path}/run-*/_SUCCESS"))
-        runs = [x.getPath().getParent().toString() for x in done or []]
-        stored = self.spark.read.schema(_CACHE).parquet(*runs) if runs else self.spark.createDataFrame([], _CACHE)
-        return stored.where(F.col("tokenizer_version") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+        return [x.getPath().getParent().toString() for x in done or []]
+
+    def _read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema(_CACHE).parquet(*runs) if runs else self.spark.createDataFrame([], _CACHE)
+
+    def counts(self, version: str, asked: DataFrame | None = None) -> DataFrame:
+        """(content_digest, n_tokens), each digest once: of all contents, or of those whose digests `asked` has."""
+        stored = self._read(self._runs()).where(F.col("tokenizer_version") == version)
+        if asked is not None:
+            stored = stored.join(asked.select("content_digest"), "content_digest", "left_semi")
+        return stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+    def compact(self) -> None:
+        """Make one run of all. The old ones go once the new one is whole; no other job may read the cache meanwhile."""
+        runs = self._runs()
+        if len(runs) > 1:
+            whole = self._read(runs).groupBy("content_digest", "tokenizer_version").agg(F.max("n_tokens").alias("n_tokens"))
+            whole.select("content_digest", "n_tokens", "tokenizer_version").write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
+            for run in runs:
+                fs, path = C.file_system(self.spark, run)
+                fs.delete(path, True)
 
     def append(self, counted: DataFrame, version: str) -> None:
         counted.withColumn("tokenizer_version", F.lit(version)).write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
@@ -155,26 +172,33 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     once and appended; then all rows take their counts from it. cache_path: a cache of earlier runs, made if absent;
     None: a new one. If nothing is missing, no text is moved and nothing is written.
 
-    One row of each missing content carries its text to the encoders, found by a small aggregate of digests; texts meet
-    it in a join on (id, digest), so a content with very many copies is no hot key (rows without an id share one for each
-    content, which the session's skew handling splits). The join's built side has digests and ids only, no texts. Defined
-    results: null text counts 0 bytes and 0 tokens; null ids and repeated rows are rows like others; empty table: no
-    rows; of further columns only those of docs that don't clash with the result's names stay.
+    One row of each missing content carries its text to the encoders, found by small aggregates of digests: the one of
+    the least id among ids that have the content once. Texts meet it in a join on (id, digest), so a content with very many
+    copies is no hot key. Only contents that no id has once (repeated rows, null ids) are told apart further, by an
+    aggregate of one text for each digest. The built side of the join has digests and ids only. Of the cache, only what is
+    asked for is read on. Defined results: null text counts 0 bytes and 0 tokens; null ids and repeated rows are rows like
+    others; empty table: no rows; of further columns only those of docs that don't clash with the result's names or with
+    `_digest` and `content_digest` stay.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     version = tokenizer_version(tokenizer_path)
     cache = DigestCache(spark, cache_path or C.scratch_path(spark, "token-cache"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("content_digest", C.sha256(F.col("_text")))
-    missing = rows.groupBy("content_digest").agg(F.min("_id").alias("_id")).join(cache.counts(version).select("content_digest"), "content_digest", "left_anti")
-    missing = C.materialise(missing, "token-misses")
-    if not missing.isEmpty():
+    each = rows.groupBy("content_digest", "_id").agg(F.count(F.lit(1)).alias("n")).groupBy("content_digest").agg(F.min(F.struct("n", "_id")).alias("o"))
+    asked = C.materialise(each.select("content_digest", "o.n", "o._id"), "token-asked")
+    missing = C.materialise(asked.join(cache.counts(version, asked).select("content_digest"), "content_digest", "left_anti"), "token-misses")
+    have = {bool(r["more"]) for r in missing.select((F.col("n") > 1).alias("more")).distinct().collect()}
+    if have:
         a, b = rows.alias("a"), missing.alias("b")
-        texts = a.join(b.hint("shuffle_hash"), (F.col("a._id").eqNullSafe(F.col("b._id"))) & (F.col("a.content_digest") == F.col("b.content_digest"))).select("a.content_digest", "a._text")
-        counted = texts.mapInArrow(_count(tokenizer_path), "content_digest binary, n_tokens bigint")
-        cache.append(counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), version)
-    C.discard(missing)
-    stored = C.materialise(cache.counts(version), "token-counts")  # a table, so that the join of a content's copies can be split
+        texts = a.join(b, (F.col("a._id").eqNullSafe(F.col("b._id"))) & (F.col("a.content_digest") == F.col("b.content_digest"))).select("a.content_digest", "a._text", "b.n")
+        once = texts.where("n = 1").select("content_digest", "_text")
+        if True in have:
+            again = texts.where("n > 1").groupBy("content_digest").agg(F.first("_text").alias("_text"))
+            once = once.unionByName(again) if False in have else again
+        cache.append(once.mapInArrow(_count(tokenizer_path), "content_digest binary, n_tokens bigint"), version)
+    stored = C.materialise(cache.counts(version, asked), "token-counts")  # a table, so that the join of a content's copies can be split
+    C.discard(missing, asked)
     made = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c.lower() not in (*made, "_digest", "content_digest")]
     out = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), C.sha256(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))

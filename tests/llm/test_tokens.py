@@ -57,3 +57,24 @@ def test_cache_with_repeated_and_half_written_runs(spark, tmp_path):
     runs = len(list((tmp_path / "cache").glob("run-*/_SUCCESS")))
     assert T.token_counts(docs, FILE, cache.path).count() == 2
     assert len(list((tmp_path / "cache").glob("run-*/_SUCCESS"))) == runs  # only hits: nothing is written
+
+
+def test_each_missing_content_is_encoded_once(spark, tmp_path):
+    """The cache gets the rows that the encoders gave, so copies that were encoded again would show there."""
+    rows = [(None, "many nulls")] * 50 + [(7, "equal rows")] * 20 + [(None, "both"), (9, "both"), (9, "both"), (3, "single"), (4, "single"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    cache = T.DigestCache(spark, f"file://{tmp_path}/cache")
+    out = T.token_counts(docs, FILE, cache.path).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out) == sorted((str(i), len(PLAIN.encode(t or "").ids)) for i, t in rows)
+    assert spark.read.parquet(f"{cache.path}/run-*").count() == len({t or "" for _, t in rows})
+
+
+def test_asked_counts_and_compaction(spark, tmp_path):
+    cache = T.DigestCache(spark, f"file://{tmp_path}/cache")
+    for k in range(3):
+        T.token_counts(spark.createDataFrame([(1, f"text {k}"), (2, "shared")], "doc_id long, text string"), FILE, cache.path).count()
+    version = T.tokenizer_version(FILE)
+    asked = spark.createDataFrame([("text 1",), ("unknown",)], "t string").select(C.sha256(F.col("t")).alias("content_digest"))
+    assert cache.counts(version, asked).count() == 1 and cache.counts(version).count() == 4
+    cache.compact()
+    assert len(list((tmp_path / "cache").glob("run-*"))) == 1 and cache.counts(version).count() == 4

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.ranges import MOST_ROWS, over_ranges
 from panelspark.operators.ranks import running_totals
 from panelspark.spec import PanelSpec
 
@@ -15,15 +16,20 @@ P = PanelSpec()
 SMOOTHED = 4096
 
 
-def rolling_features(df: DataFrame, windows=(5, 10, 20), spec: PanelSpec = P) -> DataFrame:
-    """Trailing mean and sample deviation (0 for one row); all frames share one exchange and one sort."""
-    out = {}
-    for s in spec.sensors:
-        for w in windows:
-            frame = spec.ordered(w)
-            out[f"{s}_rmean_{w}"] = F.avg(s).over(frame)
-            out[f"{s}_rstd_{w}"] = F.coalesce(F.stddev_samp(s).over(frame), F.lit(0.0))
-    return df.withColumns(out)
+def rolling_features(df: DataFrame, windows=(5, 10, 20), spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+    """Trailing mean and sample deviation (0 for one row); all frames share one exchange and one sort. Entities of more
+    than `most` rows are dealt by ranges of steps."""
+
+    def features(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+        out = {}
+        for s in spec.sensors:
+            for w in windows:
+                frame = spec.ordered(w)
+                out[f"{s}_rmean_{w}"] = F.avg(s).over(frame)
+                out[f"{s}_rstd_{w}"] = F.coalesce(F.stddev_samp(s).over(frame), F.lit(0.0))
+        return rows.withColumns(out)
+
+    return over_ranges(df, max(windows) - 1, spec, features, most)
 
 
 def rolling_violations(df: DataFrame, columns: list[str], spec: PanelSpec = P) -> DataFrame:
@@ -36,10 +42,12 @@ def rolling_violations(df: DataFrame, columns: list[str], spec: PanelSpec = P) -
     return df.withColumn("_k", F.row_number().over(spec.ordered())).where(bad).select(spec.entity, spec.step)
 
 
-def rolling_median(df: DataFrame, column: str, window: int = 10, name: str | None = None, spec: PanelSpec = P) -> DataFrame:
-    """Trailing median."""
+def rolling_median(df: DataFrame, column: str, window: int = 10, name: str | None = None, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+    """Trailing median; long entities by ranges of steps."""
     name = name or f"{column}_median"
-    return df.withColumn(name, F.col(column) if window <= 1 else F.percentile(column, F.lit(0.5)).over(spec.ordered(window)))
+    if window <= 1:
+        return df.withColumn(name, F.col(column))
+    return over_ranges(df, window - 1, spec, lambda rows, spec: rows.withColumn(name, F.percentile(column, F.lit(0.5)).over(spec.ordered(window))), most)
 
 
 def _rank_from_end(spec: PanelSpec) -> tuple[Column, Column]:
@@ -53,13 +61,17 @@ def recent_window(df: DataFrame, share: float = 0.3, least: int = 20, most: int
     return rows.where(F.col("_k") <= F.least(F.greatest(F.bround(F.col("_n") * share), F.lit(least)), F.lit(most))).drop("_k", "_n")
 
 
-def difference(df: DataFrame, column: str, d: int = 1, spec: PanelSpec = P) -> DataFrame:
-    """The d-th difference; an entity's first d rows go."""
-    w = spec.ordered()
-    out = df.withColumn("_k", F.row_number().over(w)).withColumn("diff", F.col(column))
-    for _ in range(d):
-        out = out.withColumn("diff", F.col("diff") - F.lag("diff").over(w))
-    return out.where(F.col("_k") > d).drop("_k")
+def difference(df: DataFrame, column: str, d: int = 1, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+    """The d-th difference; an entity's first d rows go. Long entities by ranges of steps."""
+
+    def differences(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+        w = spec.ordered()
+        out = rows.withColumn("_k", F.row_number().over(w)).withColumn("diff", F.col(column))  # places count from the halo's first row
+        for _ in range(d):
+            out = out.withColumn("diff", F.col("diff") - F.lag("diff").over(w))
+        return out.where(F.col("_k") > d).drop("_k")
+
+    return over_ranges(df, d, spec, differences, most)
 
 
 def undifference(diffs: DataFrame, seeds: DataFrame, d: int = 1, spec: PanelSpec = P) -> DataFrame:
@@ -79,11 +91,17 @@ def life_bins(df: DataFrame, bins: int = 20, spec: PanelSpec = P) -> DataFrame:
     return df.withColumn("bin", k).groupBy("bin").agg(*[F.avg(s).alias(s) for s in spec.sensors], F.count(F.lit(1)).alias("n"))
 
 
-def acf_table(df: DataFrame, column: str, lags: int = 20, spec: PanelSpec = P) -> DataFrame:
-    """Autocorrelation of each entity's series at lags 0 to `lags`, as sums of products of a window's lagged values."""
-    w = spec.ordered()
-    x = df.select(spec.entity, spec.step, (F.col(column) - F.avg(column).over(spec.whole())).alias("x"))
-    products = x.select(spec.entity, *[(F.col("x") * F.lag("x", k).over(w)).alias(f"p{k}") for k in range(lags + 1)])
+def acf_table(df: DataFrame, column: str, lags: int = 20, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+    """Autocorrelation of each entity's series at lags 0 to `lags`, as sums of products of lagged values; long
+    entities by ranges of steps, whose sums are added up."""
+    means = df.groupBy(spec.entity).agg(F.avg(column).alias("_mean"))
+    x = df.join(means, spec.entity).select(spec.entity, spec.step, (F.col(column) - F.col("_mean")).alias("x"))
+
+    def lagged(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+        w = spec.ordered()
+        return rows.withColumns({f"p{k}": F.col("x") * F.lag("x", k).over(w) for k in range(lags + 1)})
+
+    products = over_ranges(x, lags, spec, lagged, most)
     sums = products.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(lags + 1)])
     long = sums.select(spec.entity, "n", "p0", F.posexplode(F.array(*[F.col(f"p{k}") for k in range(lags + 1)])).alias("lag", "p"))
     return long.where(F.col("lag") < F.col("n")).select(spec.entity, "lag", "n", (F.col("p") / F.nullif(F.col("p0"), F.lit(0.0))).alias("acf"))
@@ -111,19 +129,26 @@ def pacf_table(acf: DataFrame, spec: PanelSpec = P) -> DataFrame:
     return lists.select(spec.entity, F.posexplode(partial("a")).alias("k", "pacf")).select(spec.entity, (F.col("k") + 1).alias("lag"), "pacf")
 
 
-def window_arrays(df: DataFrame, features, width: int = 30, last_only: bool = False, spec: PanelSpec = P) -> DataFrame:
+def window_arrays(df: DataFrame, features, width: int = 30, last_only: bool = False, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
     """(entity, step, features, label): the last `width` rows, flattened oldest first. Train takes every full window,
-    last_only the last row's. Entities shorter than `width` give one window, padded with zeros on the left, whose label is that of the first row (last_only: of the last)."""
-    rows = df.withColumn("_k", F.row_number().over(spec.ordered())).withColumn("_n", F.count(F.lit(1)).over(spec.whole()))
-    arrays = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(spec.ordered(width))
-    rows = rows.withColumn("_a", arrays)
-    if spec.rul in df.columns:
-        rows = rows.withColumn("_first", F.first(spec.rul).over(spec.ordered().rowsBetween(Window.unboundedPreceding, 0)))
-    end = F.col("_k") == F.col("_n")
-    rows = rows.where(end if last_only else (F.col("_k") >= width) | (end & (F.col("_n") < width)))
-    pad = F.array_repeat(F.array_repeat(F.lit(0.0), len(features)), F.greatest(F.lit(width) - F.col("_k"), F.lit(0)).cast("int"))
-    label = [F.when((F.col("_n") < width) & F.lit(not last_only), F.col("_first")).otherwise(F.col(spec.rul)).cast("double").alias("label")] if spec.rul in df.columns else []
-    return rows.select(spec.entity, spec.step, F.flatten(F.concat(pad, "_a")).alias("features"), *label)
+    last_only the last row's. Entities shorter than `width` give one window, padded with zeros on the left, whose label is that of the first row (last_only: of the last).
+
+    What holds for a whole entity (rows, last step, first label) comes from an aggregate, and long entities are dealt by
+    ranges of steps."""
+    label = spec.rul in df.columns
+    facts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"), F.max(spec.step).alias("_last"), *[F.min_by(spec.rul, spec.step).alias("_first")] * label)
+
+    def arrays(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+        at = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(spec.ordered(width))
+        return rows.withColumn("_a", at)
+
+    needed = df.select(spec.entity, spec.step, *[c for c in dict.fromkeys([*features, *[spec.rul] * label]) if c not in (spec.entity, spec.step)])
+    rows = over_ranges(needed, width - 1, spec, arrays, most).join(facts, spec.entity)
+    end = F.col(spec.step) == F.col("_last")
+    rows = rows.where(end if last_only else (F.size("_a") >= width) | (end & (F.col("_n") < width)))
+    pad = F.array_repeat(F.array_repeat(F.lit(0.0), len(features)), F.greatest(F.lit(width) - F.size("_a"), F.lit(0)).cast("int"))
+    labels = [F.when((F.col("_n") < width) & F.lit(not last_only), F.col("_first")).otherwise(F.col(spec.rul)).cast("double").alias("label")] if label else []
+    return rows.select(spec.entity, spec.step, F.flatten(F.concat(pad, "_a")).alias("features"), *labels)
 
 
 def sorted_smoothing(predictions: DataFrame, width: int = 10) -> DataFrame:

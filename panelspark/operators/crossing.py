@@ -53,43 +53,57 @@ def linear_extrapolation(obs: DataFrame, spec: PanelSpec = P) -> DataFrame:
     return obs.withColumn("rul_linear", extrapolate(F.col("slope_long"), F.col("threshold"), spec.cap, F.col("fallback")))
 
 
+def as_paths(path: DataFrame, spec: PanelSpec = P) -> DataFrame:
+    """Paths with a row for each entity and an array for each value; rows (entity, at, ...) are gathered by entity."""
+    if "at" not in path.columns:
+        return path
+    values = [c for c in path.columns if c not in (spec.entity, "at")]
+    sorted_rows = F.array_sort(F.collect_list(F.struct("at", *values)))
+    return path.groupBy(spec.entity).agg(sorted_rows.alias("_p")).select(spec.entity, *[F.col(f"_p.{c}").alias(c) for c in values])
+
+
+def _met(values: Column, threshold: Column) -> Column:
+    """Place, from 0 on, of the first value at or above the threshold; null if there is none."""
+    return F.nullif(F.array_position(F.transform(values, lambda x: F.coalesce(x >= threshold, F.lit(False))), True), F.lit(0)) - 1
+
+
 def first_crossing(path: DataFrame, obs: DataFrame, spec: PanelSpec = P, least: int = 3) -> DataFrame:
     """The first 0-based step of the path at or above the threshold, at least `least`; null if there is none."""
-    met = F.min(F.when(F.col("mean") >= F.col("threshold"), F.col("at")))
-    joined = path.join(obs.select(spec.entity, "threshold"), spec.entity)
-    return joined.groupBy(spec.entity).agg(F.greatest(met, F.when(met.isNotNull(), F.lit(least))).alias("crossing"))
+    met = _met(F.col("mean"), F.col("threshold")).cast("int")
+    joined = as_paths(path, spec).join(obs.select(spec.entity, "threshold"), spec.entity)
+    return joined.select(spec.entity, F.greatest(met, F.when(met.isNotNull(), F.lit(least))).alias("crossing"))
+
+
+def _rul_of_path(v: Column, cap: int, plain: bool) -> Column:
+    """Remaining life from a path's values and the facts of obs beside them."""
+    t = F.col("threshold")
+    fallback = F.lit(float(cap)) if plain else F.col("fallback")
+    ok = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    first = F.slice(v, 1, 30)
+    n = F.size(first).cast("double")
+    products = F.aggregate(F.transform(first, lambda x, k: (k - (n - 1) / 2) * x), F.lit(0.0), lambda a, x: a + x)
+    slope = products / F.nullif(n * (n * n - 1) / 12, F.lit(0.0))
+    meets = 30 + (t - F.get(v, F.lit(29))) / F.nullif(slope, F.lit(0.0))
+    met = _met(v, t)
+    long = extrapolate(F.col("slope_long"), t, cap, fallback)
+    return (
+        F.when(~ok, long)
+        .when(F.col("last") >= t, extrapolate(F.col("slope_short"), t, cap, fallback))
+        .when(met.isNotNull(), F.greatest(met, F.lit(3)).cast("double"))
+        .when((slope > FLAT) & (meets <= 200), clip(meets, 0.0, float(cap)))
+        .otherwise(long)
+    )
 
 
 def rul_from_forecast(path: DataFrame, obs: DataFrame, value: str = "mean", spec: PanelSpec = P, plain: bool = False, name: str = "rul_pred") -> DataFrame:
-    """I8: remaining life from forecast rows (entity, at, value) and obs.
+    """I8: remaining life from forecast paths (a row and arrays for each entity, or rows (entity, at, value)) and obs.
 
     In order: no path or a value that isn't finite: the long tail's line. Already past the threshold: the short tail's.
     The first crossing, at least 3. The line of the path's first 30 steps, if it rises and meets the threshold within
     200. Else the long tail's line. plain (I10): past the threshold and flat gives the cap.
     """
-    v = F.col(value)
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    joined = obs.select(spec.entity, "threshold").join(path.select(spec.entity, "at", value), spec.entity)
-    first = F.col("at") < 30
-    facts = joined.groupBy(spec.entity).agg(
-        F.bool_and(finite).alias("_ok"),
-        F.min(F.when(v >= F.col("threshold"), F.col("at"))).alias("_cross"),
-        F.regr_slope(F.when(first & finite, v), F.col("at").cast("double")).alias("_f30"),
-        F.max(F.when(F.col("at") == 29, v)).alias("_v29"),
-    )
-    both = obs.join(facts, spec.entity, "left")
-    t, cap = F.col("threshold"), spec.cap
-    meets = 30 + (t - F.col("_v29")) / F.nullif(F.col("_f30"), F.lit(0.0))
-    fallback = F.lit(float(cap)) if plain else F.col("fallback")
-    long = extrapolate(F.col("slope_long"), t, cap, fallback)
-    rul = (
-        F.when(~F.coalesce(F.col("_ok"), F.lit(False)), long)
-        .when(F.col("last") >= t, extrapolate(F.col("slope_short"), t, cap, fallback))
-        .when(F.col("_cross").isNotNull(), F.greatest(F.col("_cross"), F.lit(3)).cast("double"))
-        .when((F.col("_f30") > FLAT) & (meets <= 200), clip(meets, 0.0, float(cap)))
-        .otherwise(long)
-    )
-    return both.withColumn(name, rul).drop("_ok", "_cross", "_f30", "_v29")
+    both = obs.join(as_paths(path, spec).select(spec.entity, F.col(value).alias("_v")), spec.entity, "left")
+    return both.withColumn(name, _rul_of_path(F.col("_v"), spec.cap, plain)).drop("_v")
 
 
 def velocity_ceiling(df: DataFrame, columns=("rul_pred", "lower_bound"), linear: str = "rul_linear") -> DataFrame:
@@ -98,12 +112,13 @@ def velocity_ceiling(df: DataFrame, columns=("rul_pred", "lower_bound"), linear:
     return df.withColumns({c: F.least(F.col(c), top) for c in columns})
 
 
-def bounds_from_bands(path: DataFrame, obs: DataFrame, spec: PanelSpec = P) -> DataFrame:
-    """Point and bounds from a path with bands; the upper band gives the lower bound. Bounds are put in order and clipped."""
-    out = rul_from_forecast(path, obs, "mean", spec)
-    for band, name in (("hi", "lower_bound"), ("lo", "upper_bound")):
-        out = out.join(rul_from_forecast(path, obs, band, spec, name=name).select(spec.entity, name), spec.entity)
-    return repair_bounds(out, spec.cap)
+def bounds_from_bands(path: DataFrame, obs: DataFrame, spec: PanelSpec = P, how: str = "left") -> DataFrame:
+    """Point and bounds from paths with bands, met once for all three; the upper band gives the lower bound. Bounds are
+    put in order and clipped. how: `inner` leaves out entities without a path."""
+    bands = {"mean": "rul_pred", "hi": "lower_bound", "lo": "upper_bound"}
+    both = obs.join(as_paths(path, spec).select(spec.entity, *[F.col(c).alias(f"_{c}") for c in bands]), spec.entity, how)
+    out = both.withColumns({name: _rul_of_path(F.col(f"_{c}"), spec.cap, False) for c, name in bands.items()})
+    return repair_bounds(out.drop(*[f"_{c}" for c in bands]), spec.cap)
 
 
 def with_fallback(entities: DataFrame, predictions: DataFrame, spec: PanelSpec = P) -> DataFrame:
@@ -133,12 +148,11 @@ def line_predictor(spread: float = 0.2) -> Predictor:
 
 def forecast_predictor(order=(1, 1, 0), horizon: int = 150, smooth: int = 10, index: str = "health_index", ceiling: bool = True, spec: PanelSpec = P) -> Predictor:
     """Forecast paths of every entity's index, where they and their bands cross the threshold, and the velocity ceiling."""
-    from panelspark.operators.forecast import forecast_by_entity
+    from panelspark.operators.forecast import forecast_paths
 
     def predict(df: DataFrame, obs: DataFrame) -> DataFrame:
-        path = forecast_by_entity(df, index, order, horizon, smooth, spec=spec).withColumnRenamed("entity_id", spec.entity)
-        able = obs.join(path.select(spec.entity).distinct(), spec.entity, "left_semi")
-        out = bounds_from_bands(path, able, spec)
+        paths = forecast_paths(df, index, order, horizon, smooth, spec=spec).withColumnRenamed("entity_id", spec.entity)
+        out = bounds_from_bands(paths, obs, spec, "inner")
         return velocity_ceiling(out) if ceiling else out
 
     return predict
@@ -175,9 +189,16 @@ def safety_factor_grid(predictions: DataFrame, factors=(0.75, 0.8, 0.85, 0.88, 0
     return evaluate(both.withColumn("rul_pred", F.col("rul_pred") * F.col("factor")), "factor")
 
 
+def linear_paths(obs: DataFrame, horizon: int = 150, spread: float = 0.1, spec: PanelSpec = P) -> DataFrame:
+    """Closed-form paths (entity, mean, lo, hi), arrays: the long tail's line, bands growing with the root of the step."""
+    ahead = F.sequence(F.lit(1), F.lit(horizon))
+    mean = lambda k: F.col("last") + F.coalesce("slope_long", F.lit(0.0)) * k
+    band = lambda k: F.lit(spread) * F.sqrt(k)
+    lines = {"mean": mean, "lo": lambda k: mean(k) - band(k), "hi": lambda k: mean(k) + band(k)}
+    return obs.select(spec.entity, *[F.transform(ahead, f).alias(c) for c, f in lines.items()])
+
+
 def linear_path(obs: DataFrame, horizon: int = 150, spread: float = 0.1, spec: PanelSpec = P) -> DataFrame:
-    """A closed-form path (entity, at, mean, lo, hi): the long tail's line, bands growing with the root of the step."""
-    rows = obs.select(spec.entity, "last", "slope_long", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("at"))
-    mean = F.col("last") + F.coalesce("slope_long", F.lit(0.0)) * (F.col("at") + 1)
-    band = F.lit(spread) * F.sqrt(F.col("at") + 1)
-    return rows.select(spec.entity, "at", mean.alias("mean"), (mean - band).alias("lo"), (mean + band).alias("hi"))
+    """linear_paths as rows (entity, at, mean, lo, hi)."""
+    rows = linear_paths(obs, horizon, spread, spec).select(spec.entity, F.posexplode(F.arrays_zip("mean", "lo", "hi")).alias("at", "_v"))
+    return rows.select(spec.entity, "at", "_v.mean", "_v.lo", "_v.hi")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.metrics import top_sensors
 from panelspark.operators.quality import by_sensor, safe_corr
+from panelspark.operators.ranges import MOST_ROWS, RANGE, in_range_order, map_runs
 from panelspark.operators.ranks import exact_quantiles
 from panelspark.operators.regimes import regime_parameters, small
 from panelspark.spec import END_OF_LIFE, PanelSpec
@@ -138,28 +139,57 @@ def ablation_table(variants: list[tuple[str, str, DataFrame]], metric: str, smal
     return out.join(base, "component").select("component", "variant", "metric", d.alias("delta"), verdict.alias("verdict"))
 
 
-def pool_adjacent_violators(y: np.ndarray) -> np.ndarray:
-    """The least-squares fit that never falls."""
+def pooled_blocks(y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(means, sizes) of the blocks of the least-squares fit that never falls; sizes count values, of whatever weight."""
     blocks: list[list[float]] = []
-    for v in y.tolist():
-        blocks.append([v, 1.0])
+    for v, w in zip(y.tolist(), [1.0] * len(y) if weights is None else weights.tolist(), strict=True):
+        blocks.append([v, w, 1])
         while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
-            v2, w2 = blocks.pop()
-            v1, w1 = blocks.pop()
-            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2])
-    return np.repeat([b[0] for b in blocks], [int(b[1]) for b in blocks])
+            v2, w2, n2 = blocks.pop()
+            v1, w1, n1 = blocks.pop()
+            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return np.array([b[0] for b in blocks], float), np.array([b[2] for b in blocks], int)
+
 
+def pool_adjacent_violators(y: np.ndarray) -> np.ndarray:
+    """The least-squares fit that never falls."""
+    return np.repeat(*pooled_blocks(y))
 
-def isotonic_index(df: DataFrame, index: str = "health_index", spec: PanelSpec = P) -> DataFrame:
-    """Each entity's index made monotone."""
-    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(spec.step)
-        return pdf.assign(isotonic=pool_adjacent_violators(pdf[index].to_numpy(float)))
+def isotonic_index(df: DataFrame, index: str = "health_index", spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+    """Each entity's index made monotone.
 
-    rows = df.select(spec.entity, spec.step, index)
-    return rows.groupBy(spec.entity).applyInPandas(fit, f"{spec.entity} {kind[spec.entity]}, {spec.step} {kind[spec.step]}, {index} double, isotonic double")
+    Every range of a long entity pools its own rows. A block of one range can only be pooled with others if its mean is
+    above the least mean with which a later range begins, or below the largest with which an earlier one ends. Such
+    blocks, as (mean, rows), meet by entity and are pooled until none falls; all others are final. Rows take the mean of
+    their block by a join on the block.
+    """
+    kind = df.schema[spec.entity].dataType.simpleString()
+    rows = in_range_order(df.select(spec.entity, spec.step, F.col(index).cast("double").alias(index)), spec, most)
+    keys = [spec.entity, RANGE]
+
+    def fit(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        means, sizes = pooled_blocks(c[index])
+        columns = [pa.array(c[spec.entity]), *(pa.array(c[x]) for x in (RANGE, spec.step, index)), pa.array(np.repeat(np.arange(len(sizes)), sizes)), pa.array(np.repeat(means, sizes))]
+        return pa.record_batch(columns, names=[*keys, spec.step, index, "_block", "_mean"])
+
+    schema = f"`{spec.entity}` {kind}, {RANGE} int, `{spec.step}` {df.schema[spec.step].dataType.simpleString()}, `{index}` double, _block bigint, _mean double"
+    placed = map_runs(rows.drop("_cuts"), keys, spec.step, fit, schema)
+    long = map_runs(rows.where(F.col("_cuts").isNotNull()).drop("_cuts"), keys, spec.step, fit, schema)
+    blocks = long.groupBy(*keys, "_block").agg(F.first("_mean").alias("_mean"), F.count(F.lit(1)).cast("double").alias("_w"))
+    ends = blocks.groupBy(*keys).agg(F.min_by("_mean", "_block").alias("_begin"), F.max_by("_mean", "_block").alias("_end"))
+    order = Window.partitionBy(spec.entity).orderBy(RANGE)
+    after = F.min("_begin").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
+    before = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")
+    loose = blocks.join(ends.select(*keys, after, before), keys).where((F.col("_mean") > F.col("_after")) | (F.col("_mean") < F.col("_before")))
+
+    def pool(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        means, sizes = pooled_blocks(c["_mean"], c["_w"])
+        return pa.record_batch([pa.array(c[spec.entity]), pa.array(c[RANGE]), pa.array(c["_block"]), pa.array(np.repeat(means, sizes))], names=[*keys, "_block", "_pooled"])
+
+    place = (F.col(RANGE).cast("bigint") * 2**40 + F.col("_block")).alias("_place")
+    pooled = map_runs(loose.select(*keys, "_block", "_mean", "_w", place), [spec.entity], "_place", pool, f"`{spec.entity}` {kind}, {RANGE} int, _block bigint, _pooled double")
+    return placed.join(pooled, [*keys, "_block"], "left").select(spec.entity, spec.step, index, F.coalesce("_pooled", "_mean").alias("isotonic"))
 
 
 def failure_threshold(train: DataFrame, q: float = 0.05, end_of_life: int = END_OF_LIFE, index: str = "health_index", spec: PanelSpec = P) -> DataFrame:

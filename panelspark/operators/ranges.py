@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.spec import PanelSpec
@@ -46,30 +46,39 @@ def range_cuts(df: DataFrame, spec: PanelSpec, most: int = MOST_ROWS) -> DataFra
     return rows.groupBy(spec.entity).agg(F.array_distinct(F.percentile_approx(spec.step, at, F.lit(20 * RANGES))).alias("_cuts"))
 
 
+def _range_of(spec: PanelSpec) -> Column:
+    return F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(spec.step))))
+
+
 def in_range_order(df: DataFrame, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
     """df with _cuts and the range of each row: 0 in entities that are not long."""
-    place = F.size(F.filter("_cuts", lambda c: c < F.col(spec.step)))
-    return df.join(range_cuts(df, spec, most), spec.entity, "left").withColumn(RANGE, F.when(F.col("_cuts").isNull(), 0).otherwise(place))
+    return df.join(range_cuts(df, spec, most), spec.entity, "left").withColumn(RANGE, _range_of(spec))
 
 
-def with_halo(df: DataFrame, before: int, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
+def with_halo(df: DataFrame, before: int | Column, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
     """Rows of df with their range, and copies of the `before` rows ahead of each range in it. _own tells which are whose.
+    `before` may be a column that is constant within an entity.
 
-    Only rows of long entities are copied. Where ranges are shorter than `before`, rows go to all ranges that look back
-    to them: by their place from the end of their range, and the numbers of rows in between.
+    Only rows of long entities are copied. For every range the step from which on earlier rows belong to it is found from
+    the last rows of the ranges before (several, where ranges are shorter than `before`): a few numbers for each long
+    entity, with which its rows then tell where they go.
     """
-    rows = in_range_order(df, spec, most)
-    long = rows.where(F.col("_cuts").isNotNull())
+    cuts = range_cuts(df, spec, most)
+    wanted = df.select(spec.entity, spec.step, (F.lit(before) if isinstance(before, int) else before).alias("_before"))
+    long = wanted.join(cuts, spec.entity).withColumn(RANGE, _range_of(spec))
     sizes = long.groupBy(spec.entity, RANGE).agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(spec.entity).orderBy(RANGE))
     upto = sizes.withColumn("_u", upto).groupBy(spec.entity).agg(F.transform(F.sort_array(F.collect_list(F.struct(RANGE, "_u"))), lambda x: x["_u"]).alias("_upto"))  # RANGES numbers
-    tail = long.withColumn("_end", F.row_number().over(Window.partitionBy(spec.entity, RANGE).orderBy(F.desc(spec.step)))).where(F.col("_end") <= before)
+    tail = long.withColumn("_end", F.row_number().over(Window.partitionBy(spec.entity, RANGE).orderBy(F.desc(spec.step)))).where(F.col("_end") <= F.col("_before"))
     r, n = F.col(RANGE), F.size("_upto")
     later = F.when(r + 1 < n, F.sequence(r + 1, n - 1)).otherwise(F.array().cast("array<int>"))
-    needed = F.filter(later, lambda t: F.col("_end") + F.get("_upto", t - 1) - F.get("_upto", r) <= before)
-    halo = tail.join(upto, spec.entity).withColumn(RANGE, F.explode(needed))
-    own = rows.select(*df.columns, RANGE, F.lit(True).alias(OWN))
-    return own.unionByName(halo.select(*df.columns, RANGE, F.lit(False).alias(OWN)))
+    needed = F.filter(later, lambda t: F.col("_end") + F.get("_upto", t - 1) - F.get("_upto", r) <= F.col("_before"))
+    firsts = tail.join(upto, spec.entity).select(spec.entity, spec.step, F.explode(needed).alias("_t")).groupBy(spec.entity, "_t").agg(F.min(spec.step).alias("_from"))
+    firsts = firsts.groupBy(spec.entity).agg(F.collect_list(F.struct("_t", "_from")).alias("_firsts"))
+    rows = df.join(cuts.join(firsts, spec.entity, "left"), spec.entity, "left").withColumn("_at", _range_of(spec))
+    ahead = F.filter("_firsts", lambda x: (x["_t"] > F.col("_at")) & (x["_from"] <= F.col(spec.step)))
+    places = F.concat(F.array("_at"), F.coalesce(F.transform(ahead, lambda x: x["_t"]), F.array().cast("array<int>")))
+    return rows.select(*df.columns, "_at", F.explode(places).alias(RANGE)).select(*df.columns, RANGE, (F.col(RANGE) == F.col("_at")).alias(OWN))
 
 
 def over_ranges(df: DataFrame, before: int, spec: PanelSpec, make: Callable[[DataFrame, PanelSpec], DataFrame], most: int = MOST_ROWS) -> DataFrame:
@@ -77,15 +86,28 @@ def over_ranges(df: DataFrame, before: int, spec: PanelSpec, make: Callable[[Dat
     return make(with_halo(df, before, spec, most), ranged(spec)).where(F.col(OWN)).drop(RANGE, OWN)
 
 
-def map_runs(rows: DataFrame, keys: list[str], order: str, function: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """function over the rows of each value of `keys` in order, as NumPy columns; many small groups share a task and an
-    Arrow batch, and a group is as long as the ranges make it. Keys and columns are numbers without nulls."""
+def tail_rows(df: DataFrame, rows: int, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
+    """The last `rows` rows of each entity, with their place from the end (_k, from 1 on) and the entity's number of rows
+    (_n). Long entities first keep the last rows of each range."""
+    counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
+    back = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(spec.step)))
+    near = in_range_order(df, spec, most).withColumn("_k", back(spec.entity, RANGE)).where(F.col("_k") <= rows)
+    last = near.select(*df.columns).withColumn("_k", back(spec.entity)).where(F.col("_k") <= rows)
+    return last.join(counts, spec.entity).select(*df.columns, "_k", "_n")
+
+
+Columns = dict[str, np.ndarray]
+
+
+def map_run_lists(rows: DataFrame, keys: list[str], order: str, function: Callable[[list[Columns]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """function over lists of runs, a run being the rows of one value of `keys` in order, as NumPy columns. A list has the
+    runs that end in one Arrow batch, so many short ones; a run is as long as the ranges make it."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys, order)
 
-    def closed(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def closed(held: list[pa.RecordBatch]) -> Columns:
         table = pa.Table.from_batches(held)
-        return function({c: table.column(c).to_numpy() for c in table.column_names})
+        return {c: table.column(c).to_numpy() for c in table.column_names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -95,18 +117,28 @@ def map_runs(rows: DataFrame, keys: list[str], order: str, function: Callable[[d
                 continue
             new = np.zeros(batch.num_rows - 1, bool)
             for c in keys:
-                x = batch.column(c).to_numpy()
+                x = batch.column(c).to_numpy(zero_copy_only=False)
                 new |= x[1:] != x[:-1]
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            out = []
+            ended = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and of(held[-1], 0) != of(batch, a):
-                    out.append(closed(held))
+                    ended.append(closed(held))
                     held = []
                 held.append(batch.slice(a, b - a))
-            if out := [x for x in out if x is not None]:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-        if held and (last := closed(held)) is not None:
-            yield last
+            if ended and (out := function(ended)) is not None:
+                yield out
+        if held and (out := function([closed(held)])) is not None:
+            yield out
 
     return dealt.mapInArrow(run, schema)
+
+
+def map_runs(rows: DataFrame, keys: list[str], order: str, function: Callable[[Columns], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """map_run_lists with a function of one run."""
+
+    def each(runs: list[Columns]) -> pa.RecordBatch | None:
+        out = [x for x in map(function, runs) if x is not None]
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+    return map_run_lists(rows, keys, order, each, schema)

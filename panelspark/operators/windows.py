@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.ranges import MOST_ROWS, over_ranges
+from panelspark.operators.ranges import MOST_ROWS, over_ranges, tail_rows
 from panelspark.operators.ranks import running_totals
 from panelspark.spec import PanelSpec
 
@@ -50,15 +50,10 @@ def rolling_median(df: DataFrame, column: str, window: int = 10, name: str | Non
     return over_ranges(df, window - 1, spec, lambda rows, spec: rows.withColumn(name, F.percentile(column, F.lit(0.5)).over(spec.ordered(window))), most)
 
 
-def _rank_from_end(spec: PanelSpec) -> tuple[Column, Column]:
-    return F.row_number().over(Window.partitionBy(spec.entity).orderBy(F.desc(spec.step))), F.count(F.lit(1)).over(spec.whole())
-
-
 def recent_window(df: DataFrame, share: float = 0.3, least: int = 20, most: int = 60, spec: PanelSpec = P) -> DataFrame:
     """The last min(max(round(share * n), least), most) rows of each entity, rounding halves to even."""
-    k, n = _rank_from_end(spec)
-    rows = df.withColumn("_k", k).withColumn("_n", n)
-    return rows.where(F.col("_k") <= F.least(F.greatest(F.bround(F.col("_n") * share), F.lit(least)), F.lit(most))).drop("_k", "_n")
+    rows = tail_rows(df, most, spec)
+    return rows.where(F.col("_k") <= F.greatest(F.bround(F.col("_n") * share), F.lit(least))).drop("_k", "_n")
 
 
 def difference(df: DataFrame, column: str, d: int = 1, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:

@@ -465,7 +465,7 @@ def linear_extrapolation(s, d):
 @query(f"with {_PATH}, c as (select entity_id, min(case when mean >= threshold then i end) as c from path join (select entity_id, threshold from obs) using (entity_id) group by entity_id) select entity_id, cast(case when c is not null then greatest(c, 3) end as int) as crossing from c")
 def first_crossing(s, d):
     obs = observed(s, d)
-    return crossing.first_crossing(crossing.linear_path(obs), obs).select("entity_id", F.col("crossing").cast("int").alias("crossing"))
+    return crossing.first_crossing(crossing.linear_paths(obs), obs).select("entity_id", F.col("crossing").cast("int").alias("crossing"))
 
 
 def _rul(value: str, name: str) -> str:
@@ -478,7 +478,7 @@ def _rul(value: str, name: str) -> str:
 @query(f"with {_PATH}, {_rul('mean', 'a')} select entity_id, round(rul, 5) as rul_pred from a")
 def rul_from_forecast(s, d):
     obs = observed(s, d)
-    return crossing.rul_from_forecast(crossing.linear_path(obs), obs).select("entity_id", F.round("rul_pred", 5).alias("rul_pred"))
+    return crossing.rul_from_forecast(crossing.linear_paths(obs), obs).select("entity_id", F.round("rul_pred", 5).alias("rul_pred"))
 
 
 _BANDS = f"{_PATH}, {_rul('mean', 'a')}, {_rul('hi', 'b')}, {_rul('lo', 'c')}, z as (select a.entity_id, a.ext_long, least(a.rul, 125) as x, least(b.rul, 125) as y, least(c.rul, 125) as w from a join b using (entity_id) join c using (entity_id)), f as (select entity_id, ext_long, x as p, least(x, y, w) as lo, greatest(x, y, w) as up from z)"
@@ -487,13 +487,13 @@ _BANDS = f"{_PATH}, {_rul('mean', 'a')}, {_rul('hi', 'b')}, {_rul('lo', 'c')}, z
 @query(f"with {_BANDS} select entity_id, round(p, 5) as rul_pred, round(lo, 5) as lower_bound, round(up, 5) as upper_bound from f")
 def bounds_from_bands(s, d):
     obs = observed(s, d)
-    return rounded(crossing.bounds_from_bands(crossing.linear_path(obs), obs).select("entity_id", "rul_pred", "lower_bound", "upper_bound"), 5)
+    return rounded(crossing.bounds_from_bands(crossing.linear_paths(obs), obs).select("entity_id", "rul_pred", "lower_bound", "upper_bound"), 5)
 
 
 @query(f"with {_BANDS} select entity_id, round(least(p, greatest(1.5 * ext_long, 5)), 5) as rul_pred, round(least(lo, greatest(1.5 * ext_long, 5)), 5) as lower_bound from f")
 def velocity_ceiling(s, d):
     obs = crossing.linear_extrapolation(observed(s, d))
-    return rounded(crossing.velocity_ceiling(crossing.bounds_from_bands(crossing.linear_path(obs), obs)).select("entity_id", "rul_pred", "lower_bound"), 5)
+    return rounded(crossing.velocity_ceiling(crossing.bounds_from_bands(crossing.linear_paths(obs), obs)).select("entity_id", "rul_pred", "lower_bound"), 5)
 
 
 @query(f"with {_OBS} select entity_id, true_rul, round(ext_long * 0.88, 5) as rul_pred, round(least(ext_long * 0.8, ext_long * 0.88), 5) as lower_bound, round(greatest(least(ext_long * 1.2, 125), ext_long * 0.88), 5) as upper_bound from obs")
@@ -511,7 +511,7 @@ def predict_fleet_by_forecast(s, d):
 @query(f"with {_PATH}, {_rul('mean', 'a')}, l as (select entity_id, rul as v from a union all select entity_id, ext_long from obs union all select entity_id, ext_short from obs) select entity_id, round(quantile_cont(v, 0.5), 5) as rul_pred from l group by 1")
 def ensemble_median(s, d):
     obs = observed(s, d)
-    three = [crossing.rul_from_forecast(crossing.linear_path(obs), obs), *[obs.withColumn("rul_pred", crossing.extrapolate(F.col(c), F.col("threshold"), P.cap, F.col("fallback"))) for c in ("slope_long", "slope_short")]]
+    three = [crossing.rul_from_forecast(crossing.linear_paths(obs), obs), *[obs.withColumn("rul_pred", crossing.extrapolate(F.col(c), F.col("threshold"), P.cap, F.col("fallback"))) for c in ("slope_long", "slope_short")]]
     long = reduce(DataFrame.unionByName, [x.select("entity_id", "rul_pred") for x in three])
     return rounded(crossing.ensemble_median(long, obs.select("entity_id", "fallback")), 5)
 

@@ -74,3 +74,33 @@ def test_runs_of_many_groups_and_batches(spark):
         assert R.map_runs(df.limit(0), ["g"], "o", lambda c: None, "g bigint").count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("most", [100, 10**9])
+def test_isotonic_fit_of_ranges_equals_one_pass(spark, most):
+    """Rising, falling, flat and noisy series, one with a late drop that pools far back, in ranges and whole."""
+    from panelspark.operators.health import isotonic_index, pool_adjacent_violators
+
+    rng = np.random.default_rng(4)
+    n = 700
+    series = {
+        1: np.arange(n) + 5 * rng.normal(size=n), 2: -np.arange(n).astype(float), 3: rng.normal(size=n), 4: np.r_[np.arange(n - 3.0), [-9e3, 1.0, 2.0]],
+        5: np.zeros(n), 6: np.sin(np.arange(n) / 40) * 10 + rng.normal(size=n), 7: rng.normal(size=30), 8: np.round(rng.normal(size=n), 1).cumsum(), 9: np.array([2.0]),
+    }
+    df = spark.createDataFrame([(e, 2 * k, float(v)) for e, y in series.items() for k, v in enumerate(y)], "entity_id long, step int, health_index double")
+    got = {}
+    for r in isotonic_index(df, spec=SPEC, most=most).collect():
+        got.setdefault(r.entity_id, []).append((r.step, r.isotonic))
+    assert set(got) == set(series)
+    for e, y in series.items():
+        assert np.allclose([v for _, v in sorted(got[e])], pool_adjacent_violators(y), atol=1e-9), e
+
+
+def test_recent_rows_of_long_entities(panel):
+    for most in (100, 10**9):
+        got = sorted((r.entity_id, r.step) for r in windows.recent_window(panel, spec=SPEC, most=60).collect()) if most else None
+        long = sorted((r.entity_id, r.step, r["_k"], r["_n"]) for r in R.tail_rows(panel, 60, SPEC, most).collect())
+        steps = {e: sorted(r.step for r in panel.where(F.col("entity_id") == e).collect()) for e in (1, 2, 3, 4)}
+        want = sorted((e, s, k + 1, len(v)) for e, v in steps.items() for k, s in enumerate(v[::-1][:60]))
+        assert long == want
+        assert got == sorted((e, s) for e, v in steps.items() for s in v[-min(max(round(0.3 * len(v)), 20), 60) :])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import grams as G
 from panelspark.operators import kernels as K
 from panelspark.operators.metrics import modal_value
-from panelspark.operators.ranges import MOST_ROWS, OWN, RANGE, map_run_lists, map_runs, range_cuts, with_halo
+from panelspark.operators.ranges import MOST_ROWS, OWN, RANGE, known_long, map_run_lists, map_runs, range_cuts, with_halo
 from panelspark.operators.ranks import exact_quantiles
 from panelspark.operators.windows import acf_table, recent_window, rolling_median
 from panelspark.spec import PanelSpec
@@ -54,7 +54,8 @@ def _floats(raw: bytes) -> np.ndarray:
 
 def _solved(runs: DataFrame, keys: list[str], values: list[str], function, schema: str) -> DataFrame:
     """function over each series' runs in order: lists of the values, a run for each range (RANGES at most)."""
-    per = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(RANGE, *values))).alias("runs"))
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = runs.repartition(n, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(RANGE, *values))).alias("runs"))
 
     def solve(batches):
         for batch in batches:
@@ -68,12 +69,13 @@ def _solved(runs: DataFrame, keys: list[str], values: list[str], function, schem
     return per.mapInArrow(solve, schema)
 
 
-def adf_by_entity(df: DataFrame, column: str, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def adf_by_entity(df: DataFrame, column: str, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """(entity_id, n, d, tau, status): the first of 0, 1, 2 differences whose unit root is rejected, else 2.
 
     Every range of a series gives its sums of products of the level, its lagged differences and the difference; their
     totals give all regressions of the test. Series under 10 rows or with values that aren't finite have a status only.
     """
+    most = known_long(df, spec, most)
     rows, facts = _centred(df, column, spec)
     short = (F.col("n") < 10) | ~F.col("ok")
     most_lags = F.floor(12 * F.pow(F.col("n") / 100, F.lit(0.25)))
@@ -117,7 +119,7 @@ AR_ORDERS = tuple((p, 0) for p in range(1, 11))
 ARMA_ORDERS = tuple(product(range(1, 4), range(1, 4)))
 
 
-def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """AIC of every order for every entity.
 
     By default p and q are those of AR_ORDERS and ARMA_ORDERS, and d is the entity's own from adf_by_entity (1 where its
@@ -130,6 +132,7 @@ def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: Pane
     pairs = [*AR_ORDERS, *ARMA_ORDERS] if ps is None and qs is None else list(product(ps or range(1, 11), qs or range(4)))
     mixed = [(p, q) for p, q in pairs if q]
     most_p, most_q = max((p for p, _ in mixed), default=0), max((q for _, q in mixed), default=0)
+    most = known_long(df, spec, most)
     rows, facts = _centred(df, column, spec)
     if ds is None:
         own = adf_by_entity(df, column, spec, most).select("entity_id", F.coalesce("d", F.lit(1)).alias("d"))
@@ -242,7 +245,7 @@ def modal_order(grid: DataFrame, default=(2, 1, 2)) -> DataFrame:
     return best.select(F.coalesce("o", d).alias("o"), F.coalesce("n", F.lit(0)).alias("n")).select("o.*", "n")
 
 
-def forecast_paths(df: DataFrame, column: str, order=(1, 1, 0), horizon: int = 150, smooth: int = 10, recent: bool = True, spec: PanelSpec = P) -> DataFrame:
+def forecast_paths(df: DataFrame, column: str, order=(1, 1, 0), horizon: int = 150, smooth: int = 10, recent: bool = True, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """A row (entity_id, mean, lo, hi) for each entity, arrays of `horizon` steps, forecast from the smoothed recent
     series; entities too short for the order, or with values that aren't finite, give none.
 
@@ -250,9 +253,10 @@ def forecast_paths(df: DataFrame, column: str, order=(1, 1, 0), horizon: int = 1
     fitted and forecast together.
     """
     p, d, q = order
-    rows = rolling_median(df, column, smooth, "_smooth", spec)
+    most = known_long(df, spec, most)
+    rows = rolling_median(df, column, smooth, "_smooth", spec, most)
     if recent:
-        rows = recent_window(rows, spec=spec)
+        rows = recent_window(rows, spec=spec, task_rows=most)
     least = p + d + q + (5 if q == 0 else 3)
 
     def fit(runs):
@@ -280,7 +284,7 @@ def persistence_walk_forward(df: DataFrame, column: str, share: float = 0.7, lea
     return rows.where((F.col("_n") >= least) & (F.col("_k") > F.floor(F.col("_n") * share))).drop("_k", "_n")
 
 
-def walk_forward(df: DataFrame, column: str, order=(1, 0, 0), share: float = 0.7, window: int = 1, block: int = 16, least: int = 20, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def walk_forward(df: DataFrame, column: str, order=(1, 0, 0), share: float = 0.7, window: int = 1, block: int = 16, least: int = 20, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """I16: forecasts of the rows after the first `share`, `window` at a time, with the order refitted on all earlier rows at
     every origin; a fit that fails persists.
 
@@ -292,6 +296,7 @@ def walk_forward(df: DataFrame, column: str, order=(1, 0, 0), share: float = 0.7
     p, d, q = order
     if q:
         return _walk_in_blocks(df, column, order, share, window, block, least, spec)
+    most = known_long(df, spec, most)
     rows, facts = _centred(df, column, spec)
     rows = rows.where(F.col("n") >= least).drop("ok")
     dealt = with_halo(rows, window - 1 + p + d, _SERIES, most).withColumn(OWN, F.col(OWN).cast("int"))
@@ -302,9 +307,6 @@ def walk_forward(df: DataFrame, column: str, order=(1, 0, 0), share: float = 0.7
         z = G.lagged(np.diff(c["y"], d), p, max(p, first - d))
         return pa.record_batch([*(pa.array(c[k][:1]) for k in keys), pa.array([len(c["y"]) - first], pa.int64()), pa.array([(z.T @ z).tobytes()], pa.binary())], names=[*keys, "size", "g"])
 
-    long = dealt.join(range_cuts(rows, _SERIES, most).select("entity_id"), "entity_id", "left_semi")
-    runs = map_runs(long, keys, "step", sums, f"entity_id bigint, {RANGE} int, size bigint, g binary")
-
     def before(r):
         out, size, g = [], 0, np.zeros((p + 2) ** 2)
         for x in r["runs"]:
@@ -312,9 +314,12 @@ def walk_forward(df: DataFrame, column: str, order=(1, 0, 0), share: float = 0.7
             size, g = size + x["size"], g + _floats(x["g"])
         return out
 
-    told = _solved(runs, ["entity_id"], ["size", "g"], before, f"entity_id bigint, {RANGE} int, told binary")
-    heads = told.select("entity_id", RANGE, F.lit(-(2**62)).alias("at"), F.lit(0.0).alias("y"), F.lit(0).alias(OWN), F.lit(0).cast("bigint").alias("n"), "told")
     data = dealt.select("entity_id", RANGE, F.col("step").alias("at"), "y", OWN, "n", F.lit(None).cast("binary").alias("told"))
+    if most is not None:  # what comes before a range is its first row
+        long = dealt.join(range_cuts(rows, _SERIES, most).select("entity_id"), "entity_id", "left_semi")
+        runs = map_runs(long, keys, "step", sums, f"entity_id bigint, {RANGE} int, size bigint, g binary")
+        told = _solved(runs, ["entity_id"], ["size", "g"], before, f"entity_id bigint, {RANGE} int, told binary")
+        data = told.select("entity_id", RANGE, F.lit(-(2**62)).alias("at"), F.lit(0.0).alias("y"), F.lit(0).alias(OWN), F.lit(0).cast("bigint").alias("n"), "told").unionByName(data)
 
     def forecast(c):
         offset, prefix = 0, None
@@ -328,7 +333,7 @@ def walk_forward(df: DataFrame, column: str, order=(1, 0, 0), share: float = 0.7
             return None
         return pa.record_batch([pa.array(c["entity_id"][at]), pa.array(c["at"][at]), pa.array(c["y"][at]), pa.array(value), pa.array(np.where(fitted, "ok", "persistence"))], names=["entity_id", "step", "actual", "predicted", "status"])
 
-    out = map_runs(heads.unionByName(data), keys, "at", forecast, "entity_id bigint, step bigint, actual double, predicted double, status string")
+    out = map_runs(data, keys, "at", forecast, "entity_id bigint, step bigint, actual double, predicted double, status string")
     mean = facts.select(F.col("entity_id").alias("_e"), "mean")
     return out.join(mean, out["entity_id"] == F.col("_e")).select("entity_id", F.col("step").cast("int").alias("step"), *[(F.col(c) + F.col("mean")).alias(c) for c in ("actual", "predicted")], "status")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.metrics import top_sensors
 from panelspark.operators.quality import by_sensor, safe_corr
-from panelspark.operators.ranges import MOST_ROWS, RANGE, in_range_order, map_runs
+from panelspark.operators.ranges import MOST_ROWS, RANGE, in_range_order, known_long, map_runs
 from panelspark.operators.ranks import exact_quantiles
 from panelspark.operators.regimes import regime_parameters, small
 from panelspark.spec import END_OF_LIFE, PanelSpec
@@ -156,7 +156,7 @@ def pool_adjacent_violators(y: np.ndarray) -> np.ndarray:
     return np.repeat(*pooled_blocks(y))
 
 
-def isotonic_index(df: DataFrame, index: str = "health_index", spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def isotonic_index(df: DataFrame, index: str = "health_index", spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """Each entity's index made monotone.
 
     Every range of a long entity pools its own rows. A block of one range can only be pooled with others if its mean is
@@ -165,6 +165,7 @@ def isotonic_index(df: DataFrame, index: str = "health_index", spec: PanelSpec =
     their block by a join on the block.
     """
     kind = df.schema[spec.entity].dataType.simpleString()
+    most = known_long(df, spec, most)
     rows = in_range_order(df.select(spec.entity, spec.step, F.col(index).cast("double").alias(index)), spec, most)
     keys = [spec.entity, RANGE]
 
@@ -175,6 +176,8 @@ def isotonic_index(df: DataFrame, index: str = "health_index", spec: PanelSpec =
 
     schema = f"`{spec.entity}` {kind}, {RANGE} int, `{spec.step}` {df.schema[spec.step].dataType.simpleString()}, `{index}` double, _block bigint, _mean double"
     placed = map_runs(rows.drop("_cuts"), keys, spec.step, fit, schema)
+    if most is None:
+        return placed.select(spec.entity, spec.step, index, F.col("_mean").alias("isotonic"))
     long = map_runs(rows.where(F.col("_cuts").isNotNull()).drop("_cuts"), keys, spec.step, fit, schema)
     blocks = long.groupBy(*keys, "_block").agg(F.first("_mean").alias("_mean"), F.count(F.lit(1)).cast("double").alias("_w"))
     ends = blocks.groupBy(*keys).agg(F.min_by("_mean", "_block").alias("_begin"), F.max_by("_mean", "_block").alias("_end"))

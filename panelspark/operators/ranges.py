@@ -34,6 +34,18 @@ def ranged(spec: PanelSpec) -> RangedSpec:
     return RangedSpec(**{f.name: getattr(spec, f.name) for f in fields(spec)})
 
 
+def known_long(df: DataFrame, spec: PanelSpec, most: int | None = MOST_ROWS) -> int | None:
+    """`most`, or None if no entity of df has more rows: then nothing has to be dealt, and plans are those of one window.
+
+    The only thing here that runs at once: a count of rows by entity, which reads no other column. Callers who know that
+    no entity is long pass None themselves, here and to all functions below.
+    """
+    if most is None:
+        return None
+    counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
+    return None if counts.where(F.col("_n") > most).isEmpty() else most
+
+
 def range_cuts(df: DataFrame, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
     """(entity, _cuts): for entities of more than `most` rows, steps that cut theirs into RANGES parts of about equally many.
 
@@ -50,12 +62,14 @@ def _range_of(spec: PanelSpec) -> Column:
     return F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(spec.step))))
 
 
-def in_range_order(df: DataFrame, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
+def in_range_order(df: DataFrame, spec: PanelSpec, most: int | None = MOST_ROWS) -> DataFrame:
     """df with _cuts and the range of each row: 0 in entities that are not long."""
+    if most is None:
+        return df.withColumns({"_cuts": F.lit(None).cast("array<int>"), RANGE: F.lit(0)})
     return df.join(range_cuts(df, spec, most), spec.entity, "left").withColumn(RANGE, _range_of(spec))
 
 
-def with_halo(df: DataFrame, before: int | Column, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
+def with_halo(df: DataFrame, before: int | Column, spec: PanelSpec, most: int | None = MOST_ROWS) -> DataFrame:
     """Rows of df with their range, and copies of the `before` rows ahead of each range in it. _own tells which are whose.
     `before` may be a column that is constant within an entity.
 
@@ -63,6 +77,8 @@ def with_halo(df: DataFrame, before: int | Column, spec: PanelSpec, most: int =
     the last rows of the ranges before (several, where ranges are shorter than `before`): a few numbers for each long
     entity, with which its rows then tell where they go.
     """
+    if most is None:
+        return df.withColumns({RANGE: F.lit(0), OWN: F.lit(True)})
     cuts = range_cuts(df, spec, most)
     wanted = df.select(spec.entity, spec.step, (F.lit(before) if isinstance(before, int) else before).alias("_before"))
     long = wanted.join(cuts, spec.entity).withColumn(RANGE, _range_of(spec))
@@ -81,14 +97,23 @@ def with_halo(df: DataFrame, before: int | Column, spec: PanelSpec, most: int =
     return rows.select(*df.columns, "_at", F.explode(places).alias(RANGE)).select(*df.columns, RANGE, (F.col(RANGE) == F.col("_at")).alias(OWN))
 
 
-def over_ranges(df: DataFrame, before: int, spec: PanelSpec, make: Callable[[DataFrame, PanelSpec], DataFrame], most: int = MOST_ROWS) -> DataFrame:
-    """make(rows, spec) with frames of at most `before` rows back, over rows dealt by ranges; each row of df once."""
+def over_ranges(df: DataFrame, before: int, spec: PanelSpec, make: Callable[[DataFrame, PanelSpec], DataFrame], most: int | None = MOST_ROWS) -> DataFrame:
+    """make(rows, spec) with frames of at most `before` rows back, over rows dealt by ranges if there are long entities;
+    each row of df once."""
+    most = known_long(df, spec, most)
+    if most is None:
+        return make(df, spec)
     return make(with_halo(df, before, spec, most), ranged(spec)).where(F.col(OWN)).drop(RANGE, OWN)
 
 
-def tail_rows(df: DataFrame, rows: int, spec: PanelSpec, most: int = MOST_ROWS) -> DataFrame:
+def tail_rows(df: DataFrame, rows: int, spec: PanelSpec, most: int | None = MOST_ROWS) -> DataFrame:
     """The last `rows` rows of each entity, with their place from the end (_k, from 1 on) and the entity's number of rows
-    (_n). Long entities first keep the last rows of each range."""
+    (_n). If there are long entities, the last rows of each range are kept first."""
+    most = known_long(df, spec, most)
+    if most is None:
+        last = Window.partitionBy(spec.entity)
+        ranked = df.withColumns({"_k": F.row_number().over(last.orderBy(F.desc(spec.step))), "_n": F.count(F.lit(1)).over(last)})
+        return ranked.where(F.col("_k") <= rows)
     counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
     back = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(spec.step)))
     near = in_range_order(df, spec, most).withColumn("_k", back(spec.entity, RANGE)).where(F.col("_k") <= rows)

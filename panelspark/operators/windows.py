@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.ranges import MOST_ROWS, over_ranges, tail_rows
+from panelspark.operators.ranges import MOST_ROWS, known_long, over_ranges, tail_rows
 from panelspark.operators.ranks import running_totals
 from panelspark.spec import PanelSpec
 
@@ -16,7 +16,7 @@ P = PanelSpec()
 SMOOTHED = 4096
 
 
-def rolling_features(df: DataFrame, windows=(5, 10, 20), spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def rolling_features(df: DataFrame, windows=(5, 10, 20), spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """Trailing mean and sample deviation (0 for one row); all frames share one exchange and one sort. Entities of more
     than `most` rows are dealt by ranges of steps."""
 
@@ -42,7 +42,7 @@ def rolling_violations(df: DataFrame, columns: list[str], spec: PanelSpec = P) -
     return df.withColumn("_k", F.row_number().over(spec.ordered())).where(bad).select(spec.entity, spec.step)
 
 
-def rolling_median(df: DataFrame, column: str, window: int = 10, name: str | None = None, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def rolling_median(df: DataFrame, column: str, window: int = 10, name: str | None = None, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """Trailing median; long entities by ranges of steps."""
     name = name or f"{column}_median"
     if window <= 1:
@@ -50,13 +50,14 @@ def rolling_median(df: DataFrame, column: str, window: int = 10, name: str | Non
     return over_ranges(df, window - 1, spec, lambda rows, spec: rows.withColumn(name, F.percentile(column, F.lit(0.5)).over(spec.ordered(window))), most)
 
 
-def recent_window(df: DataFrame, share: float = 0.3, least: int = 20, most: int = 60, spec: PanelSpec = P) -> DataFrame:
-    """The last min(max(round(share * n), least), most) rows of each entity, rounding halves to even."""
-    rows = tail_rows(df, most, spec)
+def recent_window(df: DataFrame, share: float = 0.3, least: int = 20, most: int = 60, spec: PanelSpec = P, task_rows: int | None = MOST_ROWS) -> DataFrame:
+    """The last min(max(round(share * n), least), most) rows of each entity, rounding halves to even. task_rows: as `most`
+    of the functions above."""
+    rows = tail_rows(df, most, spec, task_rows)
     return rows.where(F.col("_k") <= F.greatest(F.bround(F.col("_n") * share), F.lit(least))).drop("_k", "_n")
 
 
-def difference(df: DataFrame, column: str, d: int = 1, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def difference(df: DataFrame, column: str, d: int = 1, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """The d-th difference; an entity's first d rows go. Long entities by ranges of steps."""
 
     def differences(rows: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -86,11 +87,15 @@ def life_bins(df: DataFrame, bins: int = 20, spec: PanelSpec = P) -> DataFrame:
     return df.withColumn("bin", k).groupBy("bin").agg(*[F.avg(s).alias(s) for s in spec.sensors], F.count(F.lit(1)).alias("n"))
 
 
-def acf_table(df: DataFrame, column: str, lags: int = 20, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def acf_table(df: DataFrame, column: str, lags: int = 20, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """Autocorrelation of each entity's series at lags 0 to `lags`, as sums of products of lagged values; long
     entities by ranges of steps, whose sums are added up."""
-    means = df.groupBy(spec.entity).agg(F.avg(column).alias("_mean"))
-    x = df.join(means, spec.entity).select(spec.entity, spec.step, (F.col(column) - F.col("_mean")).alias("x"))
+    most = known_long(df, spec, most)
+    if most is None:
+        x = df.select(spec.entity, spec.step, (F.col(column) - F.avg(column).over(spec.whole())).alias("x"))
+    else:
+        means = df.groupBy(spec.entity).agg(F.avg(column).alias("_mean"))
+        x = df.join(means, spec.entity).select(spec.entity, spec.step, (F.col(column) - F.col("_mean")).alias("x"))
 
     def lagged(rows: DataFrame, spec: PanelSpec) -> DataFrame:
         w = spec.ordered()
@@ -124,13 +129,14 @@ def pacf_table(acf: DataFrame, spec: PanelSpec = P) -> DataFrame:
     return lists.select(spec.entity, F.posexplode(partial("a")).alias("k", "pacf")).select(spec.entity, (F.col("k") + 1).alias("lag"), "pacf")
 
 
-def window_arrays(df: DataFrame, features, width: int = 30, last_only: bool = False, spec: PanelSpec = P, most: int = MOST_ROWS) -> DataFrame:
+def window_arrays(df: DataFrame, features, width: int = 30, last_only: bool = False, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
     """(entity, step, features, label): the last `width` rows, flattened oldest first. Train takes every full window,
     last_only the last row's. Entities shorter than `width` give one window, padded with zeros on the left, whose label is that of the first row (last_only: of the last).
 
     What holds for a whole entity (rows, last step, first label) comes from an aggregate, and long entities are dealt by
     ranges of steps."""
     label = spec.rul in df.columns
+    most = known_long(df, spec, most)
     facts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"), F.max(spec.step).alias("_last"), *[F.min_by(spec.rul, spec.step).alias("_first")] * label)
 
     def arrays(rows: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -138,7 +144,12 @@ def window_arrays(df: DataFrame, features, width: int = 30, last_only: bool = Fa
         return rows.withColumn("_a", at)
 
     needed = df.select(spec.entity, spec.step, *[c for c in dict.fromkeys([*features, *[spec.rul] * label]) if c not in (spec.entity, spec.step)])
-    rows = over_ranges(needed, width - 1, spec, arrays, most).join(facts, spec.entity)
+    if most is None:
+        whole = spec.whole()
+        rows = needed.withColumns({"_n": F.count(F.lit(1)).over(whole), "_last": F.max(spec.step).over(whole), **({"_first": F.first(spec.rul).over(spec.ordered().rowsBetween(Window.unboundedPreceding, 0))} if label else {})})
+        rows = arrays(rows, spec)
+    else:
+        rows = over_ranges(needed, width - 1, spec, arrays, most).join(facts, spec.entity)
     end = F.col(spec.step) == F.col("_last")
     rows = rows.where(end if last_only else (F.size("_a") >= width) | (end & (F.col("_n") < width)))
     pad = F.array_repeat(F.array_repeat(F.lit(0.0), len(features)), F.greatest(F.lit(width) - F.size("_a"), F.lit(0)).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from statistics import NormalDist
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from panelspark.functions import scalars as S
 from panelspark.operators import crossing, forecast, health, intervals, label, learn, metrics, quality, regimes, windows
 from panelspark.plans import fleet
-from panelspark.sources import panels, tables
+from panelspark.sources import panels, scratch, tables
 from panelspark.spec import PanelSpec
+from panelspark.streaming import features
 
 P = PanelSpec()
 P40 = PanelSpec(sensors=("s1", "s2", "s3"), cap=40)
@@ -224,7 +226,7 @@ def adjusted_rand_index(s, d):
     return rounded(regimes.adjusted_rand_index(regimes.regime_crosstab(clustered(s, d), "regime", "op_cluster"), "regime", "op_cluster"))
 
 
-@query(f"with {_C.replace(' as (', ' as materialized (')} select p.entity_id, p.step, p.s1, c.op_cluster from p join c using (entity_id, step)")
+@query(f"with {_C} select entity_id, step, s1, op_cluster from c")
 def cluster_labels_join(s, d):
     return regimes.cluster_labels_join(panels.lineitem_panel(s, d), clustered(s, d), "op_cluster").select("entity_id", "step", "s1", "op_cluster")
 
@@ -407,6 +409,23 @@ def sorted_smoothing(s, d):
     return rounded(windows.sorted_smoothing(predictions(s, d)))
 
 
+_FRAME = "over (partition by user_id order by ts rows {} preceding)"
+
+
+@query(f"""select user_id as entity_id, epoch_us(ts) as step, {", ".join(f"round(avg(value) {_FRAME.format(w - 1)}, 6) as s1_rmean_{w}, round(coalesce(stddev_samp(value) {_FRAME.format(w - 1)}, 0), 6) as s1_rstd_{w}" for w in (5, 10, 20))},
+    round(quantile_cont(value, 0.5) {_FRAME.format(9)}, 6) as s1_median, cast(0 as bigint) as late from events""")
+def stream_features(s, d):
+    """The table of events as a stream, run to its end, into a table of the shared folder."""
+    path = f"{d}/events.parquet"
+    stream = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")  # a pattern, as the table may be one file
+    at = F.col("ts").cast("timestamp")
+    rows = stream.select(F.col("user_id").cast("bigint").alias("entity_id"), F.unix_micros(at).alias("step"), F.col("value").alias("s1"), at.alias("at"))
+    out = features.stream_panel_features(rows, "s1", event_time="at", delay="1 day", idle="365 days")
+    folder = f"{scratch.shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return rounded(s.read.parquet(f"{folder}/rows").drop("rul_linear"))
+
+
 # --- health index and crossing --------------------------------------------------------------------------------------
 
 _CORR = _L + f", cr as ({each('''select '{s}' as sensor, round_even(covar_pop({s}, -rul) / nullif(stddev_pop({s}) * stddev_pop(-rul), 0), 4) as r from lab''')})"

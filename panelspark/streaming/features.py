@@ -6,47 +6,116 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Rows of the longest tail of the linear estimate.
 TAIL = 30
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_panel_features(rows: DataFrame, sensor: str, windows=(5, 10, 20), median: int = 10, threshold: float = 1.0, cap: int = 125) -> DataFrame:
+def _trailing(y: np.ndarray, new: int, width: int) -> np.ndarray:
+    """The trailing windows of the last `new` places of y, shorter ones padded with NaN on the left."""
+    return sliding_window_view(np.concatenate([np.full(max(width - 1, 0), np.nan), y]), width)[len(y) - new :]
+
+
+def batch_features(held: np.ndarray, y: np.ndarray, n: int, windows, median: int, threshold: float, cap: int) -> dict[str, np.ndarray]:
+    """Features of new values y after the held ones; n: how many values the entity had before y."""
+    out, every, new = {}, np.concatenate([held, y]), len(y)
+    for w in windows:
+        x = _trailing(every, new, w)
+        size = np.minimum(w, n + 1 + np.arange(new))
+        mean = np.nansum(x, axis=1) / size
+        out[f"rmean_{w}"] = mean
+        out[f"rstd_{w}"] = np.sqrt(np.nansum((x - mean[:, None]) ** 2, axis=1) / np.maximum(size - 1, 1))
+    out["median"] = np.nanmedian(_trailing(every, new, median), axis=1)
+    count = n + 1 + np.arange(new)
+    tail = np.minimum(np.maximum(5, np.minimum(TAIL, (0.2 * count).astype(int))), count)
+    x = _trailing(every, new, TAIL)
+    at = np.arange(TAIL) - (TAIL - 1) + (tail[:, None] - 1) / 2  # places within the tail, about their middle
+    inside = np.arange(TAIL)[None] >= TAIL - tail[:, None]
+    slope = np.where(inside, at * np.nan_to_num(x), 0.0).sum(1) / np.maximum(np.where(inside, at**2, 0.0).sum(1), 1e-300)
+    flat = (count < 3) | ~(slope > 1e-4)
+    out["rul_linear"] = np.where(flat, float(cap), np.clip((threshold - y) / np.where(flat, 1.0, slope), 0, cap))
+    return out
+
+
+class PanelFeatures(StatefulProcessor):
+    """State of an entity: as many last values as the widest frame needs (a list), and its count, last step, dropped rows
+    and last event time (a value). With event time a timer forgets an entity that had no row for `idle_ms`."""
+
+    def __init__(self, sensor: str, windows, median: int, threshold: float, cap: int, event_time: str | None, idle_ms: int | None):
+        self.sensor, self.windows, self.median, self.threshold, self.cap = sensor, tuple(windows), median, threshold, cap
+        self.event_time, self.idle_ms = event_time, idle_ms
+        self.kept = max(*windows, median, TAIL)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getValueState("facts", "n bigint, last bigint, late bigint, timer bigint")
+        self.values = handle.getListState("values", "y double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, last, late, timer = self.facts.get() if self.facts.exists() else (0, None, 0, None)
+        batch = pd.concat(list(rows)).sort_values("step", kind="stable")
+        step, y = batch["step"].to_numpy(np.int64), batch[self.sensor].to_numpy(float)
+        fresh = np.append(True, step[1:] != step[:-1])  # of equal steps the first
+        if last is not None:
+            fresh &= step > last
+        gone = np.cumsum(~fresh)[fresh] + late
+        late += int((~fresh).sum())
+        step, y = step[fresh], y[fresh]
+        held = np.array([v[0] for v in self.values.get()], float) if n else np.zeros(0)
+        if len(y):
+            self.values.put([(float(v),) for v in np.concatenate([held, y])[-self.kept :]])
+            last = int(step[-1])
+        if self.event_time and self.idle_ms is not None:
+            newest = pd.to_datetime(batch[self.event_time]).max()
+            at = int(newest.value // 1_000_000) + self.idle_ms
+            if timer is None or at > timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+                timer = at
+        self.facts.update((n + len(y), last, late, timer))
+        if len(y):
+            out = batch_features(held, y, n, self.windows, self.median, self.threshold, self.cap)
+            columns = {"entity_id": key[0], "step": step} | {f"{self.sensor}_{k}" if k != "rul_linear" else k: v for k, v in out.items()} | {"late": gone}
+            yield pd.DataFrame(columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.facts.clear()
+        self.values.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_panel_features(rows: DataFrame, sensor: str, windows=(5, 10, 20), median: int = 10, threshold: float = 1.0, cap: int = 125, event_time: str | None = None, delay: str = "10 minutes", idle: str | None = None) -> DataFrame:
     """K1: for each new row rolling means and sample deviations, the trailing median and the linear remaining life.
 
-    rows: a streaming DataFrame of (entity_id bigint, step int, sensor double). State is as many last values as the widest frame needs, the count and the last step; a row at
-    or below an entity's last emitted step is dropped, and `late` tells how many were so far. Results equal the batch operators' on the same rows.
+    rows: a streaming DataFrame of (entity_id bigint, step int or bigint, sensor double), and a timestamp column if
+    event_time is given. A row at or below an entity's last emitted step is dropped, and `late` tells how many were so
+    far. With event_time, rows behind the watermark (`delay` behind the newest) are dropped by it, and with `idle` (an
+    interval) an entity that has had no row for so long of event time is forgotten: a later row begins anew. Results
+    equal the batch operators' on the same rows. State is kept by transformWithState, in the RocksDB store that it needs,
+    which is set on the session.
     """
+    spark = rows.sparkSession
+    spark.conf.set(_STORE, _ROCKS)
+    kind = rows.schema["step"].dataType.simpleString()
     names = [f"{sensor}_{k}_{w}" for w in windows for k in ("rmean", "rstd")]
-    schema = "entity_id bigint, step int, " + ", ".join(f"{n} double" for n in names) + f", {sensor}_median double, rul_linear double, late bigint"
-
-    kept = max(*windows, median, TAIL)
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, late, held = state.get if state.exists else (0, None, 0, [])
-        held = list(held)
-        batch = pd.concat(list(frames)).sort_values("step")
-        out = []
-        for step, y in zip(batch["step"], batch[sensor], strict=True):
-            if last is not None and step <= last:
-                late += 1
-                continue
-            n, last = n + 1, int(step)
-            held = [*held, float(y)][-kept:]
-            a = np.array(held)
-            row = [key[0], last]
-            for w in windows:
-                x = a[-w:]
-                row += [x.mean(), x.std(ddof=1) if len(x) > 1 else 0.0]
-            tail = a[-max(5, min(TAIL, int(0.2 * n))) :]
-            k = np.arange(len(tail)) - (len(tail) - 1) / 2
-            slope = (k @ tail) / (k @ k) if len(tail) > 1 else 0.0
-            rul = float(cap) if n < 3 or slope <= 1e-4 else float(np.clip((threshold - a[-1]) / slope, 0, cap))
-            out.append((*row, float(np.median(a[-median:])), rul, late))
-        state.update((n, last, late, held))
-        if out:
-            yield pd.DataFrame(out, columns=["entity_id", "step", *names, f"{sensor}_median", "rul_linear", "late"])
-
-    return rows.groupBy("entity_id").applyInPandasWithState(update, schema, "n long, last int, late long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    schema = "entity_id bigint, step bigint, " + ", ".join(f"{n} double" for n in names) + f", {sensor}_median double, rul_linear double, late bigint"
+    columns = ["entity_id", F.col("step").cast("bigint").alias("step"), F.col(sensor).cast("double").alias(sensor)]
+    idle_ms = None
+    if event_time:
+        rows = rows.withWatermark(event_time, delay)
+        columns.append(F.col(event_time))
+        if idle:
+            idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    processor = PanelFeatures(sensor, windows, median, threshold, cap, event_time, idle_ms)
+    out = rows.select(*columns).groupBy("entity_id").transformWithStateInPandas(processor, schema, "append", "EventTime" if event_time else "None")
+    return out.withColumn("step", F.col("step").cast(kind))

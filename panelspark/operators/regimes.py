@@ -18,17 +18,29 @@ def regimes_by_rounding(df: DataFrame, settings=("op1", "op2"), name: str = "op_
     return keyed.join(numbers, "_key").drop("_key")
 
 
+def weighted_settings(df: DataFrame, settings=("op1", "op2")) -> DataFrame:
+    """Each distinct combination of settings as a vector `_settings`, with its number of rows `_n`: all that k-means needs
+    to know of the rows, found in one scan."""
+    from pyspark.ml.feature import VectorAssembler
+
+    counts = df.groupBy(*settings).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    return VectorAssembler(inputCols=list(settings), outputCol="_settings").transform(counts)
+
+
 def fit_regimes(train: DataFrame, k: int = 6, settings=("op1", "op2"), restarts: int = 10, seed: int = 42):
-    """H1: k-means on the settings, the best of several seeds; k is at most the number of distinct rounded settings."""
+    """H1: k-means on the settings, the best of several seeds; k is at most the number of distinct rounded settings.
+
+    Rows are scanned once: restarts are fitted on the distinct settings, weighted by their numbers of rows, which has the
+    same cost as a fit on all rows.
+    """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
 
-    k = min(k, train.select(*[half_even(F.col(c), 2).alias(c) for c in settings]).distinct().count())
-    vectors = VectorAssembler(inputCols=list(settings), outputCol="_settings").transform(train).select("_settings").persist()
+    points = weighted_settings(train, settings).persist()
     try:
-        models = [KMeans(k=max(k, 2), seed=seed + r, featuresCol="_settings").fit(vectors) for r in range(restarts)]
+        k = min(k, points.select(*[half_even(F.col(c), 2).alias(c) for c in settings]).distinct().count())
+        models = [KMeans(k=max(k, 2), seed=seed + r, featuresCol="_settings", weightCol="_n").fit(points) for r in range(restarts)]
     finally:
-        vectors.unpersist()
+        points.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -50,7 +62,8 @@ def assign_regimes(df: DataFrame, centres: list[list[float]], settings=("op1", "
 
 
 def choose_k(df: DataFrame, ks=range(1, 11), settings=("op1", "op2"), sample: int = 5000, seed: int = 42) -> DataFrame:
-    """H4: inertia over all rows; Euclidean silhouette and Davies-Bouldin index over the `sample` rows of least hash.
+    """H4: inertia over all rows, from distinct settings weighted by their numbers of rows; Euclidean silhouette and
+    Davies-Bouldin index over the `sample` rows of least hash.
 
     The sample is bounded, so its pairwise distances are too; they are computed as a join of the sample with itself in blocks.
     """
@@ -61,6 +74,7 @@ def choose_k(df: DataFrame, ks=range(1, 11), settings=("op1", "op2"), sample: in
     vectors = VectorAssembler(inputCols=list(settings), outputCol="_settings").transform(df).withColumn("_h", F.xxhash64(*df.columns))
     few = vectors.orderBy("_h").limit(sample).select(F.monotonically_increasing_id().alias("i"), "_settings", *settings)
     few = few.repartition(spark.sparkContext.defaultParallelism, "i").persist()  # so that the pairs are made in many tasks
+    points = weighted_settings(df, settings).persist()
     rows = []
     try:
         for k in ks:
@@ -68,7 +82,7 @@ def choose_k(df: DataFrame, ks=range(1, 11), settings=("op1", "op2"), sample: in
                 n = vectors.agg(*[F.var_pop(c).alias(c) for c in settings], F.count(F.lit(1)).alias("n")).first()
                 rows.append((k, float(sum(n[c] for c in settings) * n["n"]), None, None))
                 continue
-            model = KMeans(k=k, seed=seed, featuresCol="_settings").fit(vectors.select("_settings"))
+            model = KMeans(k=k, seed=seed, featuresCol="_settings", weightCol="_n").fit(points)
             at = model.transform(few).select("i", *settings, F.col("prediction").alias("c"))
             other = at.select(F.col("i").alias("j"), *[F.col(s).alias(f"{s}_") for s in settings], F.col("c").alias("c_"))
             d = F.sqrt(sum(((F.col(s) - F.col(f"{s}_")) ** 2 for s in settings), F.lit(0.0)))
@@ -83,6 +97,7 @@ def choose_k(df: DataFrame, ks=range(1, 11), settings=("op1", "op2"), sample: in
             rows.append((k, float(model.summary.trainingCost), s, db))
     finally:
         few.unpersist()
+        points.unpersist()
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
     w = Window.orderBy("k")  # one row for each k
     bend = F.lag("inertia").over(w) - 2 * F.col("inertia") + F.lead("inertia").over(w)

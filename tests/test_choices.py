@@ -52,3 +52,22 @@ def test_saved_regimes(spark, tmp_path):
     centres = lambda m: [[float(x) for x in c] for c in m.clusterCenters()]
     assert centres(again) == centres(model)
     assert regimes.assign_regimes(df, centres(again)).select("op_cluster").distinct().count() == 3
+
+
+def test_weighted_settings_cost_as_much_as_all_rows(spark):
+    """Few settings with very different numbers of rows: the weighted fit's cost is that of its centres over all rows, and
+    no worse than a fit on the rows themselves."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(1)
+    places = rng.uniform(0, 1, (9, 2)).round(2)
+    rows = [tuple(map(float, places[k])) for k in range(9) for _ in range(int(rng.integers(1, 400)))]
+    df = spark.createDataFrame(rows, "op1 double, op2 double").repartition(3)
+    model = regimes.fit_regimes(df, k=4, restarts=6)
+    centres = np.array(model.clusterCenters())
+    cost = sum(((np.array(r) - centres) ** 2).sum(1).min() for r in rows)
+    assert np.isclose(model.summary.trainingCost, cost)
+    plain = [KMeans(k=4, seed=42 + r, featuresCol="v").fit(VectorAssembler(inputCols=["op1", "op2"], outputCol="v").transform(df)).summary.trainingCost for r in range(6)]
+    assert cost <= min(plain) * 1.0001 + 1e-9
+    assert regimes.weighted_settings(df).count() == len(set(rows))

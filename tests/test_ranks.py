@@ -57,3 +57,22 @@ def test_pinball_booster_moves_leaves_to_quantiles(spark):
     at = {k: np.quantile([y for x, y in rows if x[0] == k], 0.9) for k in (0.0, 1.0)}
     want = np.mean([max(0.9 * (y - at[x[0]]), -0.1 * (y - at[x[0]])) for x, y in rows])
     assert [r for r, _ in losses] == [1, 2] and np.isclose(losses[0][1], want)
+
+
+def test_quantiles_write_nothing_and_rank_brackets_only(spark):
+    """Many distinct values: the ranked cells are a small share, quantiles are numpy's, and no table is written."""
+    import glob
+
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(size=60000), np.full(20000, 0.25), [np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    qs = [0.0, 0.001, 0.25, 0.5, 0.7501, 0.99, 1.0]
+    out = exact_quantiles(df, [], "v", qs, accuracy=1000)
+    got = {r.q: r.value for r in out.collect()}
+    want = dict(zip(qs, np.quantile(values, qs), strict=True)) | {0.0: -np.inf, 1.0: np.inf}
+    assert all(got[q] == want[q] if np.isinf(want[q]) else np.isclose(got[q], want[q], rtol=0, atol=1e-12) for q in qs), (got, want)
+    assert set(glob.glob(f"{folder}/*")) == before
+    two = exact_quantiles(spark.createDataFrame([(1, 3.0), (1, 4.0), (None, 5.0)], "g int, v double"), ["g"], "v", [0.5, 0.75])
+    assert {(r.g, r.q): r.value for r in two.collect()} == {(1, 0.5): 3.5, (1, 0.75): 3.75, (None, 0.5): 5.0, (None, 0.75): 5.0}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.ranks import running_totals
 from panelspark.spec import PanelSpec
 
 P = PanelSpec()
@@ -56,9 +57,8 @@ def truncate_histories(df: DataFrame, low: float = 0.2, high: float = 0.9, seed:
 
 
 def entity_split(df: DataFrame, share: float = 0.8, seed: int = 42, spec: PanelSpec = P) -> DataFrame:
-    """(entity, part): whole entities in the order of an arithmetic hash; the first `share` of them are train."""
-    from pyspark.sql import Window
-
+    """(entity, part): whole entities in the order of an arithmetic hash, ranked over range partitions; the first `share`
+    of them are train."""
     ids = df.select(spec.entity).distinct().withColumn("_h", F.pmod(F.col(spec.entity) * 7919 + seed, F.lit(10007)))
-    w = Window.orderBy("_h", spec.entity)  # one row for each entity
-    return ids.withColumn("_k", F.row_number().over(w)).withColumn("part", F.when(F.col("_k") <= F.floor(F.count(F.lit(1)).over(Window.partitionBy()) * share), "train").otherwise("valid")).select(spec.entity, "part")
+    ranked = running_totals(ids, [], ["_h", spec.entity], F.lit(1))
+    return ranked.select(spec.entity, F.when(F.col("upto") <= F.floor(F.col("total") * share), "train").otherwise("valid").alias("part"))

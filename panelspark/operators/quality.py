@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import clip
-from panelspark.operators.ranks import exact_quantiles
+from panelspark.operators.ranks import exact_quantiles, running_totals
 from panelspark.spec import PanelSpec
 
 P = PanelSpec()
@@ -59,10 +59,10 @@ def lifetime_profile(df: DataFrame, spec: PanelSpec = P) -> DataFrame:
 
 
 def representative_entities(df: DataFrame, spec: PanelSpec = P) -> DataFrame:
-    """The shortest, the middle and the longest lifetime. The windows are over one row for each entity."""
-    life = lifetimes(df, spec)
-    ranked = life.withColumn("k", F.row_number().over(Window.orderBy("lifetime", spec.entity))).crossJoin(F.broadcast(life.agg(F.count(F.lit(1)).alias("n"))))
-    role = F.when(F.col("k") == 1, "shortest").when(F.col("k") == F.floor(F.col("n") / 2) + 1, "median").when(F.col("k") == F.col("n"), "longest")
+    """The shortest, the middle and the longest lifetime; entities are ranked over range partitions."""
+    ranked = running_totals(lifetimes(df, spec), [], ["lifetime", spec.entity], F.lit(1))
+    k, n = F.col("upto"), F.col("total")
+    role = F.when(k == 1, "shortest").when(k == F.floor(n / 2) + 1, "median").when(k == n, "longest")
     return ranked.withColumn("role", role).where("role is not null").select(spec.entity, "lifetime", "role")
 
 

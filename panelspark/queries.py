@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import scalars as S
 from panelspark.operators import crossing, forecast, health, intervals, label, learn, metrics, quality, regimes, windows
 from panelspark.plans import fleet
-from panelspark.sources import panels, scratch, tables
+from panelspark.sources import panels, scratch, tables, text
 from panelspark.spec import PanelSpec
 from panelspark.streaming import features
 
@@ -148,6 +148,16 @@ def read_truth_join(s, d):
     return p.join(truth, "entity_id").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.max("rul_last").alias("rul_last"))
 
 
+@query(f"with {_P}, tr as (select entity_id, cast(max(step) % 50 as int) as rul_last from p group by entity_id) select p.entity_id, count(*) as n, max(rul_last) as rul_last from p join tr using (entity_id) group by p.entity_id")
+def read_truth_text(s, d):
+    """Truth values written as text in entity order, read line by line and met with their entities."""
+    p = panels.lineitem_panel(s, d)
+    folder = f"{scratch.shared_dir(s)}/truth-{uuid.uuid4().hex}"
+    quality.lifetimes(p).orderBy("entity_id").select((F.col("lifetime") % 50).cast("string").alias("value")).write.text(folder)
+    out = text.attach_truth(p, text.read_truth_text(s, folder), "entity_id")
+    return out.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.max("rul_last").alias("rul_last"))
+
+
 @query(f"with {_L} select sensor, round(sd, 6) as sd from ({each('''select '{s}' as sensor, stddev_samp({s}) as sd from lab where entity_id % 5 <> 0''')}) where sd < 0.1")
 def low_variance_sensors(s, d):
     return rounded(quality.low_variance_sensors(train(lines(s, d))))
@@ -404,6 +414,25 @@ def window_arrays(s, d):
     return out.select("entity_id", "step", F.size("features").cast("bigint").alias("size"), F.round(total, 5).alias("total"), F.round(F.col("features")[0], 6).alias("first"), "label")
 
 
+_PADDED = """w as (select entity_id, step, rul, flatten(array_agg([s1, s2]) over (partition by entity_id order by step rows 59 preceding)) as a, count(*) over (partition by entity_id) as n,
+    first_value(rul) over (partition by entity_id order by step) as r1 from lab)"""
+
+
+def _told(out):
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return out.select("entity_id", "step", F.size("features").cast("bigint").alias("size"), F.round(total, 5).alias("total"), F.round(F.col("features")[0], 6).alias("first"), "label")
+
+
+@query(f"with {_E}, {_PADDED} select entity_id, step, cast(120 as bigint) as size, round(list_sum(a), 5) as total, round(case when n < 60 then 0.0 else a[1] end, 6) as first, cast(case when n < 60 then r1 else rul end as double) as label from w where step >= 60 or (n < 60 and step = n)")
+def window_arrays_padded(s, d):
+    return _told(windows.window_arrays(events(s, d), ["s1", "s2"], 60, spec=P40))
+
+
+@query(f"with {_E}, {_PADDED} select entity_id, step, cast(120 as bigint) as size, round(list_sum(a), 5) as total, round(case when n < 60 then 0.0 else a[1] end, 6) as first, cast(rul as double) as label from w where step = n")
+def window_arrays_last(s, d):
+    return _told(windows.window_arrays(events(s, d), ["s1", "s2"], 60, True, P40))
+
+
 @query(f"with {_T} select model_name, entity_id, true_rul, cast(row_number() over w as int) as place, round(avg(rul_pred) over (partition by model_name order by true_rul, entity_id rows between 5 preceding and 4 following), 6) as smooth from t window w as (partition by model_name order by true_rul, entity_id)")
 def sorted_smoothing(s, d):
     return rounded(windows.sorted_smoothing(predictions(s, d)))
@@ -500,6 +529,25 @@ def rul_from_forecast(s, d):
     return crossing.rul_from_forecast(crossing.linear_paths(obs), obs).select("entity_id", F.round("rul_pred", 5).alias("rul_pred"))
 
 
+_SHARE = _PATH.replace("greatest(least(floor(n / 4), 15), 5)", "greatest(floor(n * 0.2), 1)")
+
+
+@query(f"with {_SHARE}, {_rul('mean', 'a')} select entity_id, round(rul, 5) as rul_pred from a")
+def alternative_crossing(s, d):
+    """The short tail is a share of the history, and flat histories give the cap, whatever the fallback is."""
+    t = health.failure_threshold(train(health_panel(s, d)), 0.05, index="hi")
+    obs = crossing.with_parameters(crossing.observed(cut_panel(s, d), "hi", short_share=True), t, None, P.cap).withColumn("fallback", F.lit(60.0))
+    return rounded(crossing.rul_from_forecast(crossing.linear_paths(obs), obs, plain=True).select("entity_id", "rul_pred"), 5)
+
+
+@query(f"with {_OBS} select entity_id, round(case when entity_id % 3 = 0 then ext_long else 50.0 end, 5) as rul_pred, case when entity_id % 3 = 0 then 0.0 else 40.0 end as lower_bound, case when entity_id % 3 = 0 then 125.0 else 60.0 end as upper_bound from obs")
+def fallback_rows(s, d):
+    """A predictor that gives two of three entities a value; the others get their linear estimate and the whole range."""
+    obs = crossing.linear_extrapolation(observed(s, d))
+    some = obs.where("entity_id % 3 <> 0").select("entity_id", *[F.lit(v).alias(n) for n, v in (("rul_pred", 50.0), ("lower_bound", 40.0), ("upper_bound", 60.0))])
+    return rounded(crossing.with_fallback(obs, some).select("entity_id", "rul_pred", "lower_bound", "upper_bound"), 5)
+
+
 _BANDS = f"{_PATH}, {_rul('mean', 'a')}, {_rul('hi', 'b')}, {_rul('lo', 'c')}, z as (select a.entity_id, a.ext_long, least(a.rul, 125) as x, least(b.rul, 125) as y, least(c.rul, 125) as w from a join b using (entity_id) join c using (entity_id)), f as (select entity_id, ext_long, x as p, least(x, y, w) as lo, greatest(x, y, w) as up from z)"
 
 
@@ -779,6 +827,39 @@ def d_distribution(s, d):
     return forecast.d_distribution(adf_by_entity(s, d))
 
 
+#: Fits told by the entity and the order, to hold what is chosen from fits against SQL.
+_FITS = f"{_P}, ids as (select distinct entity_id from p), g as (select entity_id, p, d, q, case when (entity_id + p) % 7 <> 0 then ((entity_id % 13) * 31 + p * 57 + d * 11 + q * 23) % 101 * 1.0 end as aic from ids, unnest([1, 2, 3]) as a(p), unnest([0, 1]) as b(d), unnest([0, 1, 2]) as c(q))"
+
+
+def told_fits(s, d):
+    ids = panels.lineitem_panel(s, d).select("entity_id").distinct()
+    rows = ids.select("entity_id", *[F.explode(F.array(*map(F.lit, v))).alias(n) for n, v in [("p", (1, 2, 3))]])
+    for n, v in (("d", (0, 1)), ("q", (0, 1, 2))):
+        rows = rows.withColumn(n, F.explode(F.array(*map(F.lit, v))))
+    aic = ((F.col("entity_id") % 13) * 31 + F.col("p") * 57 + F.col("d") * 11 + F.col("q") * 23) % 101
+    return rows.withColumn("aic", F.when((F.col("entity_id") + F.col("p")) % 7 != 0, aic.cast("double")))
+
+
+_BEST = f"{_FITS}, r as (select *, row_number() over (partition by entity_id order by aic, p, d, q) as k from g where aic is not null), best as (select entity_id, p, d, q from r where k = 1)"
+
+
+@query(f"with {_BEST} select entity_id, p, d, q from best")
+def best_orders_of_fits(s, d):
+    return forecast.best_orders(told_fits(s, d))
+
+
+@query(f"with {_BEST} select p, d, q, count(*) as n from best group by p, d, q order by n desc, p, d, q limit 1")
+def modal_order_of_fits(s, d):
+    return forecast.modal_order(told_fits(s, d))
+
+
+@query(f"with {_P}, a as (select entity_id, case when max(step) % 4 < 3 then cast(max(step) % 4 as int) end as d from p group by entity_id) select d, count(*) as n from a where d is not null group by d")
+def d_distribution_of_fits(s, d):
+    d_of = F.col("lifetime") % 4
+    tests = quality.lifetimes(panels.lineitem_panel(s, d)).select("entity_id", F.when(d_of < 3, d_of).alias("d"), F.when(d_of < 3, "ok").otherwise("short").alias("status"))
+    return forecast.d_distribution(tests)
+
+
 @query()
 def order_grid(s, d):
     return forecast.order_grid(events(s, d), "s1", spec=P40)
@@ -832,31 +913,31 @@ def _sides(s, d):
 @query()
 def fit_point_regressor(s, d):
     a, b = _sides(s, d)
-    model = learn.fit_point_regressor("linear", windows.window_arrays(a, ["s1", "s2"], 20, spec=P40))
-    return learn.score_windows(model, windows.window_arrays(b, ["s1", "s2"], 20, True, P40), "linear", 40)
+    model = learn.fit_point_regressor("linear", windows.window_arrays(a, P40.sensors, 30, spec=P40))
+    return learn.score_windows(model, windows.window_arrays(b, P40.sensors, 30, True, P40), "linear", 40)
 
 
 @query()
 def fit_asymmetric_regressor(s, d):
-    a, b = (windows.window_arrays(x, ["s1", "s2"], 10, k == 1, P40) for k, x in enumerate(_sides(s, d)))
+    a, b = (windows.window_arrays(x, P40.sensors, 30, k == 1, P40) for k, x in enumerate(_sides(s, d)))
     model, _ = learn.fit_boosted(a, b, "asymmetric")
     return learn.score_boosted(model, b, cap=40).select("entity_id", "label", "rul_pred")
 
 
 @query()
 def fit_quantile_regressor(s, d):
-    a, b = (windows.window_arrays(x, ["s1", "s2"], 10, k == 1, P40) for k, x in enumerate(_sides(s, d)))
+    a, b = (windows.window_arrays(x, P40.sensors, 30, k == 1, P40) for k, x in enumerate(_sides(s, d)))
     return learn.score_quantiles(learn.fit_quantile_regressor(a, cap=40), b, 40)
 
 
 @query()
 def window_length_sensitivity(s, d):
     a, b = _sides(s, d)
-    return learn.window_length_sensitivity(a, b, ["s1", "s2"], spec=P40)
+    return learn.window_length_sensitivity(a, b, P40.sensors, spec=P40)
 
 
 @query()
 def input_importance(s, d):
     a, _ = _sides(s, d)
-    model = learn.fit_point_regressor("forest", windows.window_arrays(a, ["s1", "s2"], 10, spec=P40))
-    return learn.input_importance(model, ["s1", "s2"], 10)
+    model = learn.fit_point_regressor("forest", windows.window_arrays(a, P40.sensors, 30, spec=P40))
+    return learn.input_importance(model, P40.sensors, 30)

@@ -71,3 +71,22 @@ def test_weighted_settings_cost_as_much_as_all_rows(spark):
     plain = [KMeans(k=4, seed=42 + r, featuresCol="v").fit(VectorAssembler(inputCols=["op1", "op2"], outputCol="v").transform(df)).summary.trainingCost for r in range(6)]
     assert cost <= min(plain) * 1.0001 + 1e-9
     assert regimes.weighted_settings(df).count() == len(set(rows))
+
+
+def test_truth_lines_over_several_splits_and_files(spark, tmp_path):
+    """A file in many splits, with blank lines and both kinds of line ends, and a folder of two files."""
+    from panelspark.sources import text
+
+    values = [(k * 37) % 101 for k in range(4000)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.txt").write_text("\n\n" + "".join(f"{v}{' ' if k % 5 else ''}\r\n{chr(10) if k % 9 == 0 else ''}" for k, v in enumerate(values[:3000])))
+    (tmp_path / "one" / "b.txt").write_text("\n".join(map(str, values[3000:])))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        truth = text.read_truth_text(spark, f"{tmp_path}/one")
+        assert truth.rdd.getNumPartitions() >= 1 and spark.read.text(f"{tmp_path}/one").rdd.getNumPartitions() > 5
+        rows = sorted((r.ordinal, r.rul_last) for r in truth.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == list(enumerate(values, 1))

@@ -115,7 +115,36 @@ _CRC = """xor(list_reduce(
     list_prepend(4294967295::bigint, flatten(list_transform(range(1, octet_length({0}) + 1), lambda i: [('0x' || hex({0})[2 * i - 1 : 2 * i])::bigint, 0, 0, 0, 0, 0, 0, 0]))),
     lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
 
+_TOLD = " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": f"""
+with recursive
+     leaf as (select doc_id, lang, row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as n,
+                     sha256({_TOLD.format(text="text")}) as h,
+                     sha256({_TOLD.format(text=f"(case when {_CRC.format('encode(cast(doc_id as varchar))')} % 3 = 0 then {_LOWER.format('text')} else text end)")}) as altered
+              from documents),
+     node as (select lang, 0 as lev, pos, n, h from leaf
+              union all
+              select lang, lev + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from node where n > 1 group by lang, lev, pos // 8, n),
+     tree as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from node where n = 1),
+     top as (select 0 as lev, pos, n, subroot as h from tree
+             union all
+             select lev + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from top where n > 1 group by lev, pos // 8, n),
+     path as (select doc_id, lang, 0 as lev, pos, n, altered as cur, '' as sib from leaf
+              union all
+              select p.doc_id, p.lang, p.lev + 1, p.pos // 8, (p.n + 7) // 8, sha256(string_agg(case when x.pos = p.pos then p.cur else x.h end, '' order by x.pos)),
+                     p.sib || coalesce(string_agg(x.h, '' order by x.pos) filter (where x.pos <> p.pos), '')
+              from path p join node x on x.lang is not distinct from p.lang and x.lev = p.lev and x.pos // 8 = p.pos // 8
+              where p.n > 1 group by p.doc_id, p.lang, p.lev, p.pos, p.n, p.sib),
+     up as (select p.doc_id, 0 as lev, t.pos, t.n, p.cur, p.sib, t.subroot from path p join tree t on t.lang is not distinct from p.lang where p.n = 1
+            union all
+            select p.doc_id, p.lev + 1, p.pos // 8, (p.n + 7) // 8, sha256(string_agg(case when x.pos = p.pos then p.cur else x.h end, '' order by x.pos)),
+                   p.sib || coalesce(string_agg(x.h, '' order by x.pos) filter (where x.pos <> p.pos), ''), p.subroot
+            from up p join top x on x.lev = p.lev and x.pos // 8 = p.pos // 8
+            where p.n > 1 group by p.doc_id, p.lev, p.pos, p.n, p.sib, p.subroot)
+select up.doc_id, leaf.h as leaf, subroot, top.h as root, sha256(sib) as proof_sha256, cur as folded_root, cur = top.h as verified
+from up join leaf using (doc_id), top where up.n = 1 and top.n = 1""",
     "op13_importance": f"""
 with w as (select 'd' as side, doc_id as id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
            union all

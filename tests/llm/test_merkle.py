@@ -145,3 +145,15 @@ def test_query(spark):
     rows = [tuple(r[c] for c in COLUMNS) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = [tuple(r) for r in Q.QUERIES["op11_merkle"](spark, sf).collect()]
     assert sorted(got, key=key) == sorted(expected(rows), key=key)
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    got = [tuple(r[c] for c in names) for r in Q.QUERIES["op11_merkle"](spark, sf).collect()]
+    want = con.sql(f"select {', '.join(names)} from ({Q.ORACLE_SQL['op11_merkle']})").fetchall()
+    assert sorted(got) == sorted(want)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from statistics import NormalDist
@@ -152,7 +151,7 @@ def read_truth_join(s, d):
 def read_truth_text(s, d):
     """Truth values written as text in entity order, read line by line and met with their entities."""
     p = panels.lineitem_panel(s, d)
-    folder = f"{scratch.shared_dir(s)}/truth-{uuid.uuid4().hex}"
+    folder = scratch.scratch_path(s, "truth")
     quality.lifetimes(p).orderBy("entity_id").select((F.col("lifetime") % 50).cast("string").alias("value")).write.text(folder)
     out = text.attach_truth(p, text.read_truth_text(s, folder), "entity_id")
     return out.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.max("rul_last").alias("rul_last"))
@@ -450,7 +449,7 @@ def stream_features(s, d):
     at = F.col("ts").cast("timestamp")
     rows = stream.select(F.col("user_id").cast("bigint").alias("entity_id"), F.unix_micros(at).alias("step"), F.col("value").alias("s1"), at.alias("at"))
     out = features.stream_panel_features(rows, "s1", event_time="at", delay="1 day", idle="365 days")
-    folder = f"{scratch.shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    folder = scratch.scratch_path(s, "stream")
     out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return rounded(s.read.parquet(f"{folder}/rows").drop("rul_linear"))
 

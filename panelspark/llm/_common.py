@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 import weakref
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.sources import scratch
+
 #: White space of the word and line contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,24 +27,13 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a session of one machine
-    (master local) gets a temporary one; a cluster must name its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="panelspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return scratch.scratch_path(spark, what)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, so that lost executors cost no upstream work."""
+    """Cut the lineage with a table in the shared folder, so that lost executors cost no upstream work. The table goes with
+    the open scratch scope or with the process, if it isn't discarded before."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -61,7 +50,8 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         held, path = _PATHS.pop(id(df), (None, None))
         if held is not None and held() is df:
-            file_system(df.sparkSession, path)[0].delete(hadoop_path(df.sparkSession, path), True)
+            scratch.delete(df.sparkSession, path)
+            scratch.forget(path)
 
 
 def hadoop_path(spark: SparkSession, path: str):

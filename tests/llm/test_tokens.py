@@ -78,3 +78,17 @@ def test_asked_counts_and_compaction(spark, tmp_path):
     assert cache.counts(version, asked).count() == 1 and cache.counts(version).count() == 4
     cache.compact()
     assert len(list((tmp_path / "cache").glob("run-*"))) == 1 and cache.counts(version).count() == 4
+
+
+def test_a_scope_deletes_the_scratch_of_operators(spark):
+    import glob
+
+    from panelspark.sources.scratch import scratch_scope
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id long, text string")
+    files = lambda: set(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/*"))
+    before = files()
+    with scratch_scope():
+        assert T.token_counts(docs, FILE).count() == 2
+        assert files() > before
+    assert files() == before

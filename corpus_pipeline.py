@@ -6,8 +6,10 @@ Stages 1 to 4 return the columns of documents. They keep every row that they don
 * language_id: texts without a letter, and texts in which no language has half of the words, go.
 * line_dedup: of lines found in ten or more documents only the first stays; documents left without words go.
 * near_duplicates: of documents that links of word-shingle similarity 0.75 connect, that of the least doc_id stays;
-  documents without words have no links and stay, and of rows equal in id and text one stays. Rows with null ids take no
-  part in links: they stay, and no other row goes because of them.
+  documents without words have no links and stay, and of rows equal in id and text one stays, any of them where their
+  other columns differ. Rows of one id with different texts count as one document: where it is the least of its group all
+  of its texts stay, near copies of each other too. Rows with null ids take no part in links: they stay, and no other row
+  goes because of them.
 * decontamination: documents that have a benchmark item go.
 * packing: token ids of what is left, in sequences of 1024.
 

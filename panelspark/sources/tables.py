@@ -52,14 +52,23 @@ def append_results(predictions: DataFrame, path: str, model_type: str, at: str)
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Checked and rounded predictions with in_interval, a folder for each model."""
-    bad = predictions.where(F.col("lower_bound") > F.col("upper_bound") + 1e-6)
-    if not bad.isEmpty():
-        raise ValueError("lower bounds above upper bounds")
+    """Checked and rounded predictions with in_interval, a folder for each model. Bounds are checked in the pass that
+    writes: rows out of order end it with ValueError, and what the path had before stays."""
+    crossed = F.col("lower_bound") > F.col("upper_bound") + 1e-6
+    lower = F.when(crossed, F.raise_error(F.lit(_CROSSED)).cast("double")).otherwise(F.col("lower_bound"))
     inside = F.col("true_rul").between(F.col("lower_bound"), F.col("upper_bound")).cast("int")
-    rounded = [F.bround(c, 2).alias(c) for c in ("true_rul", "rul_pred", "lower_bound", "upper_bound")]
+    checked = {"lower_bound": lower}
+    rounded = [F.bround(checked.get(c, F.col(c)), 2).alias(c) for c in ("true_rul", "rul_pred", "lower_bound", "upper_bound")]
     out = predictions.select("entity_id", "model_name", *rounded, F.bround(F.col("upper_bound") - F.col("lower_bound"), 2).alias("confidence_width"), inside.alias("in_interval"))
-    out.repartition("model_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_name").parquet(path)
+    try:
+        out.repartition("model_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_name").parquet(path)
+    except Exception as e:
+        if _CROSSED in str(e):
+            raise ValueError(_CROSSED) from e
+        raise
+
+
+_CROSSED = "lower bounds above upper bounds"
 
 
 def load_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:

@@ -40,12 +40,41 @@ def test_equals_sql(spark, duck, name):
             assert x == y or (x is not None and y is not None and abs(float(x) - float(y)) <= 2e-6 * max(1.0, abs(float(y)))), (a, b)
 
 
-LEARNED = ["d_distribution", "choose_k", "fit_health_index", "pca_diagnostics", "threshold_sensitivity", "isotonic_index", "adf_by_entity", "modal_order", "forecast_by_entity", "walk_forward", "fit_point_regressor", "fit_quantile_regressor"]
-
-
-@pytest.mark.parametrize("name", LEARNED)
-def test_gives_rows(spark, name):
-    assert Q.QUERIES[name](spark, SF).count() > 0
+def rising(rows):
+    """Within an entity the fit never falls, and its sum is that of the index."""
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.entity_id, r.step)):
+        by.setdefault(r.entity_id, []).append(r)
+    return len(by) == 10 and all(all(a.isotonic <= b.isotonic + 1e-9 for a, b in zip(v, v[1:])) and abs(sum(r.isotonic - r.hi for r in v)) < 1e-6 for v in by.values())
+
+
+def shares(rows):
+    rows = sorted(rows)
+    return abs(sum(r.share for r in rows) - 1) < 1e-9 and all(a.share >= b.share for a, b in zip(rows, rows[1:])) and abs(rows[-1].cumulative - 1) < 1e-9
+
+
+#: What must hold of the rows of queries that no SQL expresses.
+LEARNED = {
+    "d_distribution": lambda rows: {r.d for r in rows} <= {0, 1, 2} and sum(r.n for r in rows) == 15,
+    "fit_health_index": lambda rows: len({r.entity_id for r in rows}) == 2 and all(r.health_index is not None and math.isfinite(r.health_index) for r in rows),
+    "pca_diagnostics": shares,
+    "threshold_sensitivity": lambda rows: len(rows) == 15 and all(a.sensors >= b.sensors for a, b in zip(sorted(rows), sorted(rows)[1:])) and all(r.share is None or 0 < r.share <= 1 + 1e-9 for r in rows),
+    "isotonic_index": rising,
+    "adf_by_entity": lambda rows: len(rows) == 15 and all(r.status == "ok" and r.d in (0, 1, 2) for r in rows),
+    "order_grid": lambda rows: len(rows) == 15 * 19 and all((r.aic is None) == (r.status != "ok") for r in rows) and {(r.p, r.q) for r in rows} == {*((p, 0) for p in range(1, 11)), *((p, q) for p in (1, 2, 3) for q in (1, 2, 3))},
+    "modal_order": lambda rows: len(rows) == 1 and 1 <= rows[0].n <= 15 and 1 <= rows[0].p <= 10,
+    "forecast_by_entity": lambda rows: len(rows) == 15 * 150 and all(r.lo <= r.mean <= r.hi for r in rows),
+    "walk_forward": lambda rows: {r.status for r in rows} <= {"ok", "persistence"} and sum((r.actual - r.predicted) ** 2 for r in rows) < 2 * sum(r.actual**2 for r in rows),
+    "predict_fleet_by_forecast": lambda rows: len(rows) == 10 and all(0 <= r.lower_bound <= r.rul_pred + 1e-9 <= r.upper_bound + 2e-9 <= 125 + 3e-9 for r in rows),
+    "fit_point_regressor": lambda rows: len(rows) == 3 and all(0 <= r.rul_pred <= 40 for r in rows),
+    "fit_quantile_regressor": lambda rows: len(rows) == 3 and all(0 <= r.q10 <= r.q50 <= r.q90 <= 40 for r in rows),
+    "input_importance": lambda rows: len(rows) == 90 and abs(sum(r.importance for r in rows) - 1) < 1e-6,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LEARNED))
+def test_properties_hold(spark, name):
+    assert LEARNED[name](Q.QUERIES[name](spark, SF).collect())
 
 
 def test_entry(spark):

@@ -19,6 +19,8 @@ UNKNOWN = "und"
 SLOTS = 1 << 17
 #: Distinct words whose scores a worker keeps, and the letters of the longest of them; others are scored where they stand.
 MEMORY = 150_000
+#: Words of a text whose scores are held at a time; longer texts are labelled in pieces that exchange messages.
+PIECE = 1 << 16
 REMEMBERED = 48
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,16 +122,51 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, start: np.ndarray, tra
     return np.divide(forward, total, out=forward, where=total > 0)
 
 
+def label_sums(emission, n: int, start: np.ndarray, transitions: np.ndarray, piece: int) -> np.ndarray:
+    """The sum over a text's n places of P(label), as marginals gives them, with the scores of `piece` places at a time:
+    emission(a, b) gives those of places a to b. A first pass keeps the forward message at the beginning of each piece; a
+    second goes back piece by piece with the backward message."""
+    t = np.exp(transitions - transitions.max()).astype(float)
+
+    def scores(a: int) -> np.ndarray:
+        e = emission(a, min(a + piece, n)).astype(float)
+        return np.exp(e - e.max(1, keepdims=True))
+
+    def forward(e: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        out = np.empty_like(e)
+        for p in range(len(e)):
+            x = (np.exp(start - start.max()) if before is None else before @ t) * e[p]
+            out[p] = before = x / x.sum()
+        return out
+
+    begins, message = list(range(0, n, piece)), None
+    held = []
+    for a in begins:
+        held.append(message)
+        message = forward(scores(a), message)[-1]
+    total, back = np.zeros(len(start)), np.ones(len(start))
+    for a, message in zip(begins[::-1], held[::-1], strict=True):
+        e = scores(a)
+        ahead = forward(e, message)
+        for p in range(len(e) - 1, -1, -1):
+            m = ahead[p] * back
+            total += m / m.sum()
+            back = t @ (back * e[p])
+            back /= back.sum()
+    return total
+
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: The same with the marks (vowel signs, accents) and joiners that follow a letter, which texts of many scripts have.
 _MARKED = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
 _MARK = regex.compile(r"\p{M}")
+_HIGH = re.compile("[\u0300-\U0010ffff]")  # no mark comes before these
 
 
 def tokens_of(text: str) -> list[str]:
     """Runs of letters and of the marks on them in lower case, whole; none where no character is a letter."""
     text = text.lower()
-    words = (_WORD if text.isascii() or not _MARK.search(text) else _MARKED).findall(text)
+    words = (_WORD if text.isascii() or not _HIGH.search(text) or not _MARK.search(text) else _MARKED).findall(text)
     return words if any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w) else []
 
 
@@ -247,6 +284,20 @@ def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     at = 0
+    while at < len(order) and lengths[order[at]] > PIECE:
+        d, at = int(order[at]), at + 1
+        words = cut[d]
+        rare = np.cumsum(words < 0)  # the number of words up to each place that are too long to remember
+
+        def emission(a: int, b: int, words=words, rare=rare, long=last[d]) -> np.ndarray:
+            e = table[np.maximum(words[a:b], 0)] if table is not None else np.zeros((b - a, len(model.labels)), np.float32)
+            off = words[a:b] < 0
+            if off.any():
+                e[off] = long[rare[a:b][off] - 1]
+            return e
+
+        p = label_sums(emission, len(words), model.start, model.transitions, PIECE) / len(words)
+        out[d] = (model.labels[int(p.argmax())], float(min(p.max(), 1.0)))
     while at < len(order):
         longest, end = lengths[order[at]], at
         while end < len(order) and lengths[order[end]] * 5 >= longest * 4 and (end - at) * longest < 400_000:

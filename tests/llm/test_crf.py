@@ -147,3 +147,17 @@ def test_scripts_with_marks_are_told_apart():
     texts = [(" ".join(rng.choices(t.split(), k=30)), x) for x, t in (("hi", hindi), ("mr", marathi)) for _ in range(20)]
     out = crf.predict(crf.train(texts, sequences=600), [hindi, marathi])
     assert [x for x, _ in out] == ["hi", "mr"] and all(s > 0.8 for _, s in out)
+
+
+def test_long_texts_in_pieces_equal_one_array(model, monkeypatch):
+    rng = np.random.default_rng(4)
+    e, start, t = rng.normal(size=(1, 50, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    want = crf.marginals(e, np.array([50]), start, t)[0].sum(0)
+    for piece in (1, 7, 50, 60):
+        assert np.allclose(crf.label_sums(lambda a, b: e[0, a:b].copy(), 50, start, t, piece), want)
+    r = random.Random(8)
+    texts = [sentence(r, "yy", 400) + " " + "q" * 60 + " " + sentence(r, "xx", 300), "ka" * 40, sentence(r, "zz", 30), " ".join(["ti" * 30] * 90)]
+    whole = crf.predict(model, texts)
+    monkeypatch.setattr(crf, "PIECE", 64)
+    cut = crf.predict(model, texts)
+    assert [x for x, _ in cut] == [x for x, _ in whole] and np.allclose([s for _, s in cut], [s for _, s in whole], atol=1e-4)

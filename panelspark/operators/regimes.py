@@ -147,9 +147,11 @@ def regime_parameters(train: DataFrame, sensors, regime: str = "regime") -> Data
     return both.select(regime, *[(unit(value(f"{s}_std")) if n == "std" else value(f"{s}_mean")).alias(f"{s}_{n}") for s in sensors for n in ("mean", "std")])
 
 
-def small(parameters: DataFrame, most: int = 100_000) -> DataFrame:
-    """Parameters of at most `most` regimes go to every task, whatever sizes Spark knows; a larger table is joined as any other."""
-    return F.broadcast(parameters) if parameters.limit(most + 1).count() <= most else parameters
+def small(parameters: DataFrame, most: int = 20_000) -> DataFrame:
+    """Parameters of at most `most` regimes are computed once, here, and go to every task as a local table, whatever sizes
+    Spark knows; a larger table is joined as any other."""
+    rows = parameters.limit(most + 1).collect()
+    return F.broadcast(parameters.sparkSession.createDataFrame(rows, parameters.schema)) if len(rows) <= most else parameters
 
 
 def unseen_regimes(df: DataFrame, parameters: DataFrame, regime: str = "regime") -> DataFrame:

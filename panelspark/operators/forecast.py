@@ -145,7 +145,7 @@ def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: Pane
         rows = rows.withColumn("d", F.lit(ds[0]))
     longest = F.greatest(F.lit(max(p + q for p, q in pairs)), F.round(F.pow(F.log(F.col("n").cast("double") + 1), F.lit(1.5))) + 1) + most_q + 2
     by = PanelSpec(entity="series", step="step")
-    rows = rows.where("ok").drop("ok").withColumn("need", (longest + F.col("d")).cast("int")).withColumn("series", F.col("entity_id") * 4 + F.col("d"))
+    rows = rows.where("ok").drop("ok").withColumn("need", (longest + F.col("d")).cast("int")).withColumn("series", F.concat_ws(":", "entity_id", "d"))
     dealt = with_halo(rows, F.col("need"), by, most).withColumn(OWN, F.col(OWN).cast("int"))
     keys = ["entity_id", "d", RANGE]
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.scalars import whole_share
 from panelspark.operators import grams as G
 from panelspark.operators import kernels as K
 from panelspark.operators.metrics import modal_value
@@ -281,7 +282,7 @@ def persistence_walk_forward(df: DataFrame, column: str, share: float = 0.7, lea
     """I16: one-step forecasts of the rows after the first `share` of an entity, each the value before."""
     w = spec.ordered()
     rows = df.select(spec.entity, spec.step, F.col(column).alias("actual"), F.lag(column).over(w).alias("predicted"), F.row_number().over(w).alias("_k"), F.count(F.lit(1)).over(spec.whole()).alias("_n"))
-    return rows.where((F.col("_n") >= least) & (F.col("_k") > F.floor(F.col("_n") * share))).drop("_k", "_n")
+    return rows.where((F.col("_n") >= least) & (F.col("_k") > whole_share(F.col("_n"), share))).drop("_k", "_n")
 
 
 def walk_forward(df: DataFrame, column: str, order=(1, 0, 0), share: float = 0.7, window: int = 1, block: int = 16, least: int = 20, spec: PanelSpec = P, most: int | None = MOST_ROWS) -> DataFrame:
@@ -342,7 +343,7 @@ def _walk_in_blocks(df: DataFrame, column: str, order, share: float, window: int
     """Refits from scratch, origins dealt in blocks."""
     w = spec.ordered()
     rows = df.select(F.col(spec.entity).cast("bigint").alias("entity_id"), F.col(spec.step).alias("step"), F.col(column).cast("double").alias("y"), F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(spec.whole()).alias("n"))
-    rows = rows.where(F.col("n") >= least).withColumn("first", F.floor(F.col("n") * share).cast("int"))
+    rows = rows.where(F.col("n") >= least).withColumn("first", whole_share(F.col("n"), share).cast("int"))
     size = block * window
     blocks = F.sequence(F.greatest(F.lit(0), F.floor((F.col("k") - F.col("first") - 1) / size)).cast("int"), F.floor((F.col("n") - F.col("first") - 1) / size).cast("int"))
     dealt = rows.withColumn("block", F.explode(blocks))

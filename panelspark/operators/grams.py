@@ -7,6 +7,7 @@ needs more of a series than a run.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 
@@ -207,7 +208,8 @@ def walk(y: np.ndarray, first: int, offset: int, n: int, prefix: np.ndarray | No
     floor(share n) and every `window` rows on. Gives places in y, predictions, and whether they come from a fit (else
     they persist). Normal equations are running sums; each origin solves its own.
     """
-    begin, w = int(math.floor(n * share)), np.diff(y, d)
+    begin = math.floor(n * Fraction(str(share)))  # as functions.scalars.whole_share
+    w = np.diff(y, d)
     target = np.arange(max(first, begin - offset), len(y))
     if not len(target):
         return target, np.zeros(0), np.zeros(0, bool)

@@ -90,3 +90,12 @@ def test_truth_lines_over_several_splits_and_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert rows == list(enumerate(values, 1))
+
+
+def test_walk_forward_begins_after_the_share_as_written(spark):
+    """90 rows at 0.7: the first 63 are known, though 90 * 0.7 is 62.99 in doubles."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(rng.normal(size=90), 1)], "entity_id long, step int, s1 double")
+    walks = [forecast.persistence_walk_forward(df, "s1", spec=ONE), *(forecast.walk_forward(df, "s1", o, spec=ONE) for o in ((1, 0, 0), (1, 0, 1)))]
+    for out in walks:
+        assert sorted(r.step for r in out.collect()) == list(range(64, 91))

@@ -76,3 +76,20 @@ def test_quantiles_write_nothing_and_rank_brackets_only(spark):
     assert set(glob.glob(f"{folder}/*")) == before
     two = exact_quantiles(spark.createDataFrame([(1, 3.0), (1, 4.0), (None, 5.0)], "g int, v double"), ["g"], "v", [0.5, 0.75])
     assert {(r.g, r.q): r.value for r in two.collect()} == {(1, 0.5): 3.5, (1, 0.75): 3.75, (None, 0.5): 5.0, (None, 0.75): 5.0}
+
+
+def test_boosting_reads_its_rows_once(spark):
+    """Rounds take rows from what was written, and don't compute the windows again."""
+    from panelspark.operators.learn import fit_boosted
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([([float(k % 7), float(k % 3)], float(k % 40)) for k in range(200)], "features array<double>, label double")
+    valid = rows.limit(50).localCheckpoint()
+    model, history = fit_boosted(rows.mapInArrow(counted, rows.schema), valid, rounds=7)
+    assert read.value == 200 and history.count() == 7 and len(model["trees"]) <= 7

@@ -66,6 +66,21 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(counts, np.int64)
 
 
+def _squeezed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array as its length and its compressed bytes, those of one place of all numbers together; of ascending numbers
+    the differences, whose high bytes are zeros."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if ascending else x
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return np.array([len(x)], "<u4").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _restored(raw: bytes, dtype: str, ascending: bool = False) -> np.ndarray:
+    n, kind = int(np.frombuffer(raw, "<u4", 1)[0]), np.dtype(dtype)
+    planes = pa.decompress(raw[4:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    x = np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
 _MESSAGE = "unit bigint, kind int, bucket int, tokens binary, counts binary, docs binary, df binary, doc_ids array<bigint>, text_hashes array<bigint>"
 
 
@@ -91,7 +106,7 @@ def _unit(unit: int, buckets: int, hashes: np.ndarray, sizes: np.ndarray, ids: l
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(tokens) else []
     starts = np.append(starts, len(hashes))
     for a, b in zip(cuts, [*cuts[1:], len(tokens)], strict=True):
-        rows.append((unit, 1, int(bucket[a]), tokens[a:b].tobytes(), many[a:b].tobytes(), doc[starts[a] : starts[b]].tobytes(), None, None, None))
+        rows.append((unit, 1, int(bucket[a]), _squeezed(tokens[a:b], True), _squeezed(many[a:b]), _squeezed(doc[starts[a] : starts[b]]), None, None, None))
         if len(rows) >= 4096:
             yield _message(rows)
             rows = []
@@ -139,21 +154,22 @@ def _answer(batches):
         rows = t.filter(pa.array(kind == 1)).select(["unit", "bucket", "tokens", "counts", "docs"]).to_pylist()
         if not rows:
             continue
-        tokens = np.frombuffer(b"".join(r["tokens"] for r in rows), "<u8")
-        many = np.frombuffer(b"".join(r["counts"] for r in rows), "<u2")
+        held = [_restored(r["tokens"], "<u8", True) for r in rows]
+        tokens = np.concatenate(held)
+        many = np.concatenate([_restored(r["counts"], "<u2") for r in rows])
         order = np.argsort(tokens)
         s = tokens[order]
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         found = np.empty(len(s), np.int64)
         found[order] = np.repeat(np.add.reduceat(many[order].astype(np.int64), starts), np.diff(np.append(starts, len(s))))
         at, out = 0, []
-        for r in rows:
-            m = len(r["tokens"]) // 8
+        for r, own in zip(rows, held, strict=True):
+            m = len(own)
             n, f = many[at : at + m], found[at : at + m]
             shared = f > 1
             if shared.any():
-                docs = np.frombuffer(r["docs"], "<u2")[np.repeat(shared, n)]
-                out.append((r["unit"], 1, r["bucket"], tokens[at : at + m][shared].tobytes(), n[shared].tobytes(), docs.tobytes(), np.minimum(f[shared], 2**32 - 1).astype("<u4").tobytes(), None, None))
+                docs = _restored(r["docs"], "<u2")[np.repeat(shared, n)]
+                out.append((r["unit"], 1, r["bucket"], _squeezed(own[shared], True), _squeezed(n[shared]), _squeezed(docs), _squeezed(np.minimum(f[shared], 2**32 - 1).astype("<u4")), None, None))
             at += m
             if len(out) >= 256:
                 yield _message(out)
@@ -174,10 +190,10 @@ def _assemble(percent: int):
             docs, tokens, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for r in rows:
                 if r["kind"] == 1:
-                    many = np.frombuffer(r["counts"], "<u2")
-                    docs.append(np.frombuffer(r["docs"], "<u2").astype(np.int64))
-                    tokens.append(np.repeat(np.frombuffer(r["tokens"], "<u8"), many))
-                    found.append(np.repeat(np.frombuffer(r["df"], "<u4"), many).astype(np.int64))
+                    many = _restored(r["counts"], "<u2")
+                    docs.append(_restored(r["docs"], "<u2").astype(np.int64))
+                    tokens.append(np.repeat(_restored(r["tokens"], "<u8", True), many))
+                    found.append(np.repeat(_restored(r["df"], "<u4"), many).astype(np.int64))
             doc, token, df = np.concatenate(docs), np.concatenate(tokens), np.concatenate(found)
             shared = np.bincount(doc, minlength=len(n))
             prefix = np.where(n > 0, n - (percent * n + 99) // 100 + 1 - (n - shared), 0)
@@ -204,7 +220,7 @@ def shared_shingles(docs: DataFrame, width: int, percent: int, text: str, id_col
     A link needs a common shingle among the first n - ceil(percent/100 * n) + 1 of both sets in any one order of all
     shingles. Here the order is by the number of documents, so that a document's own shingles come first: one whose
     prefix holds nothing else has no link, and its shingles go no further. Shingles are counted in two steps: tasks send
-    each 64-bit hash once for all documents of a unit, and its bucket adds up the units' counts; both travel as packed
+    each 64-bit hash once for all documents of a unit, and its bucket adds up the units' counts; both travel as compressed
     arrays. Buckets are four for each shuffle partition (2**18 at most) and change no result, only how much a task holds.
     """
     spark = docs.sparkSession

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,14 @@ def test_settings_change_no_result(spark):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.jaccard_groups(df).collect()) == brute(docs)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_messages_are_compressed_and_restored():
+    """Ascending hashes and small document numbers take clearly less than their bytes, and come back as they were."""
+    rng = np.random.default_rng(4)
+    tokens, docs = np.sort(rng.integers(0, 2**57, 3000, dtype=np.uint64)), rng.integers(0, 1500, 3000).astype("<u2")
+    raw = [J._squeezed(tokens, True), J._squeezed(docs)]
+    assert sum(map(len, raw)) < 0.85 * (tokens.nbytes + docs.nbytes)
+    assert (J._restored(raw[0], "<u8", True) == tokens).all() and (J._restored(raw[1], "<u2") == docs).all()
+    for x in (np.zeros(0, "<u8"), np.array([2**64 - 1], "<u8"), np.array([0, 5, 2**64 - 1], "<u8")):
+        assert (J._restored(J._squeezed(x, True), "<u8", True) == x).all()

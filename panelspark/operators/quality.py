@@ -86,7 +86,7 @@ def outlier_bounds(train: DataFrame, n_iqr: float = 5.0, spec: PanelSpec = P, gr
     else:
         long = train.select(*by, F.inline(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("v")) for s in spec.sensors])))
         quartile = lambda s, k: F.max(F.when((F.col("sensor") == s) & (F.col("k") == k), F.col("value")))
-        grouped = exact_quantiles(long, [*by, "sensor"], "v", [0.25, 0.75]).groupBy(*by).agg(*[F.array(quartile(s, 0), quartile(s, 1)).alias(s) for s in spec.sensors])
+        grouped = exact_quantiles(long, [*by, "sensor"], "v", [0.25, 0.75], few=True).groupBy(*by).agg(*[F.array(quartile(s, 0), quartile(s, 1)).alias(s) for s in spec.sensors])
     edge = lambda s, sign: F.col(s)[0 if sign < 0 else 1] + sign * n_iqr * (F.col(s)[1] - F.col(s)[0])
     wide = grouped.agg(*[f(edge(s, sign)).alias(f"{s}#{n}") for s in spec.sensors for n, sign, f in (("lo", -1, F.min), ("hi", 1, F.max))])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(f"`{s}#lo`").alias("lo"), F.col(f"`{s}#hi`").alias("hi")) for s in spec.sensors])))

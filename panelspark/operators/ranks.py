@@ -47,7 +47,7 @@ def at_position(pos: Column) -> Column:
     return F.when(share > 0, F.when(share < 1, F.col("value") * share).otherwise(F.col("value")))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str | Column, qs, accuracy: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str | Column, qs, accuracy: int = 10_000, few: bool = False) -> DataFrame:
     """(by, k, q, value): the q-quantiles of each group, as `percentile` gives them. Nulls don't count; groups without values
     give no rows.
 
@@ -55,6 +55,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str | Column, qs, accur
     4 / accuracy of the group's rows wide. Then one aggregate counts the distinct values inside brackets, and as wholes
     the stretches between them with their least and largest value; sums of these counts in order give exact places. So a
     task ranks the brackets of a group only. A place that its bracket missed raises an error instead of a wrong value.
+    few: the groups are few, so that their brackets are broadcast and no row is shuffled or sorted by its group.
     """
     qs = [float(q) for q in qs]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -64,7 +65,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str | Column, qs, accur
     sketch = sketch.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.array(*[F.struct(F.col("_e")[2 * k].alias("lo"), F.col("_e")[2 * k + 1].alias("hi")) for k in range(len(qs))]).alias("_brackets"))
     if by:
         same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(sketch[f"_by{k}"]) for k, c in enumerate(by)])
-        met = rows.join(sketch, same)
+        met = rows.join(F.broadcast(sketch) if few else sketch, same)
     else:
         met = rows.crossJoin(F.broadcast(sketch))  # one row
     x = F.col("value")

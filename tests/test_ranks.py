@@ -93,3 +93,22 @@ def test_boosting_reads_its_rows_once(spark):
     valid = rows.limit(50).localCheckpoint()
     model, history = fit_boosted(rows.mapInArrow(counted, rows.schema), valid, rounds=7)
     assert read.value == 200 and history.count() == 7 and len(model["trees"]) <= 7
+
+
+def test_outlier_bounds_do_not_sort_rows_by_their_few_groups(spark):
+    from panelspark.operators.quality import outlier_bounds
+    from panelspark.spec import PanelSpec
+
+    rng = np.random.default_rng(8)
+    rows = [("hot" if k % 9 else None, float(v)) for k, v in enumerate(rng.normal(size=500))]
+    df = spark.createDataFrame(rows, "regime string, s1 double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes that Spark knows decide nothing
+    try:
+        out = outlier_bounds(df, 0.2, PanelSpec(sensors=("s1",)))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        row = out.first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    quarters = [np.quantile([v for g, v in rows if g == x], [0.25, 0.75]) for x in ("hot", None)]
+    assert np.isclose(row.lo, min(a - 0.2 * (b - a) for a, b in quarters)) and np.isclose(row.hi, max(b + 0.2 * (b - a) for a, b in quarters))

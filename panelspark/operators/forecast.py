@@ -44,6 +44,30 @@ def _centred(df: DataFrame, column: str, spec: PanelSpec) -> tuple[DataFrame, Da
     return rows.join(facts, "entity_id").select("entity_id", "step", (F.col("y") - F.col("mean")).alias("y"), "n", "ok"), facts
 
 
+#: Series of up to so many rows are fitted many at a time, each whole.
+BATCHED = 2000
+
+
+def _by_length(df: DataFrame, spec: PanelSpec, most: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of entities of at most BATCHED rows (and no more than `most`), and those of longer ones, if there are any."""
+    least = BATCHED if most is None else min(BATCHED, most)
+    if known_long(df, spec, least) is None:
+        return df, None
+    longer = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least)
+    return df.join(longer, spec.entity, "left_anti"), df.join(longer, spec.entity, "left_semi")
+
+
+def _whole_runs(df: DataFrame, column: str, spec: PanelSpec, function, schema: str) -> DataFrame:
+    """function(ids, centred series, whether all their values are finite) over lists of whole series, as RecordBatches."""
+
+    def each(runs):
+        fine = np.array([np.isfinite(c["y"]).all() for c in runs])
+        series = [c["y"] - c["y"].mean() if ok else c["y"] for c, ok in zip(runs, fine, strict=True)]
+        return function(np.array([c["entity_id"][0] for c in runs], np.int64), series, fine)
+
+    return map_run_lists(_series(df, column, spec).where("entity_id is not null"), ["entity_id"], "step", each, schema)
+
+
 def _own(c: dict[str, np.ndarray]) -> int:
     """Where a run's own rows begin."""
     return int(np.argmax(c[OWN].astype(bool))) if c[OWN].any() else len(c[OWN])
@@ -75,7 +99,25 @@ def adf_by_entity(df: DataFrame, column: str, spec: PanelSpec = P, most: int | N
 
     Every range of a series gives its sums of products of the level, its lagged differences and the difference; their
     totals give all regressions of the test. Series under 10 rows or with values that aren't finite have a status only.
+    Series of up to BATCHED rows are tested many at a time.
     """
+    schema = "entity_id bigint, n int, d int, tau double, status string"
+    df, longer = _by_length(df, spec, most)
+
+    def test(ids, series, fine):
+        n = np.array([len(y) for y in series])
+        use = np.flatnonzero(fine & (n >= 10))
+        d, tau, tested = np.zeros(len(n), int), np.full(len(n), np.nan), np.isin(np.arange(len(n)), use)
+        d[use], tau[use] = G.adf_many([series[i] for i in use])
+        status = np.where(n < 10, "short", np.where(fine, "ok", "not finite"))
+        return pa.record_batch([pa.array(ids), pa.array(n, pa.int32()), pa.array(d, pa.int32(), mask=~tested), pa.array(tau, mask=np.isnan(tau)), pa.array(status.tolist())], names=["entity_id", "n", "d", "tau", "status"])
+
+    out = _whole_runs(df, column, spec, test, schema)
+    return out if longer is None else out.unionByName(_adf_of_ranges(longer, column, spec, most))
+
+
+def _adf_of_ranges(df: DataFrame, column: str, spec: PanelSpec, most: int | None) -> DataFrame:
+    """adf_by_entity from sums over ranges."""
     most = known_long(df, spec, most)
     rows, facts = _centred(df, column, spec)
     short = (F.col("n") < 10) | ~F.col("ok")
@@ -128,9 +170,34 @@ def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: Pane
 
     One copy of a series serves all orders: its ranges give sums of lag products, from whose totals every autoregression
     and both regressions of every mixed order are solved (grams.Orders). Residuals of mixed orders then take a second
-    pass, in which a range tells how they and their squares follow from those before it (grams.filtered).
+    pass, in which a range tells how they and their squares follow from those before it (grams.filtered). Series of up to
+    BATCHED rows take one pass: they are tested and fitted many at a time, each whole (grams.orders_many).
     """
     pairs = [*AR_ORDERS, *ARMA_ORDERS] if ps is None and qs is None else list(product(ps or range(1, 11), qs or range(4)))
+    df, longer = _by_length(df, spec, most)
+    names, told = ["ok", "short", "too short"], len(pairs)
+
+    def fit(ids, series, fine):
+        out, use = [], np.flatnonzero(fine)
+        if ds is None:
+            own, n = np.ones(len(ids), int), np.array([len(y) for y in series])
+            tested = np.flatnonzero(fine & (n >= 10))
+            own[tested], _ = G.adf_many([series[i] for i in tested])
+        for d in [own] if ds is None else [np.full(len(ids), x) for x in ds]:
+            aic, failed = np.full((len(ids), told), np.nan), np.full((len(ids), told), 3)
+            aic[use], failed[use] = G.orders_many([series[i] for i in use], d[use], pairs)
+            values = [round(float(v), 2) if f == 0 else None for v, f in zip(aic.ravel(), failed.ravel(), strict=True)]
+            p, q = (np.tile([x[k] for x in pairs], len(ids)) for k in (0, 1))
+            columns = [pa.array(np.repeat(ids, told)), pa.array(p, pa.int32()), pa.array(np.repeat(d, told), pa.int32()), pa.array(q, pa.int32()), pa.array(values, pa.float64()), pa.array([[*names, "not finite"][f] for f in failed.ravel()])]
+            out.append(pa.record_batch(columns, names=["entity_id", "p", "d", "q", "aic", "status"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    out = _whole_runs(df, column, spec, fit, "entity_id bigint, p int, d int, q int, aic double, status string")
+    return out if longer is None else out.unionByName(_orders_of_ranges(longer, column, pairs, ds, spec, most))
+
+
+def _orders_of_ranges(df: DataFrame, column: str, pairs: list[tuple[int, int]], ds, spec: PanelSpec, most: int | None) -> DataFrame:
+    """order_grid from sums over ranges."""
     mixed = [(p, q) for p, q in pairs if q]
     most_p, most_q = max((p for p, _ in mixed), default=0), max((q for _, q in mixed), default=0)
     most = known_long(df, spec, most)

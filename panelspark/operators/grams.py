@@ -7,9 +7,11 @@ needs more of a series than a run.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 from panelspark.operators.kernels import ADF_5
 
@@ -303,3 +305,166 @@ def forecast_many(series: list[np.ndarray], order: tuple[int, int, int], horizon
     mean += middle[:, None]
     band = z * np.sqrt(variance[:, None] * np.cumsum(psi**2, axis=1))
     return mean, mean - band, mean + band, ok
+
+
+# --- many short series at once --------------------------------------------------------------------------------------
+
+
+def lots(sizes: np.ndarray, kinds: list, most: int = 20_000) -> Iterator[np.ndarray]:
+    """Places of series of one kind and about one size, in lots of at most `most` padded rows, or one series."""
+    by: dict = {}
+    for k in np.argsort(sizes, kind="stable"):
+        by.setdefault(kinds[k], []).append(k)
+    for places in by.values():
+        while places:
+            count = len(places)
+            while count > 1 and count * sizes[places[count - 1]] > most:
+                count = max(count // 2, 1)
+            yield np.array(places[:count])
+            places = places[count:]
+
+
+def padded(series: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(series), max(map(len, series))))
+    for k, y in enumerate(series):
+        out[k, : len(y)] = y
+    return out
+
+
+def stacked(v: np.ndarray, n: np.ndarray, lags: int) -> np.ndarray:
+    """lagged(v, lags, 0) of every padded series: what lies before a series is 0, rows from n on are 0."""
+    back = sliding_window_view(np.pad(v, ((0, 0), (lags, 0))), lags + 1, axis=1)[:, :, ::-1]
+    return np.concatenate([np.ones((*v.shape, 1)), back], axis=2) * (np.arange(v.shape[1]) < n[:, None])[:, :, None]
+
+
+def products(z: np.ndarray) -> np.ndarray:
+    return np.swapaxes(z, 1, 2) @ z
+
+
+def solve_many(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """solve for each of many matrices, and whether it is finite; others are solved as 0."""
+    finite = np.isfinite(g).all((1, 2))
+    g = np.where(finite[:, None, None], g, 0.0)
+    scale = 1 / np.sqrt(np.maximum(np.einsum("bii->bi", g)[:, :k], 1e-300))
+    both = scale[:, :, None] * scale[:, None, :]
+    inverse = np.linalg.pinv(g[:, :k, :k] * both, rcond=1e-13, hermitian=True) * both
+    beta = np.einsum("bij,bj->bi", inverse, g[:, :k, -1])
+    return beta, np.maximum(g[:, -1, -1] - np.einsum("bi,bi->b", beta, g[:, :k, -1]), 0.0), inverse, finite
+
+
+def adf_many(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(d, tau) of every series as forecast.adf_by_entity: the first of 0, 1, 2 differences whose unit root is rejected, else 2."""
+    d, tau = np.full(len(series), 2), np.full(len(series), np.nan)
+    left = np.arange(len(series))
+    for k in range(3):
+        sizes = np.array([len(series[i]) - k for i in left], int)
+        rejected = np.zeros(len(left), bool)
+        tau[left] = np.nan
+        for lot in lots(sizes, [adf_lags(n) for n in sizes]):
+            tau[left[lot]], rejected[lot] = _adf_lot([np.diff(series[i], k) for i in left[lot]], sizes[lot])
+        d[left[rejected]] = k
+        left = left[~rejected]
+    return d, tau
+
+
+def _adf_lot(series: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """adf_verdict of series with equally many lags."""
+    most, tau, flat = adf_lags(n[0]), np.full(len(n), np.nan), np.array([np.ptp(v) == 0 for v in series])
+    rejected = flat & (n >= 10)
+    use = np.flatnonzero(~flat & (n >= 10))
+    if not len(use):
+        return tau, rejected
+    n, v = n[use], padded([series[i] for i in use])
+    z = stacked(padded([np.diff(series[i]) for i in use]), n - 1, most)  # 1, d[i], d[i - 1], ...
+    level = v[:, :-1, None] * (np.arange(v.shape[1] - 1) < n[:, None] - 1)[:, :, None]
+    z = np.concatenate([z[:, :, :1], level, z[:, :, 2:], z[:, :, 1:2]], axis=2)
+    g, rows = products(z[:, most:]), n - 1 - most
+    aic = []
+    for k in range(most + 1):
+        keep = [*range(k + 2), most + 2]
+        _, ssr, _, finite = solve_many(g[:, keep][:, :, keep], k + 2)
+        ssr = np.where(ssr > 1e-14 * g[:, -1, -1], ssr, 0.0)
+        aic.append(rows * np.log(np.maximum(ssr, 1e-300) / rows) + 2 * (k + 2))
+    best = np.argmin(aic, axis=0)
+    for k in np.unique(best):
+        at = np.flatnonzero(best == k)
+        keep = [*range(k + 2), most + 2]
+        x = z[at][:, :, keep]
+        beta, ssr, inverse, finite = solve_many(g[at][:, keep][:, :, keep] + products(x[:, k:most]), k + 2)
+        t = n[at] - 1 - k
+        se = np.sqrt(np.maximum(inverse[:, 1, 1] * ssr / np.maximum(t - k - 2, 1), 0.0))
+        found = np.where(finite, np.where(se > 0, beta[:, 1] / np.where(se > 0, se, 1.0), -np.inf), np.nan)
+        tau[use[at]] = found
+        rejected[use[at]] = found < sum(b / t**i for i, b in enumerate(ADF_5))
+    return tau, rejected
+
+
+def orders_many(series: list[np.ndarray], ds: np.ndarray, orders: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(AIC, failure) of every order (p, q) for every series after its differences ds. failure: 0 none, 1 short, 2 too short."""
+    n = np.array([len(y) for y in series], int) - ds
+    aic, failed = np.full((len(series), len(orders)), np.nan), np.ones((len(series), len(orders)), int)
+    some = np.flatnonzero(n > min(p + q for p, q in orders) + 5)
+    for lot in lots(n[some], [tuple(long_lags(p, q, m) for p, q in orders) for m in n[some]]):
+        at = some[lot]
+        aic[at], failed[at] = _orders_lot([np.diff(series[i], ds[i]) for i in at], n[at], orders)
+    return aic, failed
+
+
+def _orders_lot(series: list[np.ndarray], n: np.ndarray, orders: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """orders_many of series whose long autoregressions have equally many lags. As Orders.fit, and the residuals of all mixed
+    orders go through the series together."""
+    lags, w = order_lags(orders, n[0]), padded(series)
+    z = stacked(w, n, lags)
+    whole = products(z[:, lags:])
+    grams: dict[int, np.ndarray] = {}
+
+    def gram(start: int) -> np.ndarray:
+        if start not in grams:
+            grams[start] = whole + products(z[:, start:lags])
+        return grams[start]
+
+    count, unit = len(n), np.eye(lags + 2)
+    squares, failed = np.zeros((count, len(orders))), np.zeros((count, len(orders)), int)
+    firsts, mixed = [], []
+    for i, (p, q) in enumerate(orders):
+        m = long_lags(p, q, n[0])
+        s = max(p, m + q)
+        firsts.append(s)
+        t = np.zeros((count, lags + 2, p + q + 2))
+        t[:, :, 0], t[:, :, 1 : p + 1], t[:, :, -1] = unit[0], unit[:, 2 : 2 + p], unit[1]
+        finite = True
+        if q:
+            keep = [0, *range(2, 2 + m), 1]
+            beta, _, _, finite = solve_many(gram(m)[:, keep][:, :, keep], m + 1)
+            for j in range(1, q + 1):
+                t[:, 0, p + j] = -beta[:, 0]
+                t[:, 1 + j, p + j] = 1
+                t[:, 2 + j : 2 + j + m, p + j] -= beta[:, 1:]
+        beta, squares[:, i], _, good = solve_many(np.swapaxes(t, 1, 2) @ gram(s) @ t, p + q + 1)
+        failed[:, i] = np.where(n <= p + q + 5, 1, np.where((n - s < p + q + 2) | ~(good & finite), 2, 0))
+        if q:
+            theta = beta[:, p + 1 :]
+            companion = np.zeros((count, q, q))
+            companion[:, 0] = -theta
+            companion[:, np.arange(1, q), np.arange(q - 1)] = 1
+            largest = np.abs(np.linalg.eigvals(companion)).max(1)
+            theta = np.where(largest[:, None] >= 0.999, theta * 0.9 / np.maximum(largest, 0.999)[:, None], theta)
+            mixed.append((i, p, q, s, beta[:, 0], beta[:, 1 : p + 1], theta))
+    if mixed:
+        widest = max(q for _, _, q, *_ in mixed)
+        u, thetas = np.empty((w.shape[1], len(mixed), count)), np.zeros((widest, len(mixed), count))
+        for k, (_, p, q, _, c, phi, theta) in enumerate(mixed):
+            u[:, k] = (w - c[:, None] - np.einsum("btj,bj->bt", z[:, :, 2 : 2 + p], phi)).T
+            u[:p, k], thetas[:q, k] = 0.0, theta.T
+        begun, counts = np.array([[p] for _, p, *_ in mixed]), np.array([[s] for _, _, _, s, *_ in mixed])
+        past, total = [np.zeros((len(mixed), count)) for _ in range(widest)], np.zeros((len(mixed), count))
+        for t in range(w.shape[1]):
+            e = u[t] - sum(thetas[j] * past[j] for j in range(widest))
+            if t < begun.max():
+                e = np.where(t >= begun, e, 0.0)
+            past = [e, *past[:-1]]
+            total += np.where((t >= counts) & (t < n), e * e, 0.0)
+        squares[:, [i for i, *_ in mixed]] = total.T
+    variance = np.maximum(squares, 0.0) / np.maximum(n[:, None] - np.array(firsts), 1)
+    sizes = np.array([p + q + 2 for p, q in orders])
+    return n[:, None] * (np.log(2 * np.pi * np.maximum(variance, 1e-12)) + 1) + 2 * sizes, failed

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from panelspark.operators import learn, windows
+from panelspark.operators import forecast, learn, windows
+from panelspark.operators import grams as G
 from panelspark.spec import PanelSpec
 
 SPEC = PanelSpec(sensors=("s1",))
@@ -54,3 +55,35 @@ def test_windows_do_not_depend_on_batches(spark, width, last_only, most):
     for k, (flat, label) in want.items():
         assert got[k][1] == label
         assert all(x is y is None or (x is not None and y is not None and np.array_equal(x, y, equal_nan=True)) for x, y in zip(got[k][0], flat, strict=True)), k
+
+
+def test_order_search_of_short_series_is_one_pass(spark):
+    """One reading to see how long series are, one for tests, fits and residuals."""
+    rng = np.random.default_rng(5)
+    rows = [(e, k, float(v)) for e in range(1, 6) for k, v in enumerate(np.cumsum(rng.normal(size=30 + 7 * e)))]
+    df, seen = counted(spark, spark.createDataFrame(rows, "entity_id long, step int, s1 double"))
+    assert forecast.modal_order(forecast.order_grid(df, "s1", spec=SPEC)).count() == 1
+    assert seen.value <= 2 * len(rows)
+
+
+def test_batched_and_ranged_fits_agree(spark, monkeypatch):
+    """Short series at once, longer ones by sums, in one panel; the constant and the odd one too."""
+    rng = np.random.default_rng(3)
+    series = [np.cumsum(rng.normal(size=n)) for n in (60, 75, 130, 300)] + [rng.normal(size=n) for n in (7, 9, 12, 200)] + [np.full(40, 2.0), np.where(np.arange(50) == 9, np.inf, 1.0)]
+    df = spark.createDataFrame([(e, k, float(v)) for e, y in enumerate(series) for k, v in enumerate(y)], "entity_id long, step int, s1 double")
+    told = []
+    for size, most in ((100, 150), (2000, None)):
+        monkeypatch.setattr(forecast, "BATCHED", size)
+        grid = {tuple(r)[:4]: (r.aic, r.status) for r in forecast.order_grid(df.where("entity_id <> 8"), "s1", spec=SPEC, most=most).collect()}
+        told.append((grid, {r.entity_id: (r.n, r.d, r.status, r.tau) for r in forecast.adf_by_entity(df, "s1", SPEC, most).collect()}))
+    for grid, adf in told[1:]:
+        assert grid.keys() == told[0][0].keys() and len(grid) == 9 * 19
+        assert all(v[1] == told[0][0][k][1] and (v[0] is None or abs(v[0] - told[0][0][k][0]) < 0.011) for k, v in grid.items())
+        assert all(v[:3] == told[0][1][e][:3] and (v[3] is told[0][1][e][3] is None or np.isclose(v[3], told[0][1][e][3], rtol=1e-5)) for e, v in adf.items())
+
+
+def test_lots_hold_every_series_once():
+    sizes, kinds = np.array([5, 900, 3, 5, 4, 60, 5]), list("aabbaaa")
+    got = list(G.lots(sizes, kinds, 20))
+    assert sorted(np.concatenate(got)) == list(range(7)) and all(len({kinds[k] for k in lot}) == 1 for lot in got)
+    assert all(len(lot) == 1 or len(lot) * sizes[lot].max() <= 20 for lot in got)

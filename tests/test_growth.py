@@ -87,3 +87,27 @@ def test_lots_hold_every_series_once():
     got = list(G.lots(sizes, kinds, 20))
     assert sorted(np.concatenate(got)) == list(range(7)) and all(len({kinds[k] for k in lot}) == 1 for lot in got)
     assert all(len(lot) == 1 or len(lot) * sizes[lot].max() <= 20 for lot in got)
+
+
+def test_medians_by_one_sort():
+    from panelspark.streaming.features import _medians
+
+    rng = np.random.default_rng(4)
+    for width in (1, 2, 9, 10):
+        x = np.where(rng.random((200, width)) < 0.3, np.nan, rng.normal(size=(200, width)))
+        x = np.concatenate([x[~np.isnan(x).all(1)], np.full((1, width), 3.0)])
+        assert np.allclose(_medians(x), np.nanmedian(x, axis=1))
+    assert np.isnan(_medians(np.full((1, 3), np.nan))).all() and _medians(np.zeros((0, 3))).shape == (0,)
+
+
+def test_stream_state_comes_with_the_rows(spark, tmp_path):
+    """No call for the state of each entity: the plan has the operator whose state travels in Arrow batches."""
+    from panelspark.streaming.features import stream_panel_features
+
+    schema = "entity_id bigint, step int, s1 double"
+    spark.createDataFrame([(e, k, float(e + k)) for e in range(40) for k in range(3)], schema).write.parquet(f"{tmp_path}/in")
+    out = stream_panel_features(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "s1", windows=(2,), median=2)
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [x["operatorName"] for x in q.lastProgress["stateOperators"]] == ["applyInPandasWithState"]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 120

@@ -18,6 +18,7 @@ from panelspark.operators.metrics import modal_value
 from panelspark.operators.ranges import MOST_ROWS, OWN, RANGE, known_long, map_run_lists, map_runs, range_cuts, with_halo
 from panelspark.operators.ranks import exact_quantiles
 from panelspark.operators.windows import acf_table, recent_window, rolling_median
+from panelspark.sources.scratch import materialise
 from panelspark.spec import PanelSpec
 
 P = PanelSpec()
@@ -48,13 +49,15 @@ def _centred(df: DataFrame, column: str, spec: PanelSpec) -> tuple[DataFrame, Da
 BATCHED = 2000
 
 
-def _by_length(df: DataFrame, spec: PanelSpec, most: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of entities of at most BATCHED rows (and no more than `most`), and those of longer ones, if there are any."""
+def _by_length(df: DataFrame, column: str, spec: PanelSpec, most: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of entities of at most BATCHED rows (and no more than `most`), and the series of longer ones, if there are any.
+    Sums over ranges read these several times, so they are written to the shared folder once."""
     least = BATCHED if most is None else min(BATCHED, most)
     if known_long(df, spec, least) is None:
         return df, None
-    longer = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least)
-    return df.join(longer, spec.entity, "left_anti"), df.join(longer, spec.entity, "left_semi")
+    longer = materialise(df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least), "longer")
+    series = materialise(_series(df.join(longer, spec.entity, "left_semi"), column, spec), "series")
+    return df.join(longer, spec.entity, "left_anti"), series
 
 
 def _whole_runs(df: DataFrame, column: str, spec: PanelSpec, function, schema: str) -> DataFrame:
@@ -102,7 +105,7 @@ def adf_by_entity(df: DataFrame, column: str, spec: PanelSpec = P, most: int | N
     Series of up to BATCHED rows are tested many at a time.
     """
     schema = "entity_id bigint, n int, d int, tau double, status string"
-    df, longer = _by_length(df, spec, most)
+    df, longer = _by_length(df, column, spec, most)
 
     def test(ids, series, fine):
         n = np.array([len(y) for y in series])
@@ -113,7 +116,7 @@ def adf_by_entity(df: DataFrame, column: str, spec: PanelSpec = P, most: int | N
         return pa.record_batch([pa.array(ids), pa.array(n, pa.int32()), pa.array(d, pa.int32(), mask=~tested), pa.array(tau, mask=np.isnan(tau)), pa.array(status.tolist())], names=["entity_id", "n", "d", "tau", "status"])
 
     out = _whole_runs(df, column, spec, test, schema)
-    return out if longer is None else out.unionByName(_adf_of_ranges(longer, column, spec, most))
+    return out if longer is None else out.unionByName(_adf_of_ranges(longer, "y", _SERIES, most))
 
 
 def _adf_of_ranges(df: DataFrame, column: str, spec: PanelSpec, most: int | None) -> DataFrame:
@@ -174,7 +177,7 @@ def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: Pane
     BATCHED rows take one pass: they are tested and fitted many at a time, each whole (grams.orders_many).
     """
     pairs = [*AR_ORDERS, *ARMA_ORDERS] if ps is None and qs is None else list(product(ps or range(1, 11), qs or range(4)))
-    df, longer = _by_length(df, spec, most)
+    df, longer = _by_length(df, column, spec, most)
     names, told = ["ok", "short", "too short"], len(pairs)
 
     def fit(ids, series, fine):
@@ -193,7 +196,7 @@ def order_grid(df: DataFrame, column: str, ps=None, ds=None, qs=None, spec: Pane
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     out = _whole_runs(df, column, spec, fit, "entity_id bigint, p int, d int, q int, aic double, status string")
-    return out if longer is None else out.unionByName(_orders_of_ranges(longer, column, pairs, ds, spec, most))
+    return out if longer is None else out.unionByName(_orders_of_ranges(longer, "y", pairs, ds, _SERIES, most))
 
 
 def _orders_of_ranges(df: DataFrame, column: str, pairs: list[tuple[int, int]], ds, spec: PanelSpec, most: int | None) -> DataFrame:
@@ -203,7 +206,7 @@ def _orders_of_ranges(df: DataFrame, column: str, pairs: list[tuple[int, int]],
     most = known_long(df, spec, most)
     rows, facts = _centred(df, column, spec)
     if ds is None:
-        own = adf_by_entity(df, column, spec, most).select("entity_id", F.coalesce("d", F.lit(1)).alias("d"))
+        own = _adf_of_ranges(df, column, spec, most).select("entity_id", F.coalesce("d", F.lit(1)).alias("d"))
         facts = facts.join(own, "entity_id")
     else:
         facts = facts.withColumn("d", F.explode(F.array(*[F.lit(d) for d in ds])))

@@ -66,6 +66,17 @@ def test_order_search_of_short_series_is_one_pass(spark):
     assert seen.value <= 2 * len(rows)
 
 
+def test_order_search_reads_panels_with_long_series_four_times(spark, monkeypatch):
+    """To see that there are long series, to tell and to write them, and for the short ones; sums read what was written."""
+    monkeypatch.setattr(forecast, "BATCHED", 100)
+    rng = np.random.default_rng(5)
+    rows = [(e, k, float(v)) for e in range(1, 6) for k, v in enumerate(np.cumsum(rng.normal(size=60 if e < 4 else 300)))]
+    df, seen = counted(spark, spark.createDataFrame(rows, "entity_id long, step int, s1 double"))
+    best = forecast.modal_order(forecast.order_grid(df, "s1", spec=SPEC)).collect()
+    assert len(best) == 1 and best[0].n >= 1
+    assert seen.value <= 4 * len(rows)
+
+
 def test_batched_and_ranged_fits_agree(spark, monkeypatch):
     """Short series at once, longer ones by sums, in one panel; the constant and the odd one too."""
     rng = np.random.default_rng(3)

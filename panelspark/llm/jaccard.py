@@ -15,6 +15,13 @@ from panelspark.llm.components import connected_components
 from panelspark.llm.tokens import sliced
 
 _WORDS: dict[bytes, int] = {}
+
+
+def forget() -> None:
+    """A function of the module: tasks get what their closures name as copies, and would clear a copy of _WORDS."""
+    _WORDS.clear()
+
+
 #: Shingles of one unit: as many as these, or so many for each bucket if that is more, of at most UNIT_DOCS documents.
 UNIT_SHINGLES = 400_000
 BUCKET_SHINGLES = 48
@@ -119,7 +126,7 @@ def _send(width: int, buckets: int):
     full = max(UNIT_SHINGLES, BUCKET_SHINGLES * buckets)
 
     def run(batches):
-        C.take_turn("shingles", _WORDS.clear)
+        C.take_turn("shingles", forget)
         np.seterr(over="ignore")
         unit = TaskContext.get().partitionId() << 24
         held: list[tuple] = []

@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.llm import _common as C
 from panelspark.llm import jaccard as J
 from panelspark.llm.components import connected_components
 
@@ -155,3 +157,18 @@ def test_messages_are_compressed_and_restored():
     assert (J._restored(raw[0], "<u8", True) == tokens).all() and (J._restored(raw[1], "<u2") == docs).all()
     for x in (np.zeros(0, "<u8"), np.array([2**64 - 1], "<u8"), np.array([0, 5, 2**64 - 1], "<u8")):
         assert (J._restored(J._squeezed(x, True), "<u8", True) == x).all()
+
+
+def test_workers_forget_words_when_another_operator_takes_its_turn(spark):
+    docs = spark.range(0, 200, 1, 1).selectExpr("id as _doc", "concat('word', id, ' and some others') as _text", "id as _text_hash")
+    C.prepare(spark)
+    send = J._send(5, 4)
+
+    def run(batches):
+        messages = sum(1 for _ in send(batches))
+        held = len(J._WORDS)
+        C.take_turn("another", len)
+        yield pa.record_batch([pa.array([messages]), pa.array([held]), pa.array([len(J._WORDS)])], names=["messages", "held", "left"])
+
+    (r,) = docs.mapInArrow(run, "messages bigint, held bigint, left bigint").collect()
+    assert r.messages and r.held >= 203 and r.left == 0

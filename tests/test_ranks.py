@@ -95,6 +95,27 @@ def test_boosting_reads_its_rows_once(spark):
     assert read.value == 200 and history.count() == 7 and len(model["trees"]) <= 7
 
 
+def test_boosting_keeps_wide_rows_on_disk_in_small_batches(spark, monkeypatch):
+    """Spark's cache holds none of the rows in memory, and their batches are small; all of it is let go at the end."""
+    from panelspark.operators import learn
+
+    context, seen = spark.sparkContext, []
+    fit, known, size = learn.R.DecisionTreeRegressor.fit, set(context._jsc.getPersistentRDDs()), spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize")
+
+    def spied(self, rows):
+        tree = fit(self, rows)
+        kept = {i: r for i, r in context._jsc.getPersistentRDDs().items() if i not in known}
+        stored = [x for x in context._jsc.sc().getRDDStorageInfo() if x.id() in kept]
+        seen.append((sum(x.memSize() for x in stored), sum(x.diskSize() for x in stored), sum(r.count() for r in kept.values())))
+        return tree
+
+    monkeypatch.setattr(learn.R.DecisionTreeRegressor, "fit", spied)
+    rows = spark.createDataFrame([([float(k % 7), float(k % 3)], float(k % 40)) for k in range(5000)], "features array<double>, label double").coalesce(1)
+    learn.fit_boosted(rows, rows.where("label < 2"), rounds=6)
+    assert len(seen) == 6 and all(memory == 0 and disk > 0 and batches >= 10 for memory, disk, batches in seen)
+    assert spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize") == size
+
+
 def test_outlier_bounds_do_not_sort_rows_by_their_few_groups(spark):
     from panelspark.operators.quality import outlier_bounds
     from panelspark.spec import PanelSpec

@@ -245,3 +245,44 @@ def test_only_passages_that_begin_in_a_document_are_compared():
     number = held.vocabulary
     assert ids.tolist() == [number["alpha"], -1, number["delta"], -1, number["beta"], -1, -1, number["gamma"]] and n.tolist() == [7, 0, 1]
     assert "rare" not in D._FORMS and D._FORMS["delta!"] == number["delta"]
+
+
+def test_index_has_every_word_and_is_fitted_on_every_document(spark, monkeypatch):
+    """Words that are found once have terms, and the sketch gets all of more documents than a sample would have."""
+    rows, left = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    sketch = D._sketch
+
+    def told(held, *rest):
+        inner, (kind, none) = sketch(held, *rest), held.value.kind()
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    rows.add(b.num_rows)
+                    left.add(sum(int((np.frombuffer(x, kind) == none).sum()) for x in b.column("terms").to_pylist()))
+                    yield b
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(D, "_sketch", told)
+    items, docs, planted = corpus(7)
+    docs += [(1000 + k, f"once{k} (twice{k // 2}) and the rest") for k in range(12_000)]
+    out = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == planted
+    assert rows.value == len(docs) and left.value == 0
+
+
+def test_products_equal_a_dense_matrix():
+    """Terms found once, in few and in most passages, some of them twice in one; the highest term is none."""
+    rng = np.random.default_rng(3)
+    rows = np.minimum(rng.zipf(1.3, (700, D.WINDOW)) - 1, 400)
+    idf = np.append(rng.random(400), 0).astype(np.float32)
+    a = np.zeros((700, 401))
+    np.add.at(a, (np.arange(700)[:, None], rows), idf[rows])
+    omega = D._omega(401, 12)
+    got = np.ones(omega.shape)
+    D._gram_times(rows, idf, omega, got)
+    want = 1 + a.T @ (a @ omega)
+    assert np.allclose(got, want, atol=1e-4 * np.abs(want).max())

@@ -109,3 +109,31 @@ def test_columns_with_clashing_names_keep_their_values(spark, sf):
         out = stage(spark, df, sf)
         assert out.columns == df.columns
         assert all(r.score == r.lang_pred == r.n_lines == r.kept_text == r.n_dropped == r.doc_id for r in out.collect())
+
+
+def test_decontamination_leaves_no_word_out_of_its_index(spark, sf, monkeypatch):
+    from panelspark.llm import decontaminate as D
+
+    seen, left = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    sketch = D._sketch
+
+    def told(held, *rest):
+        inner, (kind, none) = sketch(held, *rest), held.value.kind()
+
+        def run(batches):
+            def counted():
+                for b in batches:
+                    blobs = b.column("terms").to_pylist()
+                    seen.add(len(blobs))
+                    left.add(sum(x[k : k + 2] == none.to_bytes(2, "little") for x in blobs for k in range(0, len(x), 2)))
+                    yield b
+
+            return inner(counted())
+
+        return run
+
+    monkeypatch.setattr(D, "_sketch", told)
+    docs = read(spark, sf)
+    kept = {r.doc_id for r in CP.decontamination(spark, docs, sf).collect()}
+    assert {k for k in range(160) if k not in kept} == {k for k in range(160) if k % 20 == 3}
+    assert seen.value == docs.count() and left.value == 0
